@@ -52,10 +52,11 @@ def pack(docs: DataFrame, vocabulary: str, *, keeps_blanks: bool = True, end_id:
         count = 0
         for batch in batches:
             names = batch.column("_id").to_pylist()
-            coded = c.encode(batch.column("_text").to_pylist())
+            flat, off = c.encode(batch.column("_text"))
+            off = off.tolist()
             cols: list[list] = [[] for _ in range(9)]
-            for name, ids in zip(names, coded):
-                ids += end
+            for name, first, last in zip(names, off, off[1:]):
+                ids = flat[first:last].tobytes() + end
                 n, start = len(ids) // 4, 0
                 for k in cuts(n, seq_len):
                     piece = ids[4 * start : 4 * (start + k)]

@@ -42,6 +42,7 @@ MAGIC, VERSION = 0x534E4152, 1
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 MAX_LANES, CHECK_STEPS, BLOCK_TOKENS = 1024, 128, 1 << 18
+DOCS_AT_ONCE = 4096
 HEAD = 6
 
 TOKENS = "part int, block int, rel_start long, n long, doc_ids array<long>, lens array<long>, ids binary"
@@ -150,24 +151,24 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
 
 def _tokenized(docs: DataFrame, vocabulary: str, keeps_blanks: bool, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Blocks of plain ids; a block ends with the document that fills it."""
-    end = end_id.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part = coder(vocabulary, keeps_blanks), TaskContext.get().partitionId()
-        kind = "<u2" if c.size() <= 1 << 16 else "<u4"
+        kind = _width(c.size())
+        end = np.array([end_id], kind)
         block, start, n, names, lens, parts = 0, 0, 0, [], [], []
 
         def closed():
-            ids = np.frombuffer(b"".join(parts), "<u4").astype(kind).tobytes()
-            return _batch(TOKENS, [(part, block, start, n, names, lens, ids)])
+            return _batch(TOKENS, [(part, block, start, n, names, lens, np.concatenate(parts).tobytes())])
 
         for batch in batches:
-            ids_of, texts = batch.column("_id").to_pylist(), batch.column("_text").to_pylist()
-            for at in range(0, len(texts), 256):
-                for name, ids in zip(ids_of[at : at + 256], c.encode(texts[at : at + 256])):
+            ids_of = batch.column("_id").to_pylist()
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                flat, off = c.encode(batch.column("_text").slice(at, DOCS_AT_ONCE))
+                off = off.tolist()
+                for name, first, last in zip(ids_of[at : at + DOCS_AT_ONCE], off, off[1:]):
                     names.append(name)
-                    lens.append(len(ids) // 4 + 1)
-                    parts += [ids, end]
+                    lens.append(last - first + 1)
+                    parts += [flat[first:last].astype(kind), end]
                     n += lens[-1]
                     if n >= BLOCK_TOKENS:
                         yield closed()
@@ -175,9 +176,8 @@ def _tokenized(docs: DataFrame, vocabulary: str, keeps_blanks: bool, end_id: int
         if names:
             yield closed()
 
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "_id").sortWithinPartitions("_id", "_text").mapInArrow(run, TOKENS)
 
 

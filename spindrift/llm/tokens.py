@@ -1,28 +1,34 @@
 """Token ids by the ``tokenizers`` library, with a bounded memory of words met before.
 
 Both vocabularies used here split a text at blanks before any merge, so the ids
-of a text are the ids of its blank-delimited units one after another.  A worker
-therefore asks the library for each distinct unit once and remembers the answer;
-invented or natural text repeats most of its words.  Texts with other white
-space than blanks and newlines go to the library whole, as the rule that splits
-runs of mixed white space looks across units.
+of a text are the ids of its blank-delimited units one after another.  Arrow
+splits a batch into units and finds the distinct ones; a worker asks the library
+for each of these once and remembers the answer, since text repeats most of its
+words.  The rule that splits runs of white space looks across units, so texts
+with such runs, or with white space other than blanks and newlines, go to the
+library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import struct
 
-#: Units remembered by a worker before it starts afresh; about 200 bytes each.
-CACHE_UNITS = 600_000
-#: Texts are looked up together until they have so many characters.
-CHUNK_CHARS = 4_000_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units in a worker's younger memory; when it is full it becomes the older one, whose
+#: units move back as they are met.  About 200 bytes a unit, twice so many in all.
+CACHE_UNITS = 700_000
+#: Texts are looked up together until they have so many bytes.
+CHUNK_BYTES = 8_000_000
 #: Longer units are not remembered.
 CACHE_CHARS = 64
 
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_UNITS = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
+#: Marks units that no blank precedes.
+_BARE = "\x01"
+_WHOLE = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|[ \n]\z"
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
@@ -37,43 +43,77 @@ class Coder:
         self.tokenizer.encode_special_tokens = True
         self.keeps_blanks = keeps_blanks
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def _units(self, text: str) -> list[str]:
-        if self.keeps_blanks:
-            return [text] if _OTHER_SPACE.search(text) else _UNITS.findall(text)
-        return text.replace("\n", " ").split(" ")
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        out, at = [], 0
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (none null) one after another, and where each text's begin and the last one's end."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        ids, ends, at = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
         while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < CHUNK_CHARS):
-                chars += len(texts[end])
-                end += 1
-            out += self._chunk(texts[at:end])
+            so_far = int(sizes[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, so_far + CHUNK_BYTES, "right")))
+            own, off = self._chunk(texts.slice(at, end - at))
+            ends.append(off[1:] + ends[-1][-1])
+            ids.append(own)
             at = end
-        return out
-
-    def _chunk(self, texts: list[str]) -> list[bytes]:
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keeps_blanks:
+            return self._by_units(pc.replace_substring(texts, "\n", " "))
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        marked = pc.binary_join_element_wise(_BARE, pc.if_else(whole, "", texts), "")
+        ids, off = self._by_units(pc.replace_substring(marked, "\n", f" \n {_BARE}"))
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return ids, off
+        parts = [ids[a:b] for a, b in zip(off, off[1:])]
+        for i, own in zip(odd.tolist(), self._ask(texts.take(pa.array(odd)).to_pylist())):
+            parts[i] = np.frombuffer(own, "<u4")
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _by_units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        parts = self._ids_of(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), np.int32, len(parts)) >> 2
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        start = np.cumsum(size, dtype=np.int64) - size
+        n = size[codes]
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        at = np.repeat((start[codes] - ends[:-1]).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)
+        offsets = lists.offsets.to_numpy()
+        return flat[at], ends[offsets - offsets[0]]
+
+    def _ids_of(self, units: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_UNITS:
-            self.known.clear()
-        own, rare = self.known, {}
-        units = [self._units(t) for t in texts]
-        miss = list(dict.fromkeys(u for us in units for u in us if u not in own))
-        if miss:
-            for u, ids in zip(miss, self._ask(miss)):
-                (own if len(u) <= CACHE_CHARS else rare)[u] = ids
-        if not rare:
-            return [b"".join(map(own.__getitem__, us)) for us in units]
-        return [b"".join(own[u] if u in own else rare[u] for u in us) for us in units]
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        out = list(map(known.get, units))
+        new = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                u = units[i]
+                if (ids := before.get(u)) is None:
+                    new.append(i)
+                else:
+                    known[u] = out[i] = ids
+        texts = [units[i] for i in new]
+        if self.keeps_blanks:
+            texts = [u[1:] if u[:1] == _BARE else u if u == "\n" else " " + u for u in texts]
+        for i, ids in zip(new, self._ask(texts)):
+            out[i] = ids
+            if len(units[i]) <= CACHE_CHARS:
+                known[units[i]] = ids
+        return out
 
 
 def coder(path: str, keeps_blanks: bool) -> Coder:
