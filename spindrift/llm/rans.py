@@ -41,7 +41,7 @@ from .tokens import coder
 MAGIC, VERSION = 0x534E4152, 1
 SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
-MAX_LANES, CHECK_STEPS, BLOCK_TOKENS = 1024, 128, 1 << 18
+MAX_LANES, CHECK_STEPS, BLOCK_TOKENS = 2048, 128, 1 << 19
 DOCS_AT_ONCE = 4096
 HEAD = 6
 

@@ -6,12 +6,14 @@ splits a batch into units and finds the distinct ones; a worker asks the library
 for each of these once and remembers the answer, since text repeats most of its
 words.  The rule that splits runs of white space looks across units, so texts
 with such runs, or with white space other than blanks and newlines, go to the
-library whole.
+library whole.  A vocabulary that drops white space and case is asked for units
+without the capitals of ASCII and without a last comma or full stop.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 
 import numpy as np
@@ -29,9 +31,21 @@ CACHE_CHARS = 64
 #: Marks units that no blank precedes.
 _BARE = "\x01"
 _WHOLE = r"[\x01\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|[ \n]\z"
+#: Letters of Latin that keep their number of code points in lower case and are composed.
+_LATIN = re.compile("(?s) ?[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Byte-level vocabularies write printable bytes as themselves and the others as the characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
+def _apart(texts: pa.Array) -> pa.Array:
+    """The texts with a blank before commas and full stops that end a word; such marks are tokens of their own unless other marks precede them."""
+    joined = pc.match_substring_regex(texts, r"[^\pL\pN][.,](?: |\z)")
+    apart = pc.replace_substring(pc.replace_substring(texts, ", ", " , "), ". ", " . ")
+    return pc.if_else(joined, texts, apart)
+
+
 class Coder:
     """``keeps_blanks``: the vocabulary has tokens for white space, as byte-level ones do."""
 
@@ -49,8 +63,21 @@ class Coder:
         return self.tokenizer.get_vocab_size()
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
+        """Words of plain Latin letters are one piece each and go to the merges directly; the others go through the whole tokenizer."""
+        out: list = [None] * len(texts)
+        merged, other = self.tokenizer.model.tokenize, []
+        for i, text in enumerate(texts):
+            if _LATIN.fullmatch(text) and (self.keeps_blanks or text[0] != " "):
+                piece = (text if self.keeps_blanks else text.lower()).encode().decode("latin-1").translate(_BYTES)
+                ids = [t.id for t in merged(piece)]
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                other.append(i)
+        if other:
+            for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+                ids = e.ids
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``texts`` (none null) one after another, and where each text's begin and the last one's end."""
@@ -67,7 +94,7 @@ class Coder:
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self.keeps_blanks:
-            return self._by_units(pc.replace_substring(texts, "\n", " "))
+            return self._by_units(_apart(pc.ascii_lower(pc.replace_substring(texts, "\n", " "))))
         whole = pc.match_substring_regex(texts, _WHOLE)
         marked = pc.binary_join_element_wise(_BARE, pc.if_else(whole, "", texts), "")
         ids, off = self._by_units(pc.replace_substring(marked, "\n", f" \n {_BARE}"))
