@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ class Model:
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=0))
         self.uses |= ~self.uses.any(axis=1, keepdims=True)
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.langs)), np.float32)
+        self.scores, self.used = np.zeros((0, len(self.langs)), np.float32), 0
 
     def places(self, words: list[str]) -> np.ndarray:
         """Each word's row in ``scores``; -1 where it has no letter."""
@@ -101,15 +102,28 @@ class Model:
                 for k in range(len(self.langs)):
                     new[:, k] = np.bincount(place, self.logp[bucket, k], len(some))
                 new = np.where(self.uses[script], new - new.max(axis=1, keepdims=True), np.float32(-1e6))
-                known.update((miss[i], len(self.scores) + j) for j, i in enumerate(some))
-                self.scores = np.concatenate([self.scores, new])
+                known.update((miss[i], self.used + j) for j, i in enumerate(some))
+                if self.used + len(new) > len(self.scores):
+                    self.scores = np.concatenate([self.scores, np.zeros((len(self.scores) + len(new), len(self.langs)), np.float32)])
+                self.scores[self.used : self.used + len(new)] = new
+                self.used += len(new)
         out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         return out
 
+    def all_places(self, texts: pa.Array) -> list[np.ndarray]:
+        """The places of each text's words; distinct words are looked up once."""
+        if not self.langs:
+            return [np.full(0, -1)] * len(texts)
+        lists = pc.utf8_split_whitespace(texts.fill_null(""))
+        coded = lists.flatten().dictionary_encode()
+        at = self.places(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        off = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        return [at[a:b] for a, b in zip(off, off[1:])]
+
     def forget(self) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-            self.scores = self.scores[:0]
+            self.used = 0
 
     def label(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best languages of each text's words, given their scores."""
@@ -202,17 +216,16 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     words with one label, end exclusive.
     """
     spark = docs.sparkSession
-    model.known, model.scores = {}, model.scores[:0]
+    model.known, model.scores, model.used = {}, model.scores[:0], 0
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
             found: list[tuple] = []
-            for i in range(0, len(texts), 512):
+            for i in range(0, batch.num_rows, 512):
                 m.forget()
-                some = [m.places((t or "").split()) for t in texts[i : i + 512]] if m.langs else [np.full(0, -1)] * len(texts[i : i + 512])
+                some = m.all_places(batch.column("_text").slice(i, 512))
                 real = [np.flatnonzero(p >= 0) for p in some]
                 scores = [m.scores[p[r]] for p, r in zip(some, real)]
                 full = [k for k, r in enumerate(real) if len(r)]
