@@ -107,20 +107,29 @@ def links(points: DataFrame, bits: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id, key) for every row of ``docs``."""
+def _grouped(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, fp, root, component_id) of every row; ``root`` is the smallest fingerprint reachable."""
     prints = common.written(fingerprints(docs, words, id_col, text_col), "prints")
     points = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
     roots = components(links(points, bits))
     grouped = points.join(roots, points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key")
+    return prints.join(grouped.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id, key) for every row of ``docs``."""
+    return _grouped(docs, words, bits, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "key")
 
 
 def first_of_each(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that come first, by id and then by a hash of the text, in their component; of repeated rows one."""
-    found = near_duplicates(docs, words=words, bits=bits, id_col=id_col, text_col=text_col)
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("key"))
-    rows = docs.select(row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
-    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """The rows of ``docs`` that come first, by id and then by a hash of the text, in their component; of repeated rows one.
+
+    A row with an id goes before rows without; a component of rows without ids keeps one of them.
+    """
+    found = _grouped(docs, words, bits, id_col, text_col)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
+    same = (rows["key"] == first["key"]) & rows["_id"].eqNullSafe(first["_id"])
+    return rows.join(first, same, "left_semi").dropDuplicates(["_id", "key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
