@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_WORDS = 2_000_000
+MAX_WORDS = 500_000
 #: Lower-cases A-Z and blanks what is no word: a word is ASCII digits, letters and anything beyond ASCII.
 _NORMAL = bytes(common.ASCII_LOWER[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -160,14 +160,14 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _automata(benchmark: DataFrame, window: int, max_words: int, item_col: str, text_col: str):
-    """The broadcast items of each automaton, one after the other."""
+    """The items of each automaton, one after the other, and whether they are the last."""
     words = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
     total = benchmark.agg(F.sum(words)).first()[0] or 0
     parts = max(1, math.ceil(total / max_words))
     for k in range(parts):
         own = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).alias("t"))
         own = own.filter(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k)
-        yield [(r.i, normal(r.t).split()) for r in own.collect()]
+        yield [(r.i, normal(r.t).split()) for r in own.collect()], k == parts - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -178,10 +178,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *([F.struct("*").alias("row")] if with_text else []), F.expr("cast(null as array<struct<a:long,b:long>>) as _hits"), F.expr("cast(null as array<string>) as _items"), F.lit(0).cast("long").alias("_longest"))
-    automata = list(_automata(benchmark, window, max_words, item_col, item_text_col))
-    for items in automata[:-1]:
-        rows = common.written(_pass(rows, spark.sparkContext.broadcast(items), window, False, with_text), "matches")  # one automaton in memory at a time
-    return _pass(rows, spark.sparkContext.broadcast(automata[-1]), window, True, with_text)
+    for items, last in _automata(benchmark, window, max_words, item_col, item_text_col):  # one automaton in memory at a time
+        rows = _pass(rows, spark.sparkContext.broadcast(items), window, last, with_text)
+        rows = rows if last else common.written(rows, "matches")
+    return rows
 
 
 _OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, items array<string>, spans array<struct<start:long,end:long>>"
