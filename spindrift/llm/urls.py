@@ -60,7 +60,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame | No
     table = spark.createDataFrame([(r, r, v) for v, r in rules], "key string, rule string, says string")
     lengths = sorted({len(r) - r.index("/") for _, r in rules})
     keys = [f"transform(filter(hosts, h -> length(path) >= {k}), h -> concat(h, left(path, {k})))" for k in lengths]
-    suffixes = "transform(sequence(0, size(split(host, '[.]')) - 1), i -> array_join(slice(split(host, '[.]'), i + 1, 1000), '.'))"
+    suffixes = "transform(sequence(0, size(split(host, '[.]')) - 1), i -> array_join(slice(split(host, '[.]'), i + 1, size(split(host, '[.]'))), '.'))"
     distinct = rows.select("url", "host", "path").filter("host <> ''").distinct().withColumn("hosts", F.expr(suffixes))
     wanted = distinct.select("url", F.explode(F.expr(f"array_distinct(concat({', '.join(keys)}, array(concat(host, path))))")).alias("key"))
     if listed is not None:
