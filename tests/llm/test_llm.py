@@ -224,3 +224,31 @@ def test_toxicity_held_out(spark, docs, empty):
     scores = [r.score for r in toxicity.score(docs, model).collect()]
     assert len(scores) == len(documents()) and all(0 <= s <= 1 for s in scores)
     assert toxicity.score(empty, toxicity.learn(empty, labels.limit(0))).count() == 0
+
+
+def test_near_dedup_keeps_every_group_without_ids(spark):
+    rows = [(None, "one two three four five six seven"), (None, "one two three four five six seven"), (None, "quite another text of some eight or nine words"), (7, "one two three four five six seven"), (8, "a third text that has nothing to do with them")]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text[:5]) for r in kept) == [(-1, "quite"), (7, "one t"), (8, "a thi")]
+
+
+def test_linked_lines_are_the_components():
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(6)]
+    text = [b[:k] + rng.choice("xyz") + b[k + 1 :] for b in base for k in rng.sample(range(60), 5)]
+    rng.shuffle(text)
+    fp = np.zeros(len(text), np.uint64)  # all are candidates of each other
+    root = list(range(len(text)))
+    for i in range(len(text)):
+        for j in range(i):
+            if lines.distance(text[i], text[j], 99) <= 12:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert lines.linked(fp, text).tolist() == root
+    first = np.arange(len(text)) % 2 == 0
+    across = lines.linked(fp, text, first)
+    assert all(root[i] == root[r] for i, r in enumerate(across.tolist()))
+
+
+def test_long_hosts_fit_rules(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 1500 + "net/x")], "page_id long, url string")
+    assert urls.judge(pages, [("block", "net/")]).first().verdict == "block"
