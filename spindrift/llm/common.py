@@ -39,6 +39,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def trim() -> None:
+    """Gives memory that earlier tasks of this Python worker have freed back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
+
+
 def fold(column: str | Column, of: int) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column

@@ -204,6 +204,7 @@ def _pass(rows: DataFrame, shared, window: int, last: bool, with_text: bool) ->
     schema = f"{_OUT}, clean string, row {rows.schema['row'].dataType.simpleString()}" if with_text else _OUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         if key not in _built:
             _built.clear()
             _built[key] = Automaton(shared.value, window)

@@ -34,7 +34,7 @@ BUCKETS = 1 << BUCKET_BITS
 #: A language uses a script if so many of its words do.
 SCRIPT_SHARE = 0.01
 #: Words remembered by a worker before it starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 UNKNOWN = "und"
 #: The first code points of Unicode's ranges of scripts, and the scripts.
 SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xE00, 0x1000, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB50, 0x20000)
@@ -220,12 +220,14 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         m = shared.value
         for batch in batches:
             found: list[tuple] = []
+            texts = batch.column("row").field(text_col) if text_col in keep else batch.column("_text")
             for i in range(0, batch.num_rows, 512):
                 m.forget()
-                some = m.all_places(batch.column("_text").slice(i, 512))
+                some = m.all_places(texts.slice(i, 512))
                 real = [np.flatnonzero(p >= 0) for p in some]
                 scores = [m.scores[p[r]] for p, r in zip(some, real)]
                 full = [k for k, r in enumerate(real) if len(r)]
@@ -252,7 +254,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = docs.select(*([F.struct(*keep).alias("row")] if keep else []), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(*([F.struct(*keep).alias("row")] if keep else []), F.col(id_col).cast("long").alias("doc_id"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     row = f"row {rows.schema['row'].dataType.simpleString()}, " if keep else ""
     return rows.mapInArrow(run, row + OUT + (f", spans {_SPANS}" if with_spans else ""))
 

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .tokens import coder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
@@ -47,6 +48,7 @@ def pack(docs: DataFrame, vocabulary: str, *, keeps_blanks: bool = True, end_id:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         c = coder(vocabulary, keeps_blanks)
         at = TaskContext.get().partitionId() << COUNT_BITS
         count = 0

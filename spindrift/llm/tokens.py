@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 
 #: Units in a worker's younger memory; when it is full it becomes the older one, whose
 #: units move back as they are met.  About 200 bytes a unit, twice so many in all.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 450_000
 #: Texts are looked up together until they have so many bytes.
 CHUNK_BYTES = 8_000_000
 #: Longer units are not remembered.
