@@ -226,6 +226,20 @@ def chunk_code(spark, sf):
 
 
 # --- hybrid search and the gate: benchmark items ask, documents answer
+_AT = "list_transform(tk, lambda t: CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 64)"
+_UNIT = "list_transform(c, lambda v: v / CASE WHEN list_inner_product(c, c) > 0 THEN sqrt(list_inner_product(c, c)) ELSE 1 END)"
+_ENCODED = lambda rows: f"SELECT * EXCLUDE (slots, c), {_UNIT} AS v FROM (SELECT *, list_transform(range(0, 64), lambda i: CAST(len(list_filter(slots, lambda b: b = i)) AS DOUBLE)) AS c FROM (SELECT *, {_AT} AS slots FROM ({rows})))"
+_BY = lambda score: f"row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id)"
+_WINDOW = (
+    f"WITH d AS ({_ENCODED(f'SELECT doc_id AS id, text, lang, {_TOKENS(T.STOP_SEARCH)} AS tk FROM documents')}), "
+    f"q AS ({_ENCODED(f'SELECT item_id AS query_id, text AS asked, {_TOKENS(T.STOP_SEARCH)} AS tk FROM benchmark WHERE item_id % 10 = 0')}), "
+    "p AS (SELECT query_id, id, round(list_inner_product(q.v, d.v), 6) AS score_cosine, lang, len(list_intersect(q.tk, d.tk)) AS common FROM q, d), "
+    f"w AS (SELECT query_id, id, score_cosine, lang, round(score_cosine + least({hybrid.CAP}::DOUBLE, {hybrid.BOOST}::DOUBLE * common), 6) AS score FROM (SELECT *, {_BY('score_cosine')} AS r FROM p) WHERE r <= 16), "
+)
+_RANKED = lambda rows, k: f"SELECT * FROM (SELECT *, CAST({_BY('score')} AS INT) AS rank FROM {rows}) WHERE rank <= {k}"
+_SWEEP = (0.3, 0.5, 0.7, 0.84)
+
+
 def _texts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     asked = table(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
@@ -240,34 +254,34 @@ def _window(spark, sf, k=16):
     return hybrid.boosted(found.select("query_id", F.col("vec_id").alias("id"), "score"), asked, docs), docs, asked
 
 
-@query()
+@query(_WINDOW + "z AS (SELECT 1) " + _RANKED("w", K))
 def hybrid_topk(spark, sf):
     window, _, _ = _window(spark, sf)
     return hybrid.ranked(window, K)
 
 
-@query()
+@query(_WINDOW + "f AS (SELECT * EXCLUDE (n) FROM (SELECT *, count(*) FILTER (lang = 'es') OVER (PARTITION BY query_id) AS n FROM w) WHERE lang = 'es' OR n = 0) " + _RANKED("f", K))
 def filtered_topk_fallback(spark, sf):
     window, _, _ = _window(spark, sf)
     return hybrid.ranked(hybrid.best_effort(window, F.col("lang") == "es"), K)
 
 
-@query()
+@query(_WINDOW + f"t AS (SELECT doc_id AS id, {_TOKENS(T.STOP_SEARCH)} AS pt FROM (SELECT doc_id, substring(text, 1, {hybrid.PASSAGE}) AS text FROM documents)), s AS (SELECT w.*, round(len(list_intersect(q.tk, pt)) / CAST(greatest(1, len(q.tk)) AS DOUBLE), 6) AS score_reranker FROM w JOIN t USING (id) JOIN q USING (query_id)) SELECT * FROM (SELECT *, CAST({_BY('score_reranker')} AS INT) AS rank FROM s) WHERE rank <= {K}")
 def reranked_topk(spark, sf):
     window, docs, asked = _window(spark, sf)
     return hybrid.rerank(window, asked, docs, K)
 
 
-@query()
+@query(_WINDOW + f"r AS ({_RANKED('w', K)}), g AS (SELECT r.*, first_value(folded) OVER (PARTITION BY query_id ORDER BY rank) AS top FROM r JOIN (SELECT doc_id AS id, {_FOLD} AS folded FROM documents) USING (id) WHERE score_cosine >= 0.7), t AS (SELECT item_id AS query_id, {_TOKENS(T.STOP_GATE)} AS qt FROM benchmark) SELECT g.* EXCLUDE (top) FROM g JOIN t USING (query_id) WHERE len(qt) = 0 OR len(list_filter(qt, lambda x: contains(top, x))) > 0")
 def relevance_gate(spark, sf):
     window, docs, asked = _window(spark, sf)
     return hybrid.gate(hybrid.ranked(window, K), asked, docs, 0.7).drop("text")
 
 
-@query()
+@query(_WINDOW + f"b AS ({_RANKED('w', 1)}) SELECT threshold, count(*) FILTER (score_cosine >= threshold) AS n_pass, count(*) FILTER (score_cosine < threshold) AS n_refused FROM b, (SELECT unnest([{', '.join(map(str, _SWEEP))}]::DOUBLE[]) AS threshold) GROUP BY threshold")
 def threshold_sweep(spark, sf):
     window, _, _ = _window(spark, sf)
-    return hybrid.threshold_sweep(hybrid.ranked(window, 1), [0.3, 0.5, 0.7, 0.84])
+    return hybrid.threshold_sweep(hybrid.ranked(window, 1), list(_SWEEP))
 
 
 # --- knowledge graph

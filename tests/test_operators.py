@@ -21,7 +21,7 @@ def plain(rows):
     return sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["exact_topk", "int8_topk", "binary_topk", "two_stage_topk", "sharded_topk", "recall_int8", "token_set", "slug", "domain_tag", "session_condense", "stratified_split"])
+@pytest.mark.parametrize("name", ["exact_topk", "int8_topk", "binary_topk", "two_stage_topk", "sharded_topk", "recall_int8", "token_set", "slug", "domain_tag", "session_condense", "stratified_split", "hybrid_topk", "filtered_topk_fallback", "reranked_topk", "relevance_gate", "threshold_sweep"])
 def test_against_sql(spark, duck, name):
     got = registry.QUERIES[name](spark, SF)
     names = sorted(got.columns)
