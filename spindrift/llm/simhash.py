@@ -40,20 +40,25 @@ def _votes(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; none of a wordless text."""
     from xxhash import xxh64_intdigest
 
     own = (text or "").encode().translate(common.ASCII_LOWER).split()
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     if len(own) <= words:
-        return xxh64_intdigest(joined, 42)
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
     starts = np.zeros(len(own), np.int64)
     np.cumsum(np.fromiter(map(len, own[:-1]), np.int64, len(own) - 1) + 1, out=starts[1:])
     ends = np.append(starts[words:] - 1, len(joined)).tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    h = shingle_hashes(text, words)
     bits = (2 * _votes(h) > len(h)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
@@ -127,7 +132,11 @@ def first_of_each(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str
 
     A row with an id goes before rows without; a component of rows without ids keeps one of them.
     """
-    found = _grouped(docs, words, bits, id_col, text_col)
+    return first_rows(docs, _grouped(docs, words, bits, id_col, text_col), id_col, text_col)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of ``docs`` of each root of ``found`` (doc_id, key, root)."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))

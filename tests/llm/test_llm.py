@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spindrift.llm import common, decontaminate, langid, lines, packing, quality, rans, secrets, simhash, toxicity, urls, vptree
+from spindrift.llm import common, decontaminate, langid, lines, near, packing, quality, rans, secrets, simhash, toxicity, urls, vptree
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, fp string"
 
@@ -252,3 +252,16 @@ def test_linked_lines_are_the_components():
 def test_long_hosts_fit_rules(spark):
     pages = spark.createDataFrame([(1, "http://" + "a." * 1500 + "net/x")], "page_id long, url string")
     assert urls.judge(pages, [("block", "net/")]).first().verdict == "block"
+
+
+def test_near_dedup_links_all_at_four_fifths(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(40):
+        own = [word() for _ in range(204)]
+        rows.append((3 * g, " ".join(own)))
+        rows.append((3 * g + 1, " ".join([word() if i in (30, 80, 130, 180) else w for i, w in enumerate(own)])))  # 180 of 220 shingles shared
+        rows.append((3 * g + 2, " ".join([word() if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(own)])))  # 175 of 225: below
+    kept = {r.doc_id for r in near.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in rows if i % 3 != 1}
