@@ -265,3 +265,16 @@ def test_near_dedup_links_all_at_four_fifths(spark):
         rows.append((3 * g + 2, " ".join([word() if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(own)])))  # 175 of 225: below
     kept = {r.doc_id for r in near.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in rows if i % 3 != 1}
+
+
+def test_lines_with_changed_words_go(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    rows = []
+    for g in range(60):
+        own = [word() for _ in range(30)]
+        rows += [(2 * g, " ".join(own)), (2 * g + 1, " ".join(word() if i in (3, 11, 20) else w for i, w in enumerate(own)))]
+    rows.append((120, "字" * 50))
+    rows.append((121, "字" * 49 + "好"))
+    gone = {r.doc_id for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
+    assert 121 in gone and not gone & set(range(0, 121, 2)) and len(gone) >= 59
