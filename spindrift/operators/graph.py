@@ -9,6 +9,8 @@ from ..functions.text import STOP_SEARCH, slug
 
 ENTITY = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*|\b\p{Lu}{2,10}\b"
 SENTENCE = r"[.!?]\s+"
+#: Entities of a sentence that are paired at once.
+BLOCK = 64
 TYPED = (("is_a", 0.8, r"is an?|est une?|ist ein|es un"), ("has", 0.7, r"has|a pour|hat|tiene"), ("uses", 0.7, r"uses|utilise|nutzt|usa"), ("of", 0.5, r"of|de|von"))
 
 
@@ -39,12 +41,16 @@ def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out.filter((F.col("s") != F.col("o")) & ~F.col("s").isin(*STOP_SEARCH) & ~F.col("o").isin(*STOP_SEARCH)).distinct()
 
 
-def cooccurrences(docs: DataFrame, window: int = 8, **columns: str) -> DataFrame:
-    """(doc_id, s, p, o, confidence): ordered pairs of distinct entities of a sentence whose places are less than ``window`` apart, so a long sentence gives pairs in proportion to its length; the direction seen first counts."""
+def cooccurrences(docs: DataFrame, **columns: str) -> DataFrame:
+    """(doc_id, s, p, o, confidence): every ordered pair of distinct entities of a sentence; the direction seen first counts.  Entities are joined ``BLOCK`` by ``BLOCK``, so no row holds a long sentence's pairs."""
     first = mentions(docs, **columns).groupBy("doc_id", "sentence", "id").agg(F.min("pos").alias("pos"))
-    near = Window.partitionBy("doc_id", "sentence").orderBy("pos").rowsBetween(1, window - 1)
-    pairs = first.withColumn("later", F.collect_list("id").over(near)).select("doc_id", "sentence", "pos", F.col("id").alias("s"), F.posexplode("later").alias("k", "o"))
-    seen = pairs.withColumns({"x": F.least("s", "o"), "y": F.greatest("s", "o")}).groupBy("doc_id", "x", "y").agg(F.min(F.struct("sentence", "pos", "k", "s", "o")).alias("f"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("pos")))
+    blocks = ranked.groupBy("doc_id", "sentence", F.floor(F.col("r") / BLOCK).alias("block")).agg(F.collect_list(F.struct("r", "id")).alias("own"))
+    later = blocks.select(F.col("doc_id").alias("d"), F.col("sentence").alias("n"), F.col("block").alias("b"), F.col("own").alias("others"))
+    both = blocks.join(later, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sentence") == F.col("n")) & (F.col("block") <= F.col("b")))
+    pairs = both.select("doc_id", "sentence", F.explode("own").alias("x"), "others").select("doc_id", "sentence", "x", F.explode("others").alias("y")).filter("x.r < y.r")
+    pairs = pairs.select("doc_id", "sentence", F.col("x.r").alias("i"), F.col("y.r").alias("j"), F.col("x.id").alias("s"), F.col("y.id").alias("o"))
+    seen = pairs.groupBy("doc_id", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y")).agg(F.min(F.struct("sentence", "i", "j", "s", "o")).alias("f"))
     return seen.select("doc_id", F.col("f.s").alias("s"), F.lit("co_occurs_with").alias("p"), F.col("f.o").alias("o"), F.lit(0.3).alias("confidence"))
 
 

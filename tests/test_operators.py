@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from spindrift.operators import chunks, verify
+from spindrift.operators import chunks, graph, verify
 from spindrift.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +56,11 @@ def test_verifiers():
     assert verify.verify("css", "a{b:c}")[0] and not verify.verify("css", "a{")[0]
     assert verify.verify("cobol", "x")[0] is None and verify.verify("py", " ")[0] is False
     assert verify.html_text("<h2>T</h2><script>x</script><p>a&amp;b</p>").startswith("## T")
+
+
+def test_all_pairs_of_a_sentence(spark):
+    names = [f"{a}{b}lon" for a in "BCDFG" for b in "aeiou"] + [f"{a}{b}{c}ron" for a in "BCDFGHK" for b in "aeiou" for c in "lmn"]
+    docs = spark.createDataFrame([(1, " and ".join(names)), (2, "Talon and Belon. Belon and Talon")], "doc_id long, text string")
+    got = {(r.doc_id, r.s, r.o) for r in graph.cooccurrences(docs).collect()}
+    low = [n.lower() for n in names]
+    assert got == {(1, a, b) for i, a in enumerate(low) for b in low[i + 1 :]} | {(2, "talon", "belon")}
