@@ -10,9 +10,12 @@ its best window of ``WINDOW`` words; a logistic curve fitted on labelled rows
 kept out of the counts turns it into a score.
 
 All labelled training rows are counted, each expression once a text, so that a
-text that repeats itself weighs no more than another.  Words and bigrams are hashed into fixed
-tables, so the model has a size bound (about 40 MB) whatever the corpus; the
-counts it gathers grow with the input.  The curve is fitted on at most
+text that repeats itself weighs no more than another.  Counts are keyed by
+64-bit hashes of words, in tables that grow with the input.  The model takes
+from them what isn't wholly discounted: words and bigrams met ``RARE`` times or
+more, the latter after contexts met ``CONTEXT`` times in both classes.  For all
+other words the classes differ by a constant (and the context), so they need
+no entry.  The curve is fitted on at most
 ``CURVE_ROWS`` rows, chosen by a hash of their id.
 
 Defined results: null or wordless text scores as a text of no evidence; without
@@ -33,8 +36,9 @@ from pyspark.sql import functions as F
 from . import common
 from .decontaminate import normal
 
-WORD_BITS, PAIR_BITS, WINDOW, RARE, CONTEXT = 19, 21, 2, 8, 50
-WORDS, PAIRS = 1 << WORD_BITS, 1 << PAIR_BITS
+WINDOW, RARE, CONTEXT = 2, 8, 50
+#: What a text's first word follows.
+START = 0
 #: Labelled rows that the curve is fitted on at most, and label rows that may be broadcast.
 CURVE_ROWS, BROADCAST_LABELS = 50_000, 1_000_000
 CACHE_WORDS = 800_000
@@ -45,7 +49,7 @@ _codes: dict[bytes, int] = {}
 
 
 def coded(text: str | None) -> np.ndarray:
-    """The buckets of a text's words."""
+    """64-bit hashes of a text's words, as signed longs."""
     from xxhash import xxh64_intdigest
 
     words = normal(text).split()
@@ -53,13 +57,23 @@ def coded(text: str | None) -> np.ndarray:
         _codes.clear()
     for w in set(words):
         if w not in _codes:
-            _codes[w] = xxh64_intdigest(w, 7) & (WORDS - 1)
-    return np.fromiter(map(_codes.__getitem__, words), np.int64, len(words))
+            _codes[w] = xxh64_intdigest(w, 7)
+    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words)).view(np.int64)
 
 
 def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (context.astype(np.uint64) << np.uint64(WORD_BITS) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    """64-bit hashes of bigrams."""
+    h = (context.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ word.view(np.uint64)
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(29)).view(np.int64)
+
+
+def places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where ``asked`` are in sorted ``keys``; their number for those that aren't."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    at = np.searchsorted(keys, asked)
+    return np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, len(keys))
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -71,23 +85,26 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """``words``: counts by class and bucket; ``follows``: distinct contexts of a word over both classes; ``pairs``: hashed counts of bigrams that aren't rare; ``spread``: by class and context, its count, how much of that is rare followers, and the others that come once, twice and more often; ``seen``: by class, bigrams that come one to four times."""
-
-    def __init__(self, words: np.ndarray, follows: np.ndarray, pairs: np.ndarray, spread: np.ndarray, seen: np.ndarray):
-        shared = (follows + 0.5) / (follows.sum() + 0.5 * WORDS)
-        self.uni = np.zeros((2, WORDS), np.float32)
-        self.bi, self.rest, self.n = np.zeros((2, PAIRS), np.float32), np.ones((2, WORDS), np.float32), np.ones((2, WORDS), np.float32)
-        told = (spread[:, 0] >= CONTEXT).all(axis=0)  # contexts that say enough about both classes
-        rare = words.sum(axis=0) < RARE
+    """``words``: keys, counts by class and distinct contexts of words that aren't rare; ``all_words``: totals over all words; ``pairs``: keys and counts by class of bigrams that aren't rare; ``spread``: of contexts, keys and by class the count, how much of that is rare followers, and the others that come once, twice and more often; ``seen``: by class, bigrams that come one to four times."""
+
+    def __init__(self, words: tuple, all_words: dict, pairs: tuple, spread: tuple, seen: np.ndarray):
+        self.words, count, follows = words
+        self.pairs, met = pairs
+        self.contexts, spread = spread
+        shared = (np.append(follows, 0) + 0.5) / (all_words["follows"] + 0.5 * (all_words["n"] + 1))
+        # the last place of each table stands for all other keys
+        self.uni = np.zeros((2, len(self.words) + 1))
+        self.bi = np.zeros((2, len(self.pairs) + 1))
+        self.rest, self.n = np.ones((2, len(self.contexts) + 1)), np.full((2, len(self.contexts) + 1), np.inf)
         for c in (0, 1):
-            d = discounts(np.bincount(np.minimum(words[c], 5).astype(np.int64), minlength=6)[1:5])
-            off = np.where(rare, words[c], d[np.minimum(words[c], 3).astype(np.int64)])
-            total = words[c].sum()
-            self.uni[c] = (words[c] - off) / total + off.sum() / total * shared if total else shared
+            d = discounts(all_words["seen"][c])
+            off = d[np.minimum(count[c], 3).astype(np.int64)]
+            total, gone = all_words["total"][c], off.sum() + all_words["rare"][c]
+            self.uni[c] = np.append(count[c] - off, 0) / total + gone / total * shared if total else shared
             d = discounts(seen[c])
-            self.bi[c] = pairs[c] - d[np.minimum(pairs[c], 3).astype(np.int64)]
-            self.rest[c, told] = (spread[c, 1, told] + d[1:] @ spread[c, 2:][:, told]) / spread[c, 0, told]
-            self.n[c] = np.where(told, spread[c, 0], np.inf)
+            self.bi[c, :-1] = met[c] - d[np.minimum(met[c], 3).astype(np.int64)]
+            self.rest[c, :-1] = (spread[c, 1] + d[1:] @ spread[c, 2:]) / spread[c, 0]
+            self.n[c, :-1] = spread[c, 0]
         self.curve = np.zeros(3)
 
     def evidence(self, text: str | None) -> tuple[float, float]:
@@ -95,13 +112,14 @@ class Model:
         w = coded(text)
         if not len(w):
             return 0.0, 0.0
-        log = []
+        log, own, v = [], places(self.words, w), places(self.contexts, w[:-1])
+        k = np.full(len(v), len(self.pairs))
+        told = np.flatnonzero(v < len(self.contexts))
+        k[told] = places(self.pairs, pair(w[told], w[told + 1]))
         for c in (0, 1):
-            p = self.uni[c][w].astype(np.float64)
-            if len(w) > 1:
-                v, k = w[:-1], pair(w[:-1], w[1:])
-                p[1:] = self.bi[c][k] / self.n[c][v] + self.rest[c][v] * p[1:]
-            log.append(np.log(np.maximum(p, 1e-12)))
+            p = self.uni[c][own]
+            p[1:] = self.bi[c][k] / self.n[c][v] + self.rest[c][v] * p[1:]
+            log.append(np.log(np.maximum(p, 1e-300)))
         d = log[1] - log[0]
         s = np.concatenate([[0.0], np.cumsum(d)])
         k = min(WINDOW, len(d))
@@ -138,18 +156,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            found = [[], [], []]
             for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist()):
                 w = coded(text.as_py())
                 if len(w):
-                    # a text's first word follows the bucket past the last
-                    keys.append(np.unique(np.concatenate([[WORDS], w[:-1]]) << WORD_BITS | w) << 1 | y)
-            if keys:
-                k, n = np.unique(np.concatenate(keys), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k >> 1), pa.array(np.where(k & 1, 0, n)), pa.array(np.where(k & 1, n, 0))], names=["pair", "n0", "n1"])
-
-    counted = labelled.filter(common.fold("_id", FOLDS) != CURVE).select("_text", "_y").mapInArrow(count, "pair long, n0 long, n1 long")
-    bigrams = common.written(counted.groupBy("pair").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
+                    before = np.concatenate([[START], w[:-1]])
+                    at = np.unique(pair(before, w), return_index=True)[1]
+                    for to, x in zip(found, (before[at], w[at], np.full(len(at), y))):
+                        to.append(x)
+            if found[0]:
+                before, w, y = map(np.concatenate, found)
+                _, at, of = np.unique(pair(before, w), return_index=True, return_inverse=True)
+                n = [np.bincount(of[y == c], minlength=len(at)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(before[at]), pa.array(w[at]), pa.array(n[0]), pa.array(n[1])], names=["context", "word", "n0", "n1"])
+
+    counted = labelled.filter(common.fold("_id", FOLDS) != CURVE).select("_text", "_y").mapInArrow(count, "context long, word long, n0 long, n1 long")
+    bigrams = common.written(counted.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
     model = Model(*_tables(bigrams))
 
     shared = spark.sparkContext.broadcast(model)
@@ -171,35 +193,39 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def _tables(bigrams: DataFrame):
-    """The model's counts; no table collected has more rows than its buckets."""
-    word, context = F.col("pair").bitwiseAND(WORDS - 1), F.shiftright("pair", WORD_BITS)
+    """The model's counts."""
 
-    def dense(rows: DataFrame, key: str, names: list[str], size: int) -> np.ndarray:
+    def sorted_(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = rows.toArrow()
-        out = np.zeros((len(names), size))
-        at = got.column(key).to_numpy()
-        for i, n in enumerate(names):
-            out[i, at] = got.column(n).to_numpy()
-        return out
-
-    words = dense(bigrams.groupBy(word.alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("f")), "k", ["n0", "n1", "f"], WORDS)
-    inner = bigrams.filter(context < WORDS)
+        k = got.column("k").to_numpy()
+        order = np.argsort(k)
+        return k[order], np.array([got.column(n).to_numpy()[order] for n in names], float)
+
+    often = F.col("n0") + F.col("n1") >= RARE
+    times = lambda: [F.count(F.when(F.col(f"n{c}") == k, 1)) for c in (0, 1) for k in (1, 2, 3, 4)]
+    words = common.written(bigrams.groupBy(F.col("word").alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("f")), "words")
+    sums = [F.sum(x) for x in (F.lit(1), "f", "n0", "n1", F.when(~often, F.col("n0")), F.when(~often, F.col("n1")))]
+    got = [float(x or 0) for x in words.agg(*sums, *times()).first()]
+    all_words = {"n": got[0], "follows": got[1], "total": got[2:4], "rare": got[4:6], "seen": np.array(got[6:]).reshape(2, 4)}
+    keys, counts = sorted_(words.filter(often), ["n0", "n1", "f"])
+
+    inner = bigrams.filter(F.col("context") != START)
+    kinds = []
+    for c in ("n0", "n1"):
+        kind = [(F.col(c) == 1), (F.col(c) == 2), (F.col(c) >= 3)]
+        kinds += [F.sum(c).alias(c), F.sum(F.when(~often, F.col(c)).otherwise(0)).alias(f"{c}_rare"), *[F.count(F.when(often & x, 1)).alias(f"{c}_{k}") for k, x in enumerate(kind)]]
+    names = [f"{c}{x}" for c in ("n0", "n1") for x in ("", "_rare", "_0", "_1", "_2")]
+    told = common.written(inner.groupBy(F.col("context").alias("k")).agg(*kinds).filter(f"n0 >= {CONTEXT} AND n1 >= {CONTEXT}"), "contexts")  # say enough about both classes
+    contexts, spread = sorted_(told, names)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.column("pair").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(pair(k >> WORD_BITS, k & (WORDS - 1))), batch.column("n0"), batch.column("n1")], names=["k", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair(batch.column("context").to_numpy(), batch.column("word").to_numpy())), batch.column("n0"), batch.column("n1")], names=["k", "n0", "n1"])
 
-    pairs = dense(inner.filter(f"n0 + n1 >= {RARE}").mapInArrow(hashed, "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "k", ["n0", "n1"], PAIRS)
-    common_ = F.col("n0") + F.col("n1") >= RARE
-    kinds = []
-    for c in ("n0", "n1"):
-        often = [(F.col(c) == 1), (F.col(c) == 2), (F.col(c) >= 3)]
-        kinds += [F.sum(c).alias(c), F.sum(F.when(~common_, F.col(c)).otherwise(0)).alias(f"{c}_rare"), *[F.count(F.when(common_ & x, 1)).alias(f"{c}_{k}") for k, x in enumerate(often)]]
-    names = [f"{c}{x}" for c in ("n0", "n1") for x in ("", "_rare", "_0", "_1", "_2")]
-    spread = dense(inner.groupBy(context.alias("k")).agg(*kinds), "k", names, WORDS).reshape(2, 5, WORDS)
-    seen = inner.agg(*[F.count(F.when(F.col(f"n{c}") == k, 1)) for c in (0, 1) for k in (1, 2, 3, 4)]).first()
-    return words[:2], words[2], pairs, spread, np.array(seen, float).reshape(2, 4)
+    pairs = inner.filter(often).join(told.select(F.col("k").alias("context")), "context", "left_semi").select("context", "word", "n0", "n1")
+    pairs = sorted_(pairs.mapInArrow(hashed, "k long, n0 long, n1 long"), ["n0", "n1"])
+    seen = inner.agg(*times()).first()
+    return (keys, counts[:2], counts[2]), all_words, pairs, (contexts, spread.reshape(2, 5, -1)), np.array(seen, float).reshape(2, 4)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

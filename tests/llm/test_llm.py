@@ -278,3 +278,16 @@ def test_lines_with_changed_words_go(spark):
     rows.append((121, "字" * 49 + "好"))
     gone = {r.doc_id for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed > 0").collect()}
     assert 121 in gone and not gone & set(range(0, 121, 2)) and len(gone) >= 59
+
+
+def test_toxic_words_do_not_share_counts(spark):
+    """Many ordinary words must not take the evidence of a toxic one, however many words there are."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 3 == 0
+        rows.append((i, " ".join([f"plain{rng.randrange(10**9)}" for _ in range(2000)] + ["vile" if toxic else "kind"])))
+        labels.append((i, int(toxic)))
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    fresh = [model.evidence(f"unmet{i}")[0] for i in range(1000)]
+    assert max(fresh) - min(fresh) < 1e-9 and model.evidence("vile")[0] > max(fresh) + 1 and model.evidence("kind")[0] < min(fresh) - 1
