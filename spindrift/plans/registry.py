@@ -417,7 +417,7 @@ def intent_classify(spark, sf):
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = table(spark, sf, "documents").dropna(subset=["lang"]).withColumn("features", array_to_vector(hybrid.encoded(F.col("text"))))
-    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").limit(100).collect()]
+    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
     label = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("double") - 1
     model = LogisticRegression(maxIter=20).fit(rows.orderBy(F.xxhash64("doc_id")).limit(5000).withColumn("label", label))
     out = model.transform(rows).withColumn("p", vector_to_array("probability"))

@@ -64,3 +64,10 @@ def test_all_pairs_of_a_sentence(spark):
     got = {(r.doc_id, r.s, r.o) for r in graph.cooccurrences(docs).collect()}
     low = [n.lower() for n in names]
     assert got == {(1, a, b) for i, a in enumerate(low) for b in low[i + 1 :]} | {(2, "talon", "belon")}
+
+
+def test_intents_beyond_a_hundred(spark, tmp_path):
+    rows = [(i, f"word{i % 104} text", f"l{i % 104:03}") for i in range(208)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.label for r in registry.intent_classify(spark, str(tmp_path)).collect()}
+    assert None not in got and got & {f"l{i}" for i in range(100, 104)}
