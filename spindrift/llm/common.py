@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import uuid
 
@@ -16,10 +17,22 @@ LOCAL_SCRATCH = "file:///tmp/checkpoints/spindrift"
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+#: Scratch folders that are still there; what is left goes with the process.
+_held: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under the cluster's shared folder; it goes when the process ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _held:
+        atexit.register(_clear)
+    _held.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +42,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that only this step needed
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` that nothing lazy reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_held) if spark is not None else ():
+        try:
+            remove(spark, path)
+        except Exception:  # the session has gone already: nothing more can be done here
+            return
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -37,6 +68,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _held.discard(path)
 
 
 def trim() -> None:

@@ -41,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
-        now = common.written(_small_star(_large_star(now)), "edges")
+        before, now = now, common.written(_small_star(_large_star(now)), "edges")
+        common.drop(before)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

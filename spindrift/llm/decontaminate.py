@@ -11,7 +11,7 @@ The automaton is broadcast.  Its size is counted first: items beyond
 documents in a pass of its own, so the result does not depend on the bound.
 
 Defined results: null or wordless text has no words and no hits; items without
-words never occur; repeated items count once under each id; an empty benchmark
+words never occur; a null item id is named ``null``; repeated items count once under each id; an empty benchmark
 marks nothing; an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,6 +21,7 @@ import hashlib
 import math
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_WORDS = 500_000
+#: Item words of one automaton: about 100 bytes a word in each Python worker.
+MAX_WORDS = 300_000
 #: Lower-cases A-Z and blanks what is no word: a word is ASCII digits, letters and anything beyond ASCII.
 _NORMAL = bytes(common.ASCII_LOWER[c] if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -47,8 +49,9 @@ class Automaton:
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        # most states lead on by one word only: that word and state; the other ways are in ``more``
+        self.word, self.to, self.link, self.length = array("i", [-1]), array("i", [-1]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
         coded = []
         for name, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
@@ -56,9 +59,9 @@ class Automaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        states = sorted(range(len(self.next)), key=self.length.__getitem__)
+        states = np.argsort(np.array(self.length), kind="stable").tolist()
         #: the state of a state's suffix of ``window`` words
-        self.gram = list(range(len(states)))
+        self.gram = array("i", range(len(states)))
         for v in states[1:]:
             if self.length[self.link[v]] >= window:
                 self.gram[v] = self.gram[self.link[v]]
@@ -68,49 +71,60 @@ class Automaton:
         for name, ids in coded:
             v = 0
             for i, c in enumerate(ids):
-                v = self.next[v][c]
+                v = self._next(v, c)
                 if i + 1 >= window:
                     self.items.setdefault(self.gram[v], set()).add(name)
             if 0 < len(ids) < window:
                 self.short.setdefault(v, (len(ids), set()))[1].add(name)
                 self.least = min(self.least, len(ids))
         #: the nearest state upwards, itself included, that ends a short item
-        self.ends = [-1] * len(states)
+        self.ends = array("i", [-1]) * len(states)
         for v in states:
             self.ends[v] = v if v in self.short else self.ends[self.link[v]] if v else -1
 
-    def _state(self, length: int, following: dict[int, int], link: int) -> int:
-        self.next.append(following)
-        self.length.append(length)
-        self.link.append(link)
-        return len(self.next) - 1
+    def _next(self, v: int, c: int) -> int:
+        """The state that ``c`` leads to from ``v``; -1 if none."""
+        return self.to[v] if self.word[v] == c else self.more[v].get(c, -1) if v in self.more else -1
+
+    def _lead(self, v: int, c: int, to: int) -> None:
+        if self.word[v] in (-1, c):
+            self.word[v], self.to[v] = c, to
+        else:
+            self.more.setdefault(v, {})[c] = to
+
+    def _state(self, length: int, word: int, to: int, link: int) -> int:
+        for column, value in ((self.word, word), (self.to, to), (self.length, length), (self.link, link)):
+            column.append(value)
+        return len(self.link) - 1
 
     def _split(self, p: int, q: int, c: int) -> int:
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        clone = self._state(self.length[p] + 1, self.word[q], self.to[q], self.link[q])
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        while p >= 0 and self._next(p, c) == q:
+            self._lead(p, c, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, p: int, c: int) -> int:
-        q = self.next[p].get(c)
-        if q is not None:
+        q = self._next(p, c)
+        if q >= 0:
             return q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
-        new = self._state(self.length[p] + 1, {}, -1)
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        new = self._state(self.length[p] + 1, -1, -1, -1)
+        while p >= 0 and self._next(p, c) < 0:
+            self._lead(p, c, new)
             p = self.link[p]
         if p < 0:
             self.link[new] = 0
         else:
-            q = self.next[p][c]
+            q = self._next(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return new
 
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str], int]:
         """Hit stretches of words (ascending, apart, end exclusive), items found and the longest match."""
-        get = self.vocabulary.get
+        get, word, to, link, more = self.vocabulary.get, self.word, self.to, self.link, self.more
         ids = np.array([get(w, -1) for w in words], np.int64)
         known = np.concatenate([[False], ids >= 0, [False]])
         turns = np.flatnonzero(known[1:] != known[:-1])
@@ -122,11 +136,14 @@ class Automaton:
                 continue
             v = length = 0
             for i, c in enumerate(ids[a:b].tolist(), a):
-                while v and c not in self.next[v]:
-                    v = self.link[v]
+                while True:
+                    on = to[v] if word[v] == c else more[v].get(c, -1) if v in more else -1
+                    if on >= 0 or not v:
+                        break
+                    v = link[v]
                     length = self.length[v]
-                if c in self.next[v]:
-                    v = self.next[v][c]
+                if on >= 0:
+                    v = on
                     length += 1
                 longest = max(longest, length)
                 start = i + 1
@@ -179,8 +196,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *([F.struct("*").alias("row")] if with_text else []), F.expr("cast(null as array<struct<a:long,b:long>>) as _hits"), F.expr("cast(null as array<string>) as _items"), F.lit(0).cast("long").alias("_longest"))
     for items, last in _automata(benchmark, window, max_words, item_col, item_text_col):  # one automaton in memory at a time
-        rows = _pass(rows, spark.sparkContext.broadcast(items), window, last, with_text)
-        rows = rows if last else common.written(rows, "matches")
+        before, rows = rows, _pass(rows, spark.sparkContext.broadcast(items), window, last, with_text)
+        if not last:
+            rows = common.written(rows, "matches")
+            common.drop(before)
     return rows
 
 

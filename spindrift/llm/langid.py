@@ -33,8 +33,8 @@ BUCKET_BITS, ORDERS, PENALTY = 15, (1, 2, 3, 4), 6.0
 BUCKETS = 1 << BUCKET_BITS
 #: A language uses a script if so many of its words do.
 SCRIPT_SHARE = 0.01
-#: Words remembered by a worker before it starts afresh.
-CACHE_WORDS = 350_000
+#: Words remembered by a task before it starts afresh; texts and words taken together.
+CACHE_WORDS, TEXTS, WORDS = 250_000, 512, 50_000
 UNKNOWN = "und"
 #: The first code points of Unicode's ranges of scripts, and the scripts.
 SCRIPT_STARTS = (0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0x980, 0xE00, 0x1000, 0x10A0, 0x1100, 0x1E00, 0x1F00, 0x2000, 0x2E80, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD800, 0xF900, 0xFB00, 0xFB50, 0x20000)
@@ -120,10 +120,10 @@ class Model:
         off = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
         return [at[a:b] for a, b in zip(off, off[1:])]
 
-    def forget(self) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.used = 0
+    def forget(self, most: int = CACHE_WORDS) -> None:
+        if len(self.known) > most or not most:
+            self.known, self.used = {}, 0
+            self.scores = self.scores[:0].copy()
 
     def label(self, scores: list[np.ndarray]) -> list[np.ndarray]:
         """The best languages of each text's words, given their scores."""
@@ -181,20 +181,21 @@ def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            words: dict[str, Counter] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(lang, Counter()).update(text.split())
-            for lang, counted in words.items():
-                own: Counter = Counter()
-                for w, n in counted.items():
-                    own[letters(w)] += n
-                own.pop("", None)
-                if not own:
-                    continue
-                place, bucket, script = grams(list(own))
-                n = np.fromiter(own.values(), np.float64, len(own))
-                all_ = np.concatenate([np.bincount(bucket, n[place], BUCKETS), np.bincount(script, n, len(SCRIPT_NAMES))])
-                total[lang] = total[lang] + all_ if lang in total else all_
+            for at in range(0, batch.num_rows, TEXTS):
+                texts, langs = batch.column(0).slice(at, TEXTS), batch.column(1).slice(at, TEXTS)
+                for lang in pc.unique(langs).to_pylist():
+                    counted = pc.value_counts(pc.utf8_split_whitespace(texts.filter(pc.equal(langs, lang))).flatten())
+                    own: Counter = Counter()
+                    for w, n in zip(counted.field(0).to_pylist(), counted.field(1).to_pylist()):
+                        own[letters(w)] += n
+                    own.pop("", None)
+                    kinds = list(own.items())
+                    for i in range(0, len(kinds), WORDS):
+                        names, n = zip(*kinds[i : i + WORDS])
+                        place, bucket, script = grams(list(names))
+                        n = np.array(n, np.float64)
+                        all_ = np.concatenate([np.bincount(bucket, n[place], BUCKETS), np.bincount(script, n, len(SCRIPT_NAMES))])
+                        total[lang] = total[lang] + all_ if lang in total else all_
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
@@ -225,9 +226,9 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             found: list[tuple] = []
             texts = batch.column("row").field(text_col) if text_col in keep else batch.column("_text")
-            for i in range(0, batch.num_rows, 512):
+            for i in range(0, batch.num_rows, TEXTS):
                 m.forget()
-                some = m.all_places(texts.slice(i, 512))
+                some = m.all_places(texts.slice(i, TEXTS))
                 real = [np.flatnonzero(p >= 0) for p in some]
                 scores = [m.scores[p[r]] for p, r in zip(some, real)]
                 full = [k for k, r in enumerate(real) if len(r)]
@@ -253,6 +254,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 arrays.append(pa.array(cols[2], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        m.forget(0)  # workers outlive their tasks, and the model with them
+        common.trim()
 
     rows = docs.select(*([F.struct(*keep).alias("row")] if keep else []), F.col(id_col).cast("long").alias("doc_id"), *([] if text_col in keep else [F.col(text_col).alias("_text")]))
     row = f"row {rows.schema['row'].dataType.simpleString()}, " if keep else ""

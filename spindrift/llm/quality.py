@@ -4,14 +4,14 @@ Counts are made inside each row, so texts are never exploded or shuffled.  The
 thresholds come from mergeable quantile sketches with logarithmic buckets
 (relative error ``GAMMA - 1``): a sketch is a table of bucket counts, sketches
 merge by adding, and every (language, source) has one for each measure.  Groups
-of fewer than ``MIN_GROUP`` rows use the merged sketch of their language, and
+of fewer than ``least_group`` rows use the merged sketch of their language, and
 languages of fewer that of the whole table.  A measure is out of bounds beyond
 median + spread * (upper quartile - median) + slack; medians and quartiles move
 with the source, while junk below half of a group's rows doesn't move them far.
-Word lengths are judged for texts of ``MIN_WORDS`` words or more.
+Word lengths are judged for texts of ``least_words`` words or more.
 
-Defined results: null text has no words and fails the base rules; null language
-or source is a group of its own; repeated rows are judged each; an empty table
+Defined results: null text has no words and fails the base rules; a null
+language or source is in one group with the empty one; repeated rows are judged each; an empty table
 gives no rows; columns other than the four named are ignored.
 """
 
@@ -60,7 +60,7 @@ def _with_measures(counts: DataFrame) -> DataFrame:
     return counts.withColumns({"symbols": per("n_symbols", "n_words", 1000), "word_chars_100": per("word_chars", "n_words", 100), "dup_lines": per("n_dup_lines", "n_lines", 1000)})
 
 
-def thresholds(counts: DataFrame) -> DataFrame:
+def thresholds(counts: DataFrame, least_group: int = MIN_GROUP) -> DataFrame:
     """(lang, source, symbols_max, word_chars_max, dup_lines_max) of each group, from merged sketches."""
     long = _with_measures(counts).select("lang", "source", F.expr("stack(3, 'symbols', symbols, 'word_chars', word_chars_100, 'dup_lines', dup_lines) AS (measure, v)"))
     bucket = F.when(F.col("v") <= 0, F.lit(-1)).otherwise(F.ceil(F.log(F.col("v").cast("double")) / F.log(F.lit(GAMMA))).cast("int"))
@@ -77,18 +77,18 @@ def thresholds(counts: DataFrame) -> DataFrame:
     names = [f"{m}_max" for m in FENCES]
     at = lambda k, p: wide.filter(f"level = {k}").select("lang", *(["source"] if k == 0 else []), F.col("total").alias(f"total{p}"), *[F.col(n).alias(n + p) for n in names])
     found = at(0, "").join(at(1, "_l"), "lang").join(F.broadcast(at(2, "_a").drop("lang")))  # the last has one row
-    pick = lambda n: F.when(F.col("total") >= MIN_GROUP, F.col(n)).when(F.col("total_l") >= MIN_GROUP, F.col(n + "_l")).otherwise(F.col(n + "_a"))
+    pick = lambda n: F.when(F.col("total") >= least_group, F.col(n)).when(F.col("total_l") >= least_group, F.col(n + "_l")).otherwise(F.col(n + "_a"))
     return found.select("lang", "source", *[pick(n).alias(n) for n in names])
 
 
-def judge(docs: DataFrame, **columns: str) -> DataFrame:
+def judge(docs: DataFrame, *, least_group: int = MIN_GROUP, least_words: int = MIN_WORDS, **columns: str) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, symbols_failed, word_chars_failed, dup_lines_failed)."""
     counts = common.written(measured(docs, **columns), "quality")
-    joined = _with_measures(counts).join(thresholds(counts), ["lang", "source"])
+    joined = _with_measures(counts).join(thresholds(counts, least_group), ["lang", "source"])
     failed = joined.withColumns({
         "base_failed": F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"),
         "symbols_failed": F.expr("symbols > symbols_max"),
-        "word_chars_failed": F.expr(f"n_words >= {MIN_WORDS} AND word_chars_100 > word_chars_max"),
+        "word_chars_failed": F.expr(f"n_words >= {least_words} AND word_chars_100 > word_chars_max"),
         "dup_lines_failed": F.expr("dup_lines > dup_lines_max"),
     })
     kept = F.expr("NOT (base_failed OR symbols_failed OR word_chars_failed OR dup_lines_failed)")

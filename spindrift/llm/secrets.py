@@ -9,11 +9,15 @@ The smallest alphabet that holds all their characters is the encoding inferred:
 hexadecimal, base 32, letters of one case with digits, or base 64.  Three tests
 ask whether the characters look drawn evenly and independently from it:
 chi-squared for uniformity, runs above and below the alphabet's middle, and
-lag-1 serial correlation; the least p-value times three is the candidate's.
-Ordinary identifiers get small ones.  Benjamini and Hochberg's rule, applied
-within each class of lengths (log2) over all candidates of the table, rejects
-those at a false-discovery rate of ``RATE``; the rest is reported.  The rule
-needs only counts of p-values in bins of a tenth of a decade, a small table.
+lag-1 serial correlation.  The candidate's p-value is that of the least of the
+three, 1 - (1 - p)**3, evenly distributed for drawn strings; ordinary identifiers
+get small ones.  A report is a discovery of a drawn string, a false one if the
+string is ordinary.  Within each class of lengths (log2), over all candidates of
+the table, those with p-values over ``SURE`` estimate how many are drawn
+(Storey's estimate), so whatever lies above a limit beyond that even share is
+taken for false; the limit is the lowest at which the share of false ones among
+the reported is ``RATE`` or less, and never above ``SURE``.  The rule needs only
+counts of p-values in bins of a tenth of a decade, a small table.
 
 Defined results: null text is an empty one; repeated rows are scanned each; an
 empty table gives no rows; columns beyond the two named are ignored.
@@ -30,6 +34,8 @@ from .quality import let
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"
 MIN_RANDOM, RATE, BINS, CHUNK = 20, 0.05, 300, 512
+#: p-values over 10 ** (-SURE / 10) are taken for those of drawn strings.
+SURE = 13
 RANDOM = "[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_RANDOM
 KINDS = ("assign", "access", "hex", "random")
 #: name, pattern of the whole, characters in order
@@ -84,7 +90,7 @@ def _p_value() -> str:
     mean = f"{_sum('transform(v, y -> cast(y AS bigint))')} / cast(n AS double)"
     total = lambda x: f"aggregate({x}, 0D, (a, y) -> a + y)"
     serial = let(mean, "mean", let(f"{total('transform(v, y -> (y - mean) * (y - mean))')}", "var", f"if(var = 0, 40D, sqrt(n) * {total('transform(v, (y, i) -> coalesce((y - mean) * (get(v, i - 1) - mean), 0D))')} / var)"))
-    return let(z_chi, "zc", let(z_runs, "zr", let(serial, "zs", f"least(1D, 3 * least({_tail('zc')}, 2 * {let('abs(zr)', 'a', _tail('a'))}, 2 * {let('abs(zs)', 'a', _tail('a'))}))")))
+    return let(z_chi, "zc", let(z_runs, "zr", let(serial, "zs", let(f"least(1D, {_tail('zc')}, 2 * {let('abs(zr)', 'a', _tail('a'))}, 2 * {let('abs(zs)', 'a', _tail('a'))})", "p", "if(p < 1e-6, 3 * p, 1 - power(1 - p, 3))"))))
 
 
 def _tests() -> str:
@@ -112,20 +118,21 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def limits(found: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """The lowest bin rejected in each class of lengths: Benjamini and Hochberg's rule on counts.  A class has one row."""
+    """The highest bin reported in each class of lengths (bins go up as p-values go down)."""
     counts = found.select(F.explode("tested").alias("c")).groupBy("c.len", "c.bin").agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("len")  # no more rows than bins
-    ranked = counts.select("len", "bin", F.sum("n").over(group.orderBy(F.desc("bin"))).alias("below"), F.sum("n").over(group).alias("total"))
-    rows = ranked.filter(f"power(10D, -bin / 10D) <= {rate} * below / total").groupBy("len").agg(F.min("bin").alias("bin")).collect()
+    ranked = counts.select("len", "bin", F.sum("n").over(group.orderBy("bin")).alias("reported"), F.sum(F.when(F.col("bin") < SURE, F.col("n")).otherwise(0)).over(group).alias("sure"))
+    drawn = f"sure * (1 - power(10D, -(bin + 1) / 10D)) / (1 - power(10D, -{SURE} / 10D))"  # as many would lie above the bin
+    rows = ranked.filter(f"bin >= {SURE} AND reported - {drawn} <= {rate} * reported").groupBy("len").agg(F.max("bin").alias("bin")).collect()
     return {r.len: r.bin for r in rows}
 
 
 def scan(docs: DataFrame, *, rate: float = RATE, **columns: str) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
     found = common.written(candidates(docs, **columns), "secrets")
-    below = limits(found, rate)
-    least = "CASE c.len " + " ".join(f"WHEN {k} THEN {v}" for k, v in below.items()) + f" ELSE {BINS + 1} END" if below else str(BINS + 1)
-    random = f"transform(filter(tested, c -> c.bin < {least}), c -> named_struct('s', c.s, 'kind', 3, 'e', c.e))"
+    upto = limits(found, rate)
+    most = "CASE c.len " + " ".join(f"WHEN {k} THEN {v}" for k, v in upto.items()) + f" ELSE {SURE - 1} END" if upto else str(SURE - 1)
+    random = f"transform(filter(tested, c -> c.bin <= {most}), c -> named_struct('s', c.s, 'kind', 3, 'e', c.e))"
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     joined = lambda x: f"array_join(transform({x}, x -> concat_ws(':', {names}[x.kind], x.s, x.e)), ',')"
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.expr(f"sha2({joined('base')}, 256)").alias("base_sha256"), F.expr(joined(f"sort_array(concat(base, {random}))")).alias("spans"))

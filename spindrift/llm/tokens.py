@@ -6,7 +6,8 @@ splits a batch into units and finds the distinct ones; a worker asks the library
 for each of these once and remembers the answer, since text repeats most of its
 words.  The rule that splits runs of white space looks across units, so texts
 with such runs, or with white space other than blanks and newlines, go to the
-library whole.  A vocabulary that drops white space and case is asked for units
+library whole.  So do texts that hold the string of a special token, which the
+library reads as that token.  A vocabulary that drops white space and case is asked for units
 without the capitals of ASCII and without a last comma or full stop.
 """
 
@@ -54,7 +55,8 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", t) for t in special)
         self.keeps_blanks = keeps_blanks
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -62,8 +64,13 @@ class Coder:
     def size(self) -> int:
         return self.tokenizer.get_vocab_size()
 
+    def _ask_whole(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = False
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ask(self, texts: list[str]) -> list[bytes]:
-        """Words of plain Latin letters are one piece each and go to the merges directly; the others go through the whole tokenizer."""
+        """Words of plain Latin letters are one piece each and go to the merges directly; the others go through the whole tokenizer.  A unit is never a special token."""
+        self.tokenizer.encode_special_tokens = True
         out: list = [None] * len(texts)
         merged, other = self.tokenizer.model.tokenize, []
         for i, text in enumerate(texts):
@@ -93,16 +100,19 @@ class Coder:
         return np.concatenate(ids), np.concatenate(ends)
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keeps_blanks:
-            return self._by_units(_apart(pc.ascii_lower(pc.replace_substring(texts, "\n", " "))))
-        whole = pc.match_substring_regex(texts, _WHOLE)
-        marked = pc.binary_join_element_wise(_BARE, pc.if_else(whole, "", texts), "")
-        ids, off = self._by_units(pc.replace_substring(marked, "\n", f" \n {_BARE}"))
+        rules = [r for r in (_WHOLE if self.keeps_blanks else "", self.special) if r]
+        whole = pc.match_substring_regex(texts, "|".join(rules)) if rules else pa.array(np.zeros(len(texts), bool))
+        units = pc.if_else(whole, "", texts)
+        if self.keeps_blanks:
+            marked = pc.binary_join_element_wise(_BARE, units, "")
+            ids, off = self._by_units(pc.replace_substring(marked, "\n", f" \n {_BARE}"))
+        else:
+            ids, off = self._by_units(_apart(pc.ascii_lower(pc.replace_substring(units, "\n", " "))))
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         if not len(odd):
             return ids, off
         parts = [ids[a:b] for a, b in zip(off, off[1:])]
-        for i, own in zip(odd.tolist(), self._ask(texts.take(pa.array(odd)).to_pylist())):
+        for i, own in zip(odd.tolist(), self._ask_whole(texts.take(pa.array(odd)).to_pylist())):
             parts[i] = np.frombuffer(own, "<u4")
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 

@@ -9,8 +9,9 @@ rule that is left wins.  A url without one gets the method's verdict: block if
 its whole canonical form (host and path) is in ``listed``, by the same filter
 and join, else allow.
 
-Equal urls are judged once.  The filter's size is a parameter, so it may be
-broadcast; the list is joined as Spark's own size checks decide.
+Equal urls are judged once.  The filter grows with the list, so false positives
+stay rare; it is broadcast up to ``BROADCAST_BLOCKS`` blocks and joined by block
+beyond.  The list is joined as Spark's own size checks decide.
 
 Defined results: null urls and urls without ``://`` have an empty host and path,
 fit no rule and are allowed; repeated rows get one verdict each; an empty table
@@ -22,21 +23,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bloom filter: blocks of 64 bits, and bits set for a key.
-BLOCKS, BITS = 1 << 16, 5
+#: Bloom filter: blocks of 64 bits at least, keys a block, bits set for a key, and blocks that may be broadcast (24 bytes each).
+BLOCKS, KEYS, BITS, BROADCAST_BLOCKS = 1 << 16, 4, 5, 1 << 20
 
 
-def _hash(c: str) -> dict:
+def blocks_for(keys: int) -> int:
+    """Blocks for so many keys: a power of two, with 16 bits or more a key."""
+    return max(BLOCKS, 1 << max(0, (keys // KEYS)).bit_length())
+
+
+def _hash(c: str, blocks: int) -> dict:
     h = F.xxhash64(F.col(c))
     mask = F.lit(0).cast("long")
     for k in range(BITS):
         mask = mask.bitwiseOR(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({c}), {6 * k}) & 63 AS int))"))
-    return {"block": F.pmod(F.shiftrightunsigned(h, 6 * BITS), F.lit(BLOCKS)), "mask": mask}
+    return {"block": F.pmod(F.shiftrightunsigned(h, 6 * BITS), F.lit(blocks)), "mask": mask}
 
 
-def filter_of(keys: DataFrame) -> DataFrame:
-    """(block, bits): the filter of ``keys`` (key string); never more rows than ``BLOCKS``."""
-    return keys.withColumns(_hash("key")).groupBy("block").agg(F.bit_or("mask").alias("bits"))
+def filter_of(keys: DataFrame, blocks: int) -> DataFrame:
+    """(block, bits): the filter of ``keys`` (key string); never more rows than ``blocks``."""
+    return keys.withColumns(_hash("key", blocks)).groupBy("block").agg(F.bit_or("mask").alias("bits"))
 
 
 def parts(url: str = "url") -> dict:
@@ -66,8 +72,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], listed: DataFrame | No
     if listed is not None:
         own = listed.select(F.col("url").alias("key")).filter("key is not null").distinct()
         table = table.union(own.join(table.select("key"), "key", "left_anti").select("key", F.lit(None).cast("string").alias("rule"), F.lit("block").alias("says")))
-    bloom = filter_of(table.select("key"))
-    possible = wanted.withColumns(_hash("key")).join(F.broadcast(bloom), "block").filter("bits & mask = mask").select("url", "key")
+    blocks = blocks_for(len(rules) + (listed.count() if listed is not None else 0))
+    bloom = filter_of(table.select("key"), blocks)
+    possible = wanted.withColumns(_hash("key", blocks)).join(F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom, "block").filter("bits & mask = mask").select("url", "key")
     exact = possible.join(table, "key")
     best = exact.groupBy("url").agg(F.max(F.struct(F.col("rule").isNotNull().alias("is_rule"), F.length("key").alias("n"), "key", "rule", "says")).alias("best"))
     return rows.join(best, "url", "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit("allow")).alias("verdict"))
