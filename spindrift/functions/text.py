@@ -17,6 +17,16 @@ def accent_fold(text: Column) -> Column:
     return F.translate(F.lower(text), "".join(_PLAIN.values()), "".join(k * len(v) for k, v in _PLAIN.items()))
 
 
+def accent_fold_all(text: Column) -> Column:
+    """Lower case, compatibility forms and no combining marks, for every script; goes through Arrow batches."""
+    import unicodedata
+
+    def fold(value: str | None) -> str | None:
+        return None if value is None else "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
+
+    return F.udf(fold, "string", useArrow=True)(text)
+
+
 def tokens(text: Column, stop: tuple[str, ...] = STOP_SEARCH) -> Column:
     """The set of significant tokens: folded runs of letters and digits longer than two, but stop words."""
     runs = F.regexp_extract_all(accent_fold(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
@@ -61,14 +71,56 @@ def plain_markdown(text: Column) -> Column:
     return F.regexp_replace(t, r"(?m)^\s*[-*+]\s+", "")
 
 
-def front_matter(text: Column) -> Column:
-    """struct(title, body): the title of a YAML head, and the body without macro lines."""
-    title = F.regexp_extract(text, r"(?s)\A---\n.*?^?title:\s*[\"']?([^\n\"']+)", 1)
-    body = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")
-    body = F.regexp_replace(body, r"(?m)^\s*\{\{[^}]*\}\}\s*$\n?", "")
+def bare(text: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+
+
+def _headed(text: Column) -> tuple[Column, Column]:
+    """The title of a YAML head, and the text without the head."""
+    head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    title = F.regexp_extract(head, r"(?m)^title:[ \t]*(.*?)[ \t]*$", 1)
+    return F.regexp_replace(title, r"^([\"'])(.*)\1$", "$2"), F.regexp_replace(text, r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
+
+
+def web_page(text: Column) -> Column:
+    """struct(title, body) of a web-documentation page: lines of macros only go, a cross-reference keeps its first quoted argument in backticks, other macros go."""
+    title, body = _headed(text)
+    body = F.regexp_replace(body, r"(?m)^[ \t]*(?:\{\{[^}]*\}\}[ \t]*)+$\n?", "")
     body = F.regexp_replace(body, r"\{\{\s*\w+\(\s*[\"']([^\"']+)[\"'][^}]*\}\}", "`$1`")
-    body = F.regexp_replace(body, r"\{\{[<%]?[^}]*\}\}", "")
-    return F.struct(F.trim(title).alias("title"), F.trim(body).alias("body"))
+    body = F.regexp_replace(body, r"\{\{[^}]*\}\}", "")
+    return F.struct(F.trim(title).alias("title"), bare(body).alias("body"))
+
+
+def container_page(text: Column) -> Column:
+    """struct(title, body) of a container-documentation page: shortcodes of both kinds go, lines that consist of them with their line end."""
+    title, body = _headed(text)
+    code = r"\{\{(?:<.*?>|%.*?%)\}\}"
+    body = F.regexp_replace(body, rf"(?m)^[ \t]*(?:{code}[ \t]*)+$\n?", "")
+    return F.struct(F.trim(title).alias("title"), bare(F.regexp_replace(body, code, "")).alias("body"))
+
+
+def area_language(area: Column, languages: dict[str, str]) -> Column:
+    """The language of a documentation area; unknown areas are named after themselves."""
+    return F.coalesce(*[F.when(F.lower(area) == k, v) for k, v in languages.items()], F.lower(area))
+
+
+def manual_language(page: Column, languages: dict[str, str]) -> Column:
+    """The language of a manual page: that of its name or of the name before its first dash, else bash."""
+    name = F.lower(page)
+    first = F.split(name, "-")[0]
+    return F.coalesce(*[F.when((name == k) | (first == k), v) for k, v in languages.items()], F.lit("bash"))
+
+
+def canonical_model(name: str, owner: str = "sentence-transformers") -> str:
+    """A bare model name gains its owner."""
+    return name if "/" in name else f"{owner}/{name}"
+
+
+def prompt_prefix(model: str, kind: str) -> str:
+    """What models of the e5 family want before a text: ``kind`` is query or passage."""
+    base = model.rsplit("/", 1)[-1].lower()
+    return f"{kind}: " if base.startswith("e5-") or "-e5-" in base else ""
 
 
 def no_overstrike(text: Column) -> Column:

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import accent_fold
 
-DOMAINS = {"science": ("tion", "ment", "logie"), "language": ("ing", "eur", "keit"), "place": ("land", "ville", "stadt")}
+DOMAINS = {
+    "science": ("physi", "chemi", "biolog", "energ", "molec", "planet", "cellul"), "technology": ("software", "comput", "network", "reseau", "algorithm", "program", "server"),
+    "history": ("empire", "siecle", "century", "war ", "guerre", "revolution", "dynast"), "geography": ("river", "fleuve", "mountain", "montagne", "capital", "ocean", "island"),
+    "language": ("grammar", "grammaire", "verb", "syntax", "alphabet", "vowel", "dialect"),
+}
 COMPARE, DEFINE, EXAMPLE = ("versus", "compar", "differ", "unlike"), ("is a", "defin", "means", "est un"), ("for example", "such as", "par exemple")
 GREET, CREATE, REASON = ("hello", "bonjour", "hola", "hallo"), ("write", "imagine", "invent"), ("why", "explain", "pourquoi", "warum")
 STAGES = {
@@ -20,22 +24,22 @@ def _hits(text: Column, cues: tuple[str, ...]) -> Column:
     return sum((text.contains(c).cast("int") for c in cues), F.lit(0))
 
 
-def _counts(text: Column) -> dict[str, Column]:
+def _counts(text: Column, domains: dict[str, tuple[str, ...]]) -> dict[str, Column]:
     folded = accent_fold(F.coalesce(text, F.lit("")))
-    return {d: _hits(folded, cues) for d, cues in DOMAINS.items()}
+    return {d: _hits(folded, cues) for d, cues in domains.items()}
 
 
-def domain(filename: Column, text: Column) -> Column:
+def domain(filename: Column, text: Column, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
     """A domain named by the file, else the one with most keywords if two at least (the first on ties), else ``general``."""
-    counts = _counts(text)
-    named = F.coalesce(*[F.when(F.lower(filename).contains(d), d) for d in DOMAINS])
+    counts = _counts(text, domains)
+    named = F.coalesce(*[F.when(F.lower(filename).contains(d), d) for d in domains])
     top = F.greatest(*counts.values())
     return F.coalesce(named, F.when(top >= 2, F.coalesce(*[F.when(c == top, d) for d, c in counts.items()])), F.lit("general"))
 
 
-def domain_hint(query: Column) -> Column:
+def domain_hint(query: Column, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
     """The domain with strictly most keywords, else null."""
-    counts = _counts(query)
+    counts = _counts(query, domains)
     top = F.greatest(*counts.values())
     ties = sum(((c == top).cast("int") for c in counts.values()), F.lit(0))
     return F.when((top > 0) & (ties == 1), F.coalesce(*[F.when(c == top, d) for d, c in counts.items()]))
@@ -69,6 +73,16 @@ def query_type(query: Column, label: Column | None = None, sure: Column | None =
             .when(q.contains("?") | (_hits(q, ("what", "who", "when", "where", "quel", "qui ", "wer ", "wo ")) > 0), "factual").otherwise("conversation"))
 
 
+def routed(query: Column, label: Column | None = None, sure: Column | None = None, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
+    """struct(kind, stages, domain, reason): a code fence sets the domain code, a greeting none."""
+    kind = query_type(query, label, sure)
+    fenced, greets = F.coalesce(query.contains("```"), F.lit(False)), _hits(accent_fold(F.coalesce(query, F.lit(""))), GREET) > 0
+    learned = (sure >= 0.5) & label.isin(*STAGES) if label is not None else F.lit(False)
+    hint = F.when(fenced, "code").when(greets & ~F.coalesce(learned, F.lit(False)), F.lit(None)).otherwise(domain_hint(query, domains))
+    reason = F.when(fenced, "code fence").when(learned, "classifier").otherwise("cues")
+    return F.struct(kind.alias("kind"), stages(kind).alias("stages"), hint.alias("domain"), reason.alias("reason"))
+
+
 def stages(kind: Column) -> Column:
     return F.coalesce(*[F.when(kind == k, F.array(*map(F.lit, v))) for k, v in STAGES.items()])
 

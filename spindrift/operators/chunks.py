@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 HEAD = re.compile(r"^(#{1,4})\s+(.*)$")
 ANY_HEAD = re.compile(r"^#{1,6}\s+(.*)$")
+UNDERLINE = re.compile(r"=+|-+|~+|\^+")
 
 
 def sections(text: str) -> list[tuple[str, str]]:
@@ -40,32 +42,46 @@ def packed_sentences(text: str, size: int = 400, overlap: int = 50, least: int =
     return [c for c in [*out, held] if len(c.strip()) > least]
 
 
-def code_chunks(text: str, most: int = 1500, least: int = 40) -> list[tuple[str, str]]:
-    """(section, chunk): whole blocks between blank lines, never over sections; fences hold together; oversize blocks are cut at lines."""
-    units: list[tuple[str, str]] = []
-    section, block, fenced = "", [], False
+def prose(text: str) -> list[tuple[str, str]]:
+    """(section, chunk): the sections' sentences, packed."""
+    return [(title, c) for title, body in sections(text) for c in packed_sentences(body)]
+
+
+def units(text: str, markdown: bool = True) -> list[tuple[str, str]]:
+    """(section, block): blocks between blank lines; fences hold together; sections begin at underlined titles and, in markdown, at headings."""
+    out: list[tuple[str, str]] = []
+    section, block, fence = "", [], ""
 
     def close() -> None:
         if block:
-            units.append((section, "\n".join(block)))
+            out.append((section, "\n".join(block)))
             block.clear()
 
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-        if not fenced and (m := ANY_HEAD.match(line)):
+    for line in text.split("\n"):
+        mark = line.strip()[:3]
+        under = not fence and block and UNDERLINE.fullmatch(line.strip()) and len(line.strip()) >= max(3, len(block[-1].strip()) / 2)
+        if fence or mark in ("```", "~~~") and not under:
+            block.append(line)
+            fence = "" if fence and mark == fence else fence or mark
+        elif markdown and (m := ANY_HEAD.match(line)):
             close()
             section = m[1].strip()
-        elif not fenced and re.fullmatch(r"[=~^-]{3,}", line.strip()) and len(block) == 1 and len(line.strip()) >= len(block[0]) / 2:
-            section = block.pop().strip()
-        elif not fenced and not line.strip():
+        elif under:
+            title = block.pop().strip()  # a paragraph may end right before it
+            close()
+            section = title
+        elif not line.strip():
             close()
         else:
             block.append(line)
     close()
+    return out
+
+
+def code_chunks(text: str, most: int = 1500, least: int = 40, markdown: bool = True) -> list[tuple[str, str]]:
+    """(section, chunk): whole blocks, packed with a blank line between, never over sections; oversize blocks are cut at lines."""
     out: list[tuple[str, str]] = []
-    for name, body in units:
+    for name, body in units(text, markdown):
         parts, held = [], ""
         for line in body.split("\n") if len(body) > most else [body]:
             if held and len(held) + 1 + len(line) > most:
@@ -91,6 +107,14 @@ def message_parts(text: str, limit: int = 4000) -> list[str]:
     return [*out, text]
 
 
+@udtf(returnType="part int, text string")
+class MessageParts:
+    """``message_parts`` as a table function: (part, text)."""
+
+    def eval(self, text: str, limit: int):
+        yield from enumerate(message_parts(text or "", limit))
+
+
 def chunked(docs: DataFrame, split: Callable[[str], list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, section, chunk) by a splitter that gives chunks or (section, chunk) pairs; null text gives none."""
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_GATE, accent_fold, clean_chunk, tokens
+from . import search
 
 BOOST, CAP, RERANK_WINDOW, PASSAGE = 0.08, 0.30, 16, 1000
 GATE, SECOND = 0.84, 0.90
@@ -20,20 +23,59 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def encoded(text: Column, dim: int = DIM) -> Column:
-    """The offline encoder: token hashes in ``dim`` buckets, of unit length."""
-    at = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
-    counts = let(at, lambda a: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(a, lambda x: x == i)).cast("double")))
+    """The offline encoder: token hashes in ``dim`` buckets, of unit length.  A bucket is a character, so counting one is a string operation."""
+    if not 0 < dim <= 72:
+        raise ValueError("the offline encoder has 1 to 72 buckets")
+    at = F.transform(tokens(text), lambda t: F.chr(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim + 48))
+    buckets = F.array(*[F.lit(chr(48 + i)) for i in range(dim)])
+    counts = let(F.array_join(at, ""), lambda s: F.transform(buckets, lambda c: (F.length(s) - F.length(F.replace(s, c))).cast("double")))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: x / F.when(n > 0, n).otherwise(1.0))))
 
 
 def boosted(window: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``score`` = cosine + min(CAP, BOOST x shared tokens) over (query_id, id, score); the cosine stays as ``score_cosine``."""
+    """``score`` = cosine + min(CAP, BOOST x shared tokens) over (query_id, id, score); the cosine stays as ``score_cosine``.  Only the window's texts are looked into."""
     q = queries.select("query_id", tokens(F.col("text")).alias("qt"))
-    c = corpus.select("id", tokens(F.col("text")).alias("ct"), *[c for c in corpus.columns if c not in ("id", "text")])
-    gain = F.least(F.lit(CAP), F.lit(BOOST) * F.size(F.array_intersect("qt", "ct")))
+    c = corpus.select("id", F.col("text").alias("_ct"), *[c for c in corpus.columns if c not in ("id", "text", "embedding", "codes", "scale", "words")])
+    gain = F.least(F.lit(CAP), F.lit(BOOST) * F.size(F.array_intersect("qt", tokens(F.col("_ct")))))
     joined = window.select("query_id", "id", F.col("score").alias("score_cosine")).join(c, "id").join(q, "query_id")
-    return joined.withColumn("score", F.round(F.col("score_cosine") + gain, 6)).drop("qt", "ct")
+    return joined.withColumn("score", F.round(F.col("score_cosine") + gain, 6)).drop("qt", "_ct")
+
+
+def boosted_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of the whole corpus (id, text, embedding) by boosted score, for queries (query_id, text, embedding) in blocks."""
+    spark = corpus.sparkSession
+    rows = corpus.select("id", "embedding", tokens(F.col("text")).alias("tokens"))
+    out = None
+    parts = max(1, -(-queries.count() // search.BLOCK))
+    for part in range(parts):
+        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "embedding", tokens(F.col("text")).alias("qt")).orderBy("query_id").collect()
+        vocabulary = {t: i for i, t in enumerate(sorted({t for r in asked for t in r.qt}))}
+        holds = np.zeros((len(vocabulary), len(asked)), np.int32)
+        for j, r in enumerate(asked):
+            holds[[vocabulary[t] for t in r.qt], j] = 1
+        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in asked], np.int64), np.array([r.embedding for r in asked], np.float64), vocabulary, holds))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, vocabulary, holds = shared.value
+            best = search.Best(len(names), k)
+            for batch in batches:
+                for at in range(0, batch.num_rows, search.ROWS) if len(names) else ():
+                    own = batch.slice(at, search.ROWS)
+                    ids = own.column(0).to_numpy()
+                    s = search.scores(q, search.matrix(own.column(1), ids, q.shape[1]), "exact")
+                    coded = own.column(2).flatten().dictionary_encode()
+                    places = np.array([vocabulary.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+                    met = places[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                    of = np.repeat(np.arange(len(ids)), own.column(2).value_lengths().to_numpy())
+                    common = np.zeros((len(ids), len(names)), np.int32)
+                    np.add.at(common, of[met >= 0], holds[met[met >= 0]])
+                    best.add(np.round(s + np.minimum(CAP, BOOST * common.T), 6), ids)
+            yield best.batch(names)
+
+        found = rows.mapInArrow(run, search.FOUND)
+        out = found if out is None else out.union(found)
+    return search.rank(out, k)
 
 
 def best_effort(window: DataFrame, condition: Column) -> DataFrame:
@@ -47,9 +89,22 @@ def ranked(window: DataFrame, k: int, by: str = "score") -> DataFrame:
     return window.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def overlap(q: Column, p: Column) -> Column:
+    """The offline scorer: the share of the query's tokens that the passage has."""
+    return F.size(F.array_intersect(tokens(q), tokens(p))) / F.greatest(F.lit(1), F.size(tokens(q)))
+
+
+def load_scorer(load: Callable[[], Callable[[Column, Column], Column]]) -> Callable[[Column, Column], Column] | None:
+    """A reranker, or None where it can't be loaded; the caller then keeps the first k, unscored."""
+    try:
+        return load()
+    except (ImportError, OSError, ValueError):
+        return None
+
+
 def rerank(window: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Scores the first RERANK_WINDOW rows of each query anew (passages cut for scoring only) and keeps k."""
-    scorer = scorer or (lambda q, p: F.size(F.array_intersect(tokens(q), tokens(p))) / F.greatest(F.lit(1), F.size(tokens(q))))
+    scorer = scorer or overlap
     rows = ranked(window, RERANK_WINDOW).drop("rank").join(queries.select("query_id", F.col("text").alias("_q")), "query_id").join(corpus.select("id", F.substring("text", 1, PASSAGE).alias("_p")), "id")
     return ranked(rows.withColumn("score_reranker", F.round(scorer(F.col("_q"), F.col("_p")), 6)).drop("_q", "_p"), k, "score_reranker")
 
@@ -69,5 +124,3 @@ def threshold_sweep(best: DataFrame, thresholds: list[float]) -> DataFrame:
     return rows.groupBy("threshold").agg(passed.alias("n_pass"), (F.count(F.lit(1)) - passed).alias("n_refused"))
 
 
-def answer_form(n_chunks: Column, n_memory: Column, kind: Column) -> Column:
-    return F.when((n_chunks == 0) & (n_memory == 0), "not_found").when(n_chunks > 0, F.when(kind.isin("comparison", "explanation"), kind).otherwise("factual")).otherwise("conversation")

@@ -1,10 +1,12 @@
-"""Evaluation metrics and label splits."""
+"""Evaluation metrics, usage counters and label splits."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import significant_words
+
 
 def stratified_split(rows: DataFrame, label: str, id_col: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: of each class max(1, rint(n x ratio)) rows, the smallest hashes of their id, validate."""
@@ -21,9 +23,75 @@ def class_balance(rows: DataFrame, label: str) -> DataFrame:
 
 
 def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
-    """Overall (null label) and per class."""
-    return rows.rollup(label).agg(F.round(F.avg((F.col(label) == F.col(predicted)).cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    """(label, is_total, accuracy, n): one row a class, null included, and the total."""
+    right = F.round(F.avg(F.coalesce(F.col(label) == F.col(predicted), F.lit(False)).cast("double")), 6)
+    return rows.rollup(label).agg(F.grouping_id().cast("int").alias("is_total"), right.alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def latency_summary(rows: DataFrame, value: str, key: str, limit: float = 1000.0) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.bool_and(F.col(value) < limit).alias("all_under"))
+
+
+def nearest_rank(rows: DataFrame, value: str, shares: list[float], key: str | None = None) -> DataFrame:
+    """(key, share, value): the value at place rint(share x (n - 1)), halves to even, of the sorted values; by counts of distinct values, so no group is collected."""
+    by = [F.col(key)] if key else []
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    placed = counts.withColumns({"upto": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)})
+    asked = placed.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter(F.col("upto") > F.rint(F.col("share") * (F.col("n") - 1)))
+    return asked.groupBy(*by, "share").agg(F.min("v").alias("value"))
+
+
+def grounded(response: Column, context: Column) -> Column:
+    """Whether an answer and its context share a significant word."""
+    return F.arrays_overlap(significant_words(response), significant_words(context))
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row over (query, expect_refusal, refused, generated_by, latency_s, response_chars, grounded).
+
+    The refusal rate is that of the queries that should be refused, 1 without
+    any; the grounding rate that of generated answers, 0 without any.
+    """
+    model = ~F.col("refused") & ~F.col("generated_by").isin("template", "none")
+    n = lambda c: F.count(F.when(c, 1))
+    refusals, written = n(F.col("expect_refusal")), n(model)
+    told = results.agg(
+        F.count(F.lit(1)).alias("n"), n(F.col("refused")).alias("n_refused"), written.alias("n_generated"),
+        F.when(refusals > 0, n(F.col("expect_refusal") & F.col("refused")) / refusals).otherwise(1.0).alias("refusal_rate"),
+        F.when(written > 0, n(model & F.col("grounded")) / written).otherwise(0.0).alias("grounding_rate"),
+        F.round(F.expr("percentile(latency_s, 0.5)"), 6).alias("median"), F.round(F.avg("latency_s"), 6).alias("mean"), F.max("latency_s").alias("max"),
+        F.coalesce(F.bool_and(F.when(F.col("refused"), F.col("latency_s") < 1)), F.lit(True)).alias("refusals_under_1s"),
+    )
+    p95 = nearest_rank(results, "latency_s", [0.95]).select(F.col("value").alias("p95"))  # one row
+    return told.join(p95, how="left")
+
+
+def hit_at_k(found: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, hit): whether any result (query_id, language, origin) has the query's language and one of its ``keywords`` in its origin; queries without results have none."""
+    q = asked.select("query_id", F.col("language").alias("_l"), "keywords")
+    match = (F.col("language") == F.col("_l")) & F.exists("keywords", lambda k: F.contains(F.lower("origin"), F.lower(k)))
+    hits = found.join(q, "query_id").groupBy("query_id").agg(F.bool_or(F.coalesce(match, F.lit(False))).alias("hit"))
+    return asked.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def sweep(truth: DataFrame, search, settings: list) -> DataFrame:
+    """(setting, recall): mean recall of ``search(setting)`` against exact results, for probe or shard counts."""
+    from .search import recall
+
+    out = None
+    for s in settings:
+        own = recall(search(s), truth).agg(F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(int(s)).cast("long").alias("setting"), "recall")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def usage(queries: DataFrame) -> DataFrame:
+    """(kind, generated_by, n, mean_latency, last_id) of recorded queries (query_id, kind, generated_by, latency_s): counters of each kind and generator, of each kind (generator null) and of all (both null), told apart by ``level``."""
+    return queries.rollup("kind", "generated_by").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("latency_s"), 6).alias("mean_latency"), F.max("query_id").alias("last_id"))
 
 
-def latency_summary(rows: DataFrame, value: str, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.expr(f"bool_and({value} < 1000)").alias("all_under"))
+def report(told: DataFrame) -> DataFrame:
+    """(line): a summary row in words."""
+    pct = lambda c: F.concat(F.round(F.col(c) * 100, 1).cast("string"), F.lit(" %"))
+    return told.select(F.concat_ws("; ", F.concat(F.col("n").cast("string"), F.lit(" queries")), F.concat(F.lit("refusal rate "), pct("refusal_rate")), F.concat(F.lit("grounding rate "), pct("grounding_rate")), F.concat(F.lit("median "), F.col("median").cast("string"), F.lit(" s"))).alias("line"))

@@ -1,17 +1,19 @@
-"""Shard centroids, routing with abstention, and clustered (IVF) search."""
+"""Shard centroids, routing with abstention, and clustered (IVF) search over vectors stored by key or cell."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .hybrid import let
-from .search import topk
+from .search import BLOCK, FOUND, dot, topk, topk_where
 
 MARGIN = 0.003
+#: Rows that k-means is fitted on at most, chosen by a hash of their id; every row is indexed.
+FIT_ROWS = 200_000
 
 
 def _normal(vector):
@@ -27,63 +29,121 @@ def centroids(corpus: DataFrame, key: str = "label", vector_col: str = "embeddin
     return wide.select("key", "n", _normal(F.transform("v", lambda s: s["m"])).alias("centroid"))
 
 
-def route(queries: DataFrame, centers: DataFrame, margin: float = MARGIN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, best, score, second, routed): null ``routed`` abstains, so the query searches everything.  There are as many centers as keys."""
+def route(queries: DataFrame, centers: DataFrame, margin: float = MARGIN, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 1) -> DataFrame:
+    """(query_id, best, score, second, routed): null ``routed`` abstains, so the query searches everything; with ``top`` over 1 ``routed`` is the array of the best keys and nothing abstains.  There are as many centers as keys."""
     q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv"))
-    dot = F.aggregate(F.zip_with("qv", "centroid", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
-    pairs = q.join(centers, how="cross").select("query_id", "key", F.round(dot, 6).alias("score"))
+    pairs = q.join(centers, how="cross").select("query_id", "key", F.round(dot(F.col("qv"), F.col("centroid")), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    ranked = pairs.withColumns({"rank": F.row_number().over(order), "second": F.lead("score").over(order)}).filter("rank = 1")
+    ranked = pairs.withColumns({"rank": F.row_number().over(order), "second": F.lead("score").over(order)})
+    if top > 1:
+        best = ranked.filter(F.col("rank") <= top).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("r"))  # ``top`` at most
+        return best.select("query_id", F.transform("r", lambda x: x["key"]).alias("routed"))
     sure = F.col("second").isNotNull() & (F.col("score") - F.col("second") >= margin)
-    return ranked.select("query_id", F.col("key").alias("best"), "score", "second", F.when(sure, F.col("key")).alias("routed"))
+    return ranked.filter("rank = 1").select("query_id", F.col("key").alias("best"), "score", "second", F.when(sure, F.col("key")).alias("routed"))
 
 
-def sharded_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "label", kind: str = "int8") -> DataFrame:
-    """Searches the routed shard and the rows without a key, or everything where the router abstains."""
-    routed = route(queries, centroids(corpus, key)).select("query_id", "routed")
-    asked = queries.join(routed, queries.vec_id == F.col("query_id")).select("vec_id", "embedding", F.col("routed").alias("_shard"))
-    own = corpus.withColumn("_shard", F.col(key))
-    parts = [topk(own, asked.filter("_shard is not null"), k, kind=kind, within="_shard"), topk(corpus, asked.filter("_shard is null").select("vec_id", "embedding"), k, kind=kind), topk(corpus.filter(F.col(key).isNull()), asked.select("vec_id", "embedding"), k, kind=kind)]
-    all_ = parts[0].union(parts[1]).union(parts[2]).select("query_id", "vec_id", "score").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return all_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def sharded_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "label", kind: str = "int8", top: int = 1, margin: float = MARGIN) -> DataFrame:
+    """Searches the routed shards and the rows without a key, or everything where the router abstains.
+
+    With fewer than two key values there is nothing to route: everything is searched.
+    """
+    centers = centroids(corpus, key)
+    if centers.limit(2).count() < 2:
+        return topk(corpus, queries, k, kind=kind)
+    routed = route(queries, centers, margin, top=top).select("query_id", "routed")
+    rows = queries.join(routed, queries.vec_id == F.col("query_id")).select("vec_id", "embedding", "routed").orderBy("vec_id")
+    out = None
+    for block in _blocks(rows):
+        asked = [(r[0], r[1], None if r[2] is None else list(r[2]) if top > 1 else [r[2]]) for r in block]
+        found = topk_where(corpus, asked, k, key, kind=kind)
+        out = found if out is None else out.union(found)
+    return out if out is not None else corpus.sparkSession.createDataFrame([], f"{FOUND}, rank int")
+
+
+def _blocks(rows: DataFrame):
+    """Rows in lists of bounded length."""
+    held = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == BLOCK:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def scan_bound(sizes: DataFrame, n: int) -> DataFrame:
+    """(bound): rows of the ``n`` largest of (cell_id, n): an upper bound of what a search of n cells scans."""
+    largest = sizes.orderBy(F.desc("n"), "cell_id").limit(n)
+    return largest.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bound"))
 
 
 class Ivf:
-    """Cells by k-means with the cosine distance; every row is indexed."""
+    """Cells by k-means with the cosine distance; every row is indexed, and ``save`` stores it by cell."""
 
-    def __init__(self, corpus: DataFrame, cells: int | None = None, iterations: int = 10, seed: int = 42, vector_col: str = "embedding"):
+    def __init__(self, assigned: DataFrame, centers: np.ndarray):
+        self.assigned, self.centers, self.cells = assigned, centers, len(centers)
+
+    @classmethod
+    def build(cls, corpus: DataFrame, cells: int | None = None, iterations: int = 10, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> "Ivf":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         n = corpus.count()
-        self.cells = max(1, min(n, cells or int(math.sqrt(n))))
+        cells = max(1, min(n, cells or int(math.sqrt(n))))
         rows = corpus.withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
-        self.centers = None
-        if self.cells > 1:
-            model = KMeans(k=self.cells, distanceMeasure="cosine", initMode="random", maxIter=iterations, seed=seed, predictionCol="cell_id").fit(rows)
-            self.assigned = model.transform(rows).drop("features")
-            self.centers = np.array(model.clusterCenters())
-            self.centers /= np.maximum(1e-12, np.linalg.norm(self.centers, axis=1, keepdims=True))
-            self.cells = len(self.centers)
-        else:
-            self.assigned = rows.drop("features").withColumn("cell_id", F.lit(0))
+        if cells == 1:
+            first = corpus.select(vector_col).first()
+            return cls(rows.drop("features").withColumn("cell_id", F.lit(0)), np.zeros((1, len(first[0]) if first else 0)))
+        sample = rows if n <= FIT_ROWS else rows.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(n)) < FIT_ROWS)
+        model = KMeans(k=cells, distanceMeasure="cosine", initMode="random", maxIter=iterations, seed=seed, predictionCol="cell_id").fit(sample)
+        centers = np.array(model.clusterCenters())
+        centers /= np.maximum(1e-12, np.linalg.norm(centers, axis=1, keepdims=True))
+        return cls(model.transform(rows).drop("features"), centers)
+
+    def save(self, path: str) -> "Ivf":
+        """Stores the rows by cell and the centers beside them; returns the stored index."""
+        spark = self.assigned.sparkSession
+        self.assigned.repartition("cell_id").write.mode("overwrite").partitionBy("cell_id").parquet(f"{path}/cells")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "cell_id int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
+        return Ivf.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Ivf":
+        centers = spark.read.parquet(f"{path}/centers").orderBy("cell_id").collect()  # as many as cells
+        return cls(spark.read.parquet(f"{path}/cells"), np.array([r.center for r in centers], np.float64))
 
     def probes(self, asked: int | None = None) -> int:
+        """0 or None is the default: all of four cells, else an eighth."""
         default = self.cells if self.cells <= 4 else max(1, self.cells // 8)
         return min(self.cells, asked or default)
 
+    def sizes(self) -> DataFrame:
+        return self.assigned.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def order(self, vectors: np.ndarray) -> np.ndarray:
+        """Cells of each vector, the nearest first."""
+        return np.argsort(-(np.atleast_2d(vectors) @ self.centers.T), axis=1, kind="stable")
+
     def search(self, queries: DataFrame, k: int, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """The best cells of each query, then an equi-join on the cell."""
+        """The best cells of each query, and in these the best rows; cells that no query asks for aren't read."""
         n = self.probes(probes)
-        centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in self.centers]) if self.centers is not None else F.array()
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        if self.centers is None:
-            cells = F.array(F.lit(0))
-        else:
-            cells = F.transform(F.slice(F.sort_array(F.transform(centers, lambda c, i: F.struct(dot(F.col("qv"), c).alias("s"), i.alias("i"))), False), 1, n), lambda s: s["i"])
-        q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("qv")).withColumn("cell_id", F.explode(cells))
-        x = self.assigned.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("xv"), "cell_id")
-        pairs = q.join(x, "cell_id").select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("xv")), 6).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        out = None
+        for block in _blocks(queries.select(id_col, vector_col).orderBy(id_col)):
+            cells = self.order(np.array([r[1] for r in block], np.float64))[:, :n].tolist()
+            found = topk_where(self.assigned, [(r[0], r[1], c) for r, c in zip(block, cells)], k, "cell_id", keyless=False, id_col=id_col, vector_col=vector_col)
+            out = found if out is None else out.union(found)
+        return out if out is not None else self.assigned.sparkSession.createDataFrame([], f"{FOUND}, rank int")
+
+    def tuned(self, sample: DataFrame, k: int, target: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
+        """The fewest probes with which ``sample`` queries (a bounded set) find ``target`` of their exact results."""
+        asked = {r[0]: np.array(r[1], np.float64) for r in sample.select(id_col, vector_col).limit(BLOCK).collect()}
+        if not asked:
+            return self.probes()
+        exact = topk(self.assigned, sample, k, id_col=id_col, vector_col=vector_col).select("query_id", "vec_id")
+        at = exact.join(self.assigned.select(F.col(id_col).alias("vec_id"), "cell_id"), "vec_id").collect()  # k a query
+        place = {i: np.argsort(self.order(v)[0]) for i, v in asked.items()}
+        ranks = np.sort([place[r.query_id][r.cell_id] + 1 for r in at])
+        return int(ranks[min(len(ranks) - 1, math.ceil(target * len(ranks)) - 1)]) if len(ranks) else self.probes()
+
+

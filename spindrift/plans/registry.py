@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import annotate, chunks, graph, hybrid, memory, metrics, search, shards, verify
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-K = 5
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
+from ..operators import annotate, chunks, memory, metrics, search, shards
+from ..operators.store import Store
+from ..sources import readers, scratch
+from . import fixtures as fx
+from .base import QUERIES, SQL, K, folded, query, slugged, table, token_list
 
-    return add
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["QUERIES", "SQL", "entry"]
 
 
 def vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -140,201 +126,270 @@ def sharded_topk(spark, sf):
     return shards.sharded_topk(*vectors(spark, sf), K)
 
 
+def _ivf(spark, sf):
+    """The index, stored by cell; probes are tuned on queries other than those asked."""
+    rows = table(spark, sf, "embeddings")
+    index = shards.Ivf.build(rows).save(scratch.folder(spark, "ivf"))
+    return index, index.tuned(rows.filter("vec_id % 100 = 50"), K)
+
+
 @query()
 def ivf_topk(spark, sf):
+    index, probes = _ivf(spark, sf)
+    return index.search(vectors(spark, sf)[1], K, probes)
+
+
+@query(_EXACT + _TOP)
+def ivf_all_cells(spark, sf):
+    index, _ = _ivf(spark, sf)
+    return index.search(vectors(spark, sf)[1], K, index.cells)
+
+
+@query("SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS bound FROM (SELECT count(*) AS n FROM embeddings GROUP BY label ORDER BY n DESC LIMIT 3)")
+def ivf_scan_bound(spark, sf):
+    return shards.scan_bound(table(spark, sf, "embeddings").groupBy(F.col("label").alias("cell_id")).agg(F.count(F.lit(1)).alias("n")), 3)
+
+
+@query(fx.golden("setting recall", [(10, 1.0)]))
+def probe_sweep(spark, sf):
+    """Ten cells of ten: everything is found."""
     all_, q = vectors(spark, sf)
-    index = shards.Ivf(all_)
-    return index.search(q, K, probes=max(1, index.cells // 2))
+    index = shards.Ivf.build(all_, cells=10)
+    return metrics.sweep(search.topk(all_, q, K), lambda n: index.search(q, K, n), [index.cells])
 
 
-# --- text
-_FOLD = "translate(lower(coalesce(text, '')), '{}', '{}')".format("".join(T._PLAIN.values()), "".join(k * len(v) for k, v in T._PLAIN.items()))
-_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-_TOKENS = lambda stop: f"list_sort(list_distinct(list_filter(regexp_extract_all({_FOLD}, '[a-z0-9]+'), lambda t: length(t) > 2 AND NOT list_contains({_LIST(stop)}, t))))"
+# --- stores
+def _vector_store(spark, sf, mode, rows=None):
+    rows = table(spark, sf, "embeddings") if rows is None else rows
+    return Store.save(rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("vector "), F.col("vec_id")).alias("text"), "label", "embedding"), scratch.folder(spark, "store"), compression=mode)
+
+
+@query(_INT8 + _TOP)
+def store_int8_topk(spark, sf):
+    """Over the codes of a saved store."""
+    store = Store.load(spark, _vector_store(spark, sf, "int8").path)
+    return store.coarse(vectors(spark, sf)[1], K)
+
+
+@query(f"WITH {_Q}, {_CODES}, b AS (SELECT query_id, vec_id, {_BITS} AS score FROM q, x), t AS (SELECT query_id, vec_id FROM (SELECT *, {_RANK} FROM b) WHERE rank <= {16 * K}), s AS (SELECT query_id, vec_id, round(list_inner_product(qv, code) * sc, 6) AS score FROM t JOIN q USING (query_id) JOIN d USING (vec_id)) {_TOP}")
+def binary_int8_topk(spark, sf):
+    """Over the bits and codes of a saved store."""
+    store = Store.load(spark, _vector_store(spark, sf, "binary").path)
+    return store.coarse(vectors(spark, sf)[1], K)
+
+
+@query("SELECT count(*) AS n, CAST(4 * 64 * count(*) AS BIGINT) AS float_bytes, CAST(68 * count(*) AS BIGINT) AS int8_bytes, CAST(8 * count(*) AS BIGINT) AS binary_bytes, CAST(2 AS BIGINT) AS version FROM embeddings")
+def store_append(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    store = _vector_store(spark, sf, "binary", rows.filter("vec_id % 3 = 0")).append(rows.filter("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"), F.lit("more").alias("text"), "label", "embedding"))
+    return store.footprint().withColumn("version", F.lit(store.manifest["version"]).cast("long"))
+
+
+@query(f"WITH {_Q}, s AS (SELECT 0 AS query_id, vec_id, round(list_inner_product(qv, xv) / sqrt(list_inner_product(qv, qv) * list_inner_product(xv, xv)), 6) AS score FROM (SELECT qv FROM q WHERE query_id = 100), x) SELECT vec_id AS id, 'v' || vec_id AS content, score AS similarity FROM (SELECT *, {_RANK} FROM s) WHERE rank <= {K}")
+def remote_topk(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    asked = rows.filter("vec_id = 100").first().embedding
+    remote = rows.select(F.col("vec_id").alias("id"), F.concat(F.lit("v"), F.col("vec_id")).alias("content"), "embedding", F.lit("{}").alias("metadata"))
+    return readers.remote_topk(remote, asked, K).drop("metadata")
+
 
+@query("SELECT count(*) AS n FROM embeddings")
+def remote_count(spark, sf):
+    return table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
 
-@query(f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
+
+@query(f"WITH {_Q}, {_CENTER}, p AS (SELECT query_id, key, round(list_inner_product(qv, centroid), 6) AS score FROM q, centers), r AS (SELECT query_id, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM p) WHERE rank <= 2), {_CODES}, s AS (SELECT r.query_id, vec_id, round(list_inner_product(qv, code) * sc, 6) AS score FROM r JOIN q USING (query_id) JOIN d ON d.label = r.key UNION SELECT q.query_id, vec_id, round(list_inner_product(qv, code) * sc, 6) FROM q, d WHERE label IS NULL) {_TOP}")
+def sharded_top2(spark, sf):
+    return shards.sharded_topk(*vectors(spark, sf), K, top=2)
+
+
+def _trap(spark):
+    return fx.frame(spark, fx.TRAP, "vec_id long, embedding array<double>, label string")
+
+
+@query(fx.golden("vec_id query_id rank", [(1, 1, 1), (2, 1, 2), (30, 1, 5), (3, 1, 3), (4, 1, 4)]))
+def shard_trap(spark, sf):
+    """The vector of the other shard that lies on the axis isn't found; the one without a key is."""
+    rows = _trap(spark)
+    q = fx.frame(spark, [(1, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    found = shards.sharded_topk(rows.filter("vec_id <> 5"), q, K, kind="exact")
+    return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(fx.golden("query_id vec_id rank", [(1, 20, 1)]))
+def shard_trap_full(spark, sf):
+    """A search of everything finds it first."""
+    q = fx.frame(spark, [(1, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    rows = _trap(spark).withColumn("embedding", F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, y: a + y * y))))
+    return search.topk(rows, q, 1).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+# --- text
+@query(f"SELECT doc_id, md5({folded('text')}) AS folded FROM documents")
 def accent_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold(F.coalesce("text", F.lit("")))).alias("folded"))
 
 
-@query(f"SELECT doc_id, array_to_string({_TOKENS(T.STOP_SEARCH)}, ' ') AS tokens FROM documents")
+@query(f"SELECT doc_id, md5({folded('text')}) AS folded FROM documents")
+def accent_fold_all(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold_all(F.coalesce("text", F.lit("")))).alias("folded"))
+
+
+@query(f"SELECT doc_id, array_to_string({token_list('text')}, ' ') AS tokens FROM documents")
 def token_set(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query(f"SELECT doc_id, CASE WHEN s = '' THEN 'unknown' ELSE s END AS slug FROM (SELECT doc_id, regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS s FROM documents)")
+@query(f"SELECT doc_id, array_to_string({token_list('text', T.STOP_GATE)}, ' ') AS tokens FROM documents")
+def gate_token_set(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.tokens(F.col("text"), T.STOP_GATE), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, {slugged('text')} AS slug FROM documents")
 def slug(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda s: s <> '')) AS INT) AS n FROM documents")
-def token_estimate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("n"))
+_LABELS = [(1, "l'École  Normale"), (2, "  "), (3, "a-b c a-b"), (4, "Øre été")]
 
 
-@query()
-def sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+@query(fx.golden("id candidates", [(1, "l_ecole_normale|l_ecole|normale"), (2, ""), (3, "a_b_c_a_b|a_b|c"), (4, "re_ete|re|ete")]))
+def slug_candidates(spark, sf):
+    return fx.frame(spark, _LABELS, "id long, t string").select("id", F.array_join(T.slug_candidates(F.col("t")), "|").alias("candidates"))
 
 
-@query()
-def code_blocks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.inline(T.code_blocks(F.coalesce("text", F.lit("")))))
+_WS = "[ \\t\\n\\x0b\\f\\r]"
 
 
-_COUNT = lambda cues: " + ".join(f"CAST(contains({_FOLD}, '{c}') AS INT)" for c in cues)
-_DOMAINS = "SELECT doc_id, {} FROM documents".format(", ".join(f"{_COUNT(c)} AS {d}" for d, c in annotate.DOMAINS.items()))
+@query(f"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}+'), lambda s: s <> '')) AS INT) AS n FROM documents")
+def token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("n"))
 
 
-@query(f"SELECT doc_id, CASE WHEN greatest(science, language, place) < 2 THEN 'general' WHEN science >= language AND science >= place THEN 'science' WHEN language >= place THEN 'language' ELSE 'place' END AS domain FROM ({_DOMAINS})")
-def domain_tag(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", annotate.domain(F.lit(""), F.col("text")).alias("domain"))
+_FLAT = f"trim(regexp_replace(text, '{_WS}+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, CASE WHEN science > language AND science > place THEN 'science' WHEN language > science AND language > place THEN 'language' WHEN place > science AND place > language THEN 'place' END AS hint FROM ({_DOMAINS})")
-def domain_hint(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", annotate.domain_hint(F.col("text")).alias("hint"))
+def _posed(expression: str, column: str) -> str:
+    return f"SELECT doc_id, CAST(unnest(range(len(ss))) AS INT) AS pos, unnest(ss) AS {column} FROM (SELECT doc_id, list_filter({expression}, lambda s: s <> '') AS ss FROM documents WHERE text IS NOT NULL)"
 
 
-_LOW = lambda cues, by=" + ": by.join(f"CAST(contains(lower(coalesce(text, '')), '{c}') AS INT)" for c in cues)
+@query(_posed(f"string_split(regexp_replace({_FLAT}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))", "sentence"))
+def sentences(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query(f"SELECT doc_id, CASE WHEN {_LOW(annotate.COMPARE)} >= 2 THEN 'comparison' WHEN {_LOW(annotate.DEFINE)} > 0 THEN 'definition' WHEN {_LOW(annotate.EXAMPLE)} > 0 THEN 'example' WHEN length(text) > 200 THEN 'explanation' ELSE 'fact' END AS kind FROM documents")
-def chunk_type(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", annotate.chunk_type(F.col("text")).alias("kind"))
+@query(_posed(f"list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1) || '(\\P{{Lu}}|$)', chr(2) || '\\1', 'g'), chr(1)), lambda s: length(trim(replace(s, chr(2), ' '))))", "n").replace("s <> ''", "s > 0"))
+def strict_sentences(spark, sf):
+    """The lengths of strict sentences; white space before one that isn't split off counts as one character."""
+    one = F.regexp_replace("text", r"([.!?])[ \t\n\x0b\f\r]+", "$1 ")
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.transform(T.strict_sentences(one), lambda s: F.length(s).cast("long"))).alias("pos", "n"))
 
 
-@query("SELECT doc_id, round(least(1.0, 0.5 + CASE WHEN h >= 3 THEN 0.2 WHEN h >= 1 THEN 0.1 ELSE 0 END + CASE WHEN n > 500 AND n < 10000 THEN 0.1 ELSE 0 END + CASE WHEN contains(t, '```') THEN 0 ELSE 0.05 END), 6)::DOUBLE AS confidence FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6} ')) AS h FROM documents)")
-def source_confidence(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", annotate.confidence(F.col("text")).alias("confidence"))
+@query("SELECT doc_id, 'py' AS lang, text || chr(10) AS code FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, '', 'x = 1' || chr(10) FROM documents WHERE text IS NOT NULL")
+def code_blocks(spark, sf):
+    fenced = F.concat(F.lit("see\n```Py title\n"), F.col("text"), F.lit("\n```\nand\n```\nx = 1\n```"))
+    return table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.inline(T.code_blocks(fenced)))
 
 
-@query()
-def chunk_sentences(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.packed_sentences)
+_MARKED = [(1, "# Head\n\nText with [a link](http://x) and `code`.\n- item one\n```\nfence\n```\nend"), (2, "##  Two  ## inline ... dots.. x"), (3, None)]
 
 
-@query()
-def chunk_sections(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.sections)
+@query(fx.golden("id plain", [(1, "Head\n\nText with a link and code.\nitem one\n \nend"), (2, "Two  ## inline ... dots.. x"), (3, None)]))
+def plain_markdown(spark, sf):
+    return fx.frame(spark, _MARKED, "id long, t string").select("id", T.plain_markdown(F.col("t")).alias("plain"))
 
 
-@query()
-def chunk_code(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.code_chunks)
+@query(fx.golden("id shown", [(1, "Head Text with [a link](http://x) and `code`. - item one ``` fence ``` end"), (2, "Two. inline . dots. x"), (3, None)]))
+def clean_chunk(spark, sf):
+    return fx.frame(spark, _MARKED, "id long, t string").select("id", T.clean_chunk(F.col("t")).alias("shown"))
 
 
-# --- hybrid search and the gate: benchmark items ask, documents answer
-_AT = "list_transform(tk, lambda t: CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 64)"
-_UNIT = "list_transform(c, lambda v: v / CASE WHEN list_inner_product(c, c) > 0 THEN sqrt(list_inner_product(c, c)) ELSE 1 END)"
-_ENCODED = lambda rows: f"SELECT * EXCLUDE (slots, c), {_UNIT} AS v FROM (SELECT *, list_transform(range(0, 64), lambda i: CAST(len(list_filter(slots, lambda b: b = i)) AS DOUBLE)) AS c FROM (SELECT *, {_AT} AS slots FROM ({rows})))"
-_BY = lambda score: f"row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, id)"
-_WINDOW = (
-    f"WITH d AS ({_ENCODED(f'SELECT doc_id AS id, text, lang, {_TOKENS(T.STOP_SEARCH)} AS tk FROM documents')}), "
-    f"q AS ({_ENCODED(f'SELECT item_id AS query_id, text AS asked, {_TOKENS(T.STOP_SEARCH)} AS tk FROM benchmark WHERE item_id % 10 = 0')}), "
-    "p AS (SELECT query_id, id, round(list_inner_product(q.v, d.v), 6) AS score_cosine, lang, len(list_intersect(q.tk, d.tk)) AS common FROM q, d), "
-    f"w AS (SELECT query_id, id, score_cosine, lang, round(score_cosine + least({hybrid.CAP}::DOUBLE, {hybrid.BOOST}::DOUBLE * common), 6) AS score FROM (SELECT *, {_BY('score_cosine')} AS r FROM p) WHERE r <= 16), "
-)
-_RANKED = lambda rows, k: f"SELECT * FROM (SELECT *, CAST({_BY('score')} AS INT) AS rank FROM {rows}) WHERE rank <= {k}"
-_SWEEP = (0.3, 0.5, 0.7, 0.84)
+@query(fx.golden("id title body", [("web/css/x", "Grid & flow", "Use `grid` or `div` with care."), ("web/api/y", "", "no head\nbody"), ("learn/z", "", "text")]))
+def web_page(spark, sf):
+    return fx.frame(spark, fx.WEB, "id string, t string").select("id", T.web_page(F.col("t")).alias("p")).select("id", "p.*")
 
 
-def _texts(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    asked = table(spark, sf, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text")
-    return docs, asked
+@query(fx.golden("id title body", [("a", "Run it", "Keep calm.\nend"), ("b", "", "plain {{ kept }}")]))
+def container_page(spark, sf):
+    return fx.frame(spark, fx.CONTAINER, "id string, t string").select("id", T.container_page(F.col("t")).alias("p")).select("id", "p.*")
 
 
-def _window(spark, sf, k=16):
-    docs, asked = _texts(spark, sf)
-    x = docs.select(F.col("id").alias("vec_id"), hybrid.encoded(F.col("text")).alias("embedding"))
-    q = asked.select(F.col("query_id").alias("vec_id"), hybrid.encoded(F.col("text")).alias("embedding"))
-    found = search.topk(x, q, k)
-    return hybrid.boosted(found.select("query_id", F.col("vec_id").alias("id"), "score"), asked, docs), docs, asked
+@query(fx.golden("id clean", [(1, "NAME bold"), (2, "plain")]))
+def overstrike(spark, sf):
+    return fx.frame(spark, [(1, "N\bNA\bAM\bME\bE _\bb_\bo_\bl_\bd"), (2, "plain")], "id long, t string").select("id", T.no_overstrike(F.col("t")).alias("clean"))
 
 
-@query(_WINDOW + "z AS (SELECT 1) " + _RANKED("w", K))
-def hybrid_topk(spark, sf):
-    window, _, _ = _window(spark, sf)
-    return hybrid.ranked(window, K)
+@query(fx.golden("name area manual", [("git-log", "git-log", "git"), ("web/API", "javascript", "bash"), ("ls", "ls", "bash"), ("web/css", "css", "bash")]))
+def source_language(spark, sf):
+    rows = fx.frame(spark, [("git-log",), ("web/API",), ("ls",), ("web/css",)], "name string")
+    return rows.select("name", T.area_language(F.col("name"), readers.AREAS).alias("area"), T.manual_language(F.col("name"), readers.MANUALS).alias("manual"))
 
 
-@query(_WINDOW + "f AS (SELECT * EXCLUDE (n) FROM (SELECT *, count(*) FILTER (lang = 'es') OVER (PARTITION BY query_id) AS n FROM w) WHERE lang = 'es' OR n = 0) " + _RANKED("f", K))
-def filtered_topk_fallback(spark, sf):
-    window, _, _ = _window(spark, sf)
-    return hybrid.ranked(hybrid.best_effort(window, F.col("lang") == "es"), K)
+@query(fx.golden("model canonical prefix", [("all-MiniLM", "sentence-transformers/all-MiniLM", ""), ("x/multilingual-e5-small", "x/multilingual-e5-small", "query: "), ("e5-base", "sentence-transformers/e5-base", "query: "), ("love5-base", "sentence-transformers/love5-base", "")]))
+def model_names(spark, sf):
+    names = ["all-MiniLM", "x/multilingual-e5-small", "e5-base", "love5-base"]
+    return fx.frame(spark, [(n, T.canonical_model(n), T.prompt_prefix(n, "query")) for n in names], "model string, canonical string, prefix string")
 
 
-@query(_WINDOW + f"t AS (SELECT doc_id AS id, {_TOKENS(T.STOP_SEARCH)} AS pt FROM (SELECT doc_id, substring(text, 1, {hybrid.PASSAGE}) AS text FROM documents)), s AS (SELECT w.*, round(len(list_intersect(q.tk, pt)) / CAST(greatest(1, len(q.tk)) AS DOUBLE), 6) AS score_reranker FROM w JOIN t USING (id) JOIN q USING (query_id)) SELECT * FROM (SELECT *, CAST({_BY('score_reranker')} AS INT) AS rank FROM s) WHERE rank <= {K}")
-def reranked_topk(spark, sf):
-    window, docs, asked = _window(spark, sf)
-    return hybrid.rerank(window, asked, docs, K)
+@query("SELECT conv_id, turn, CASE WHEN s = '' THEN 'default' ELSE s END AS session FROM (SELECT conv_id, turn, substring(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}._-]', '', 'g'), 1, 128) AS s FROM conversations)")
+def session_ids(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.session_id(F.col("text")).alias("session"))
 
 
-@query(_WINDOW + f"r AS ({_RANKED('w', K)}), g AS (SELECT r.*, first_value(folded) OVER (PARTITION BY query_id ORDER BY rank) AS top FROM r JOIN (SELECT doc_id AS id, {_FOLD} AS folded FROM documents) USING (id) WHERE score_cosine >= 0.7), t AS (SELECT item_id AS query_id, {_TOKENS(T.STOP_GATE)} AS qt FROM benchmark) SELECT g.* EXCLUDE (top) FROM g JOIN t USING (query_id) WHERE len(qt) = 0 OR len(list_filter(qt, lambda x: contains(top, x))) > 0")
-def relevance_gate(spark, sf):
-    window, docs, asked = _window(spark, sf)
-    return hybrid.gate(hybrid.ranked(window, K), asked, docs, 0.7).drop("text")
+@query("SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+'), lambda w: length(w) > 4))) AS INT) AS n FROM documents")
+def significant_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(T.significant_words(F.col("text"))).alias("n"))
 
 
-@query(_WINDOW + f"b AS ({_RANKED('w', 1)}) SELECT threshold, count(*) FILTER (score_cosine >= threshold) AS n_pass, count(*) FILTER (score_cosine < threshold) AS n_refused FROM b, (SELECT unnest([{', '.join(map(str, _SWEEP))}]::DOUBLE[]) AS threshold) GROUP BY threshold")
-def threshold_sweep(spark, sf):
-    window, _, _ = _window(spark, sf)
-    return hybrid.threshold_sweep(hybrid.ranked(window, 1), list(_SWEEP))
+@query(fx.golden("version", [("3.12",)]))
+def newest_version(spark, sf):
+    return readers.newest_stable(fx.frame(spark, [("3.9",), ("3.12",), ("3.13rc1",), ("2.99",), ("x",)], "version string"))
 
 
-# --- knowledge graph
-@query()
-def kg_entities(spark, sf):
-    return graph.entities(table(spark, sf, "documents"))
+_DEMO = {"science": ("tion", "ment", "logie"), "language": ("ing", "eur", "keit"), "place": ("land", "ville", "stadt")}
+_FOLD = folded("text")
 
 
-@query()
-def kg_relations(spark, sf):
-    return graph.relations(table(spark, sf, "documents"))
+_COUNT = lambda cues: " + ".join(f"CAST(contains({_FOLD}, '{c}') AS INT)" for c in cues)
+_DOMAINS = "SELECT doc_id, {} FROM documents".format(", ".join(f"{_COUNT(c)} AS {d}" for d, c in _DEMO.items()))
 
 
-@query()
-def kg_cooccur(spark, sf):
-    return graph.cooccurrences(table(spark, sf, "documents"))
+@query(f"SELECT doc_id, CASE WHEN greatest(science, language, place) < 2 THEN 'general' WHEN science >= language AND science >= place THEN 'science' WHEN language >= place THEN 'language' ELSE 'place' END AS domain FROM ({_DOMAINS})")
+def domain_tag(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", annotate.domain(F.lit(""), F.col("text"), _DEMO).alias("domain"))
 
 
-def _graph(spark, sf):
-    docs = table(spark, sf, "documents")
-    return graph.triples(graph.relations(docs).union(graph.cooccurrences(docs)))
+@query(f"SELECT doc_id, CASE WHEN science > language AND science > place THEN 'science' WHEN language > science AND language > place THEN 'language' WHEN place > science AND place > language THEN 'place' END AS hint FROM ({_DOMAINS})")
+def domain_hint(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", annotate.domain_hint(F.col("text"), _DEMO).alias("hint"))
 
 
-@query()
-def kg_triples(spark, sf):
-    return _graph(spark, sf)
+_LOW = lambda cues, by=" + ": by.join(f"CAST(contains(lower(coalesce(text, '')), '{c}') AS INT)" for c in cues)
 
 
-@query()
-def kg_neighbors(spark, sf):
-    return graph.neighbours(_graph(spark, sf), "en")
+@query(f"SELECT doc_id, CASE WHEN {_LOW(annotate.COMPARE)} >= 2 THEN 'comparison' WHEN {_LOW(annotate.DEFINE)} > 0 THEN 'definition' WHEN {_LOW(annotate.EXAMPLE)} > 0 THEN 'example' WHEN length(text) > 200 THEN 'explanation' ELSE 'fact' END AS kind FROM documents")
+def chunk_type(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", annotate.chunk_type(F.col("text")).alias("kind"))
 
 
-@query()
-def kg_facts(spark, sf):
-    return graph.facts(_graph(spark, sf), "en")
+@query("SELECT doc_id, round(least(1.0, 0.5 + CASE WHEN h >= 3 THEN 0.2 WHEN h >= 1 THEN 0.1 ELSE 0 END + CASE WHEN n > 500 AND n < 10000 THEN 0.1 ELSE 0 END + CASE WHEN contains(t, '```') THEN 0 ELSE 0.05 END), 6)::DOUBLE AS confidence FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, len(regexp_extract_all(coalesce(text, ''), '(?m)^#{1,6} ')) AS h FROM documents)")
+def source_confidence(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", annotate.confidence(F.col("text")).alias("confidence"))
 
 
 @query()
-def kg_compare(spark, sf):
-    return graph.compare(_graph(spark, sf), "en", "er")
+def chunk_sentences(spark, sf):
+    return chunks.chunked(table(spark, sf, "documents"), chunks.packed_sentences)
 
 
 @query()
-def kg_top_degree(spark, sf):
-    return graph.degrees(_graph(spark, sf))
+def chunk_sections(spark, sf):
+    return chunks.chunked(table(spark, sf, "documents"), chunks.sections)
 
 
 @query()
-def kg_nodes(spark, sf):
-    docs = table(spark, sf, "documents")
-    found = graph.entities(docs).groupBy("id").agg(F.max_by(F.struct("label", "type"), "doc_id").alias("e")).select("id", "e.label", "e.type")  # the latest wins
-    return graph.with_placeholders(found, _graph(spark, sf))
+def chunk_code(spark, sf):
+    return chunks.chunked(table(spark, sf, "documents"), chunks.code_chunks)
 
 
 # --- sessions, routing, labels, events
@@ -381,47 +436,15 @@ def usage_counters(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT quality, round(avg(CAST(quality = toxic AS INT)), 6) AS accuracy, count(*) AS n FROM labels GROUP BY ROLLUP (quality)")
+@query("SELECT lang, CAST(grouping(lang) AS INT) AS is_total, round(avg(CAST(coalesce(lang = guess, false) AS INT)), 6) AS accuracy, count(*) AS n FROM (SELECT lang, CASE WHEN contains(lower(text), ' the ') THEN 'en' WHEN contains(lower(text), ' der ') THEN 'de' WHEN contains(lower(text), ' les ') THEN 'fr' ELSE 'es' END AS guess FROM documents) GROUP BY ROLLUP (lang)")
 def class_accuracy(spark, sf):
-    return metrics.accuracy(table(spark, sf, "labels"), "quality", "toxic")
-
-
-# --- pages and code
-@query()
-def html_text(spark, sf):
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([verify.html_text(x or "") for x in b.column(1).to_pylist()], pa.string())], names=["page_id", "text"])
-
-    return table(spark, sf, "pages").select("page_id", "html").mapInArrow(run, "page_id long, text string")
+    """Of a rule that guesses languages by one word."""
+    low = F.lower("text")
+    guess = F.when(low.contains(" the "), "en").when(low.contains(" der "), "de").when(low.contains(" les "), "fr").otherwise("es")
+    return metrics.accuracy(table(spark, sf, "documents").withColumn("guess", guess), "lang", "guess")
 
 
-@query()
-def html_verify(spark, sf):
-    return verify.verified(table(spark, sf, "pages").withColumn("language", F.lit("html")), "page_id", "language", "html")
-
-
-@query()
-def python_verify(spark, sf):
-    return verify.verified(table(spark, sf, "documents").withColumn("language", F.lit("python")), "doc_id", "language", "text")
-
-
-@query()
-def intent_classify(spark, sf):
-    """A multinomial classifier of languages over the offline encoder, fitted on at most 5 000 rows (by a hash of their id)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = table(spark, sf, "documents").dropna(subset=["lang"]).withColumn("features", array_to_vector(hybrid.encoded(F.col("text"))))
-    names = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    label = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("double") - 1
-    model = LogisticRegression(maxIter=20).fit(rows.orderBy(F.xxhash64("doc_id")).limit(5000).withColumn("label", label))
-    out = model.transform(rows).withColumn("p", vector_to_array("probability"))
-    return out.select("doc_id", F.element_at(F.array(*map(F.lit, names)), (F.col("prediction") + 1).cast("int")).alias("label"), F.round(F.array_max("p"), 6).alias("confidence"))
+from . import answers, checks, graphs, hybrids  # noqa: E402, F401 (they register their queries)
 
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
