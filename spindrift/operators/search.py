@@ -85,15 +85,19 @@ class Best:
     def add(self, s: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Scores of vectors ``ids`` for the queries ``rows`` (all, if not told)."""
         rows = np.arange(len(s)) if rows is None else rows
-        # only queries with a score that reaches their k-th best change
-        some = np.flatnonzero((s >= self.score[rows, -1:]).any(axis=1))
-        for i in range(0, len(some), 256):
-            at = some[i : i + 256]
-            own = rows[at]
-            both = np.concatenate([self.score[own], s[at]], axis=1)
-            names = np.concatenate([self.id[own], np.broadcast_to(ids, (len(own), len(ids)))], axis=1)
-            order = np.lexsort((names, -both), axis=1)[:, : self.k]
-            self.score[own], self.id[own] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        if not s.size:
+            return
+        least, n = self.score[rows, -1], s.shape[1]
+        if n > self.k:
+            least = np.maximum(least, np.partition(s, n - self.k, axis=1)[:, n - self.k])
+        r, c = np.nonzero(s >= least[:, None])  # ties of the k-th best included
+        some = np.unique(r)
+        own = rows[some]
+        of = np.concatenate([np.repeat(some, self.k), r])
+        score, ids = np.concatenate([self.score[own].ravel(), s[r, c]]), np.concatenate([self.id[own].ravel(), ids[c]])
+        order = np.lexsort((ids, -score, of))
+        first = order[np.searchsorted(of[order], some)[:, None] + np.arange(self.k)]
+        self.score[own], self.id[own] = score[first], ids[first]
 
     def batch(self, names: np.ndarray) -> pa.RecordBatch:
         keep = (self.score > -np.inf).ravel()

@@ -199,7 +199,7 @@ def corpus(spark, tmp_path_factory):
     rng = random.Random(12)
     words = {k: ["".join(rng.choice(a) for _ in range(rng.randrange(3, 9))) for _ in range(400)] for k, a in (("en", "abcdefgh"), ("de", "mnopqrst"))}
     text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
-    rows = [(i, "\n".join(text("en" if i % 2 else "de", 30) for _ in range(6)), "en" if i % 2 else "de") for i in range(60)]
+    rows = [(i, "\n".join(text("en" if i % 2 else "de", 30) for _ in range(4)), "en" if i % 2 else "de") for i in range(24)]
     item = text("en", 25)
     base = rows[1][1].replace("\n", " ")
     own = base.split()
