@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
 Each round is written to the shared folder, so lineage stays short and a lost
-executor costs one round at most.  Stars are joined from pre-aggregated minima;
-a hub's edges are rows of the streamed side, which adaptive execution can split.
+executor costs one round at most.  Stars are joined from pre-aggregated minima.
+Hubs, nodes with so many ends that no more than ``HUBS`` nodes can be one, are
+broadcast instead, so a hub's edges stay where they lie.
 """
 
 from __future__ import annotations
@@ -12,20 +13,30 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Hubs at most (16 bytes each), and ends that every hub has at least.
+HUBS, LEAST_ENDS = 100_000, 512
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(rows: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``rows`` (a, b) with the ``m`` of ``least`` (u, m, ends) for a; ``ends`` is the sum of all ends."""
+    hub = F.col("ends") > max(LEAST_ENDS, ends // HUBS)
+    hubs = F.broadcast(least.filter(hub).select("u", "m"))
+    on = F.col("a") == F.col("u")
+    return rows.join(hubs, on).select("a", "b", "m").union(rows.join(hubs, on, "left_anti").join(least.filter(~hub), on).select("a", "b", "m"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    grown = both.filter("b > a").join(least, F.col("a") == F.col("u"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("ends")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "ends")
+    grown = _with_least(both.filter("b > a"), least, 2 * n)
     return grown.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """``edges`` have a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-    moved = edges.join(least, F.col("a") == F.col("u")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("ends")).select(F.col("a").alias("u"), "m", "ends")
+    moved = _with_least(edges, least, n).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
@@ -41,6 +52,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen
-        before, now = now, common.written(_small_star(_large_star(now)), "edges")
+        before, now = now, common.written(_small_star(_large_star(now, seen[0]), seen[0]), "edges")
         common.drop(before)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
