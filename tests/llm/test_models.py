@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spindrift.llm import common, decontaminate, langid, lines, near, packing, quality, rans, secrets, simhash, toxicity, urls
+from spindrift.llm import common, components, decontaminate, langid, lines, near, packing, quality, rans, secrets, simhash, toxicity, urls
 
 SF = "/root/testdata/sf0.01"
 M64 = (1 << 64) - 1
@@ -345,3 +345,24 @@ def test_bloom_false_positives_are_joined_away(spark, monkeypatch):
     for blocks in (1 << 16, 1):
         monkeypatch.setattr(urls, "blocks_for", lambda keys, n=blocks: n)
         assert {r.page_id: r.verdict for r in urls.judge(pages, [("allow", "no.such/")], listed).collect()} == want
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Hubs that are broadcast change nothing."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(500, i) for i in range(501, 620)] + [(i, i + 1) for i in range(900, 920)] + [(1, 1), (900, 555)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    monkeypatch.setattr(components, "HUBS", 10)
+    monkeypatch.setattr(components, "LEAST_ENDS", 3)
+    got = {(r.node, r.root) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(x, find(x)) for x in root if find(x) != x}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
