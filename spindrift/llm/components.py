@@ -40,6 +40,11 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def members(found: DataFrame) -> DataFrame:
+    """``found`` by ``components`` with the roots as nodes of themselves: all nodes of groups of two or more."""
+    return found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long) but the roots themselves; the root is the smallest node reachable.
 
