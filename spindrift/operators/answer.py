@@ -123,7 +123,7 @@ def generated(rows: DataFrame, generator: Generator | None = None, strict: bool
     """
     report = F.col("code_report") if "code_report" in rows.columns else F.lit(None).cast("string")
     texts = context(F.col("chunks"), F.col("facts"))
-    out = rows.withColumn("form", form(F.size("chunks"), F.col("n_memory"), F.col("structure")))
+    out = rows.withColumn("form", F.when(report.isNotNull(), "code").otherwise(form(F.size("chunks"), F.col("n_memory"), F.col("structure"))))
     allowed = (F.size(texts) > 0) if strict else F.lit(True)
     model = F.when(allowed, generator(prompt(F.col("text"), texts, strict))) if generator else F.lit(None).cast("string")
     out = out.withColumn("_model", model).withColumn("_report", report)

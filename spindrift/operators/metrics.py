@@ -67,6 +67,19 @@ def summary(results: DataFrame) -> DataFrame:
     return told.join(p95, how="left")
 
 
+def run_cases(cases: DataFrame, process) -> DataFrame:
+    """Result rows for ``summary`` of cases (query_id, text, expect_refusal[, context]) that ``process``, an engine's, answers as one batch; the latency is the batch's share of a case."""
+    import time
+
+    began = time.time()
+    done = process(cases.select("query_id", "text")).select("query_id", "answer", "form", "generated_by").collect()  # a bounded set of cases
+    each = (time.time() - began) / max(1, len(done))
+    told = cases.sparkSession.createDataFrame([tuple(r) for r in done], "query_id long, answer string, form string, generated_by string")
+    context = F.col("context") if "context" in cases.columns else F.col("text")
+    rows = cases.join(told, "query_id")
+    return rows.select(F.col("text").alias("query"), "expect_refusal", (F.col("form") == "not_found").alias("refused"), "generated_by", F.lit(each).alias("latency_s"), F.length("answer").alias("response_chars"), grounded(F.col("answer"), context).alias("grounded"))
+
+
 def hit_at_k(found: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, hit): whether any result (query_id, language, origin) has the query's language and one of its ``keywords`` in its origin; queries without results have none."""
     q = asked.select("query_id", F.col("language").alias("_l"), "keywords")

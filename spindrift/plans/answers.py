@@ -107,7 +107,7 @@ def assembled(spark, sf):
     return rows.select("id", answer.assembled({"a": F.col("a"), "b": F.col("b")}).alias("text"))
 
 
-@query(fx.golden("query_id kind form generated_by", [(1, "factual", "not_found", "template"), (2, "conversation", "not_found", "template"), (3, "reasoning", "not_found", "template"), (4, "conversation", "conversation", "template"), (5, "creative", "not_found", "template"), (6, "code", "not_found", "code"), (7, "factual", "not_found", "template"), (8, "factual", "not_found", "template"), (9, "conversation", "not_found", "template"), (10, "conversation", "not_found", "template"), (11, "conversation", "not_found", "template"), (12, "factual", "not_found", "template")]))
+@query(fx.golden("query_id kind form generated_by", [(1, "factual", "not_found", "template"), (2, "conversation", "not_found", "template"), (3, "reasoning", "not_found", "template"), (4, "conversation", "conversation", "template"), (5, "creative", "not_found", "template"), (6, "code", "code", "code"), (7, "factual", "not_found", "template"), (8, "factual", "not_found", "template"), (9, "conversation", "not_found", "template"), (10, "conversation", "not_found", "template"), (11, "conversation", "not_found", "template"), (12, "factual", "not_found", "template")]))
 def engine_answers(spark, sf):
     """The whole chain: nothing in the tables answers these questions, the greeting's session has turns, and the code is reported on."""
     nodes, triples, _, _ = small(spark)

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spindrift.functions import encoders
 from spindrift.operators import chunks, graph, hybrid, intent, metrics, search, shards
 from spindrift.operators.store import Options, Store, build_compressed, open_store
 from spindrift.plans import fixtures as fx
 from spindrift.plans.engine import Engine, Retrieve, Symbolic, Verify
-from spindrift.sources import ingest, readers
+from spindrift.sources import ingest, readers, remote
 from spindrift.streaming.memory import last_turns_stream
 
 
@@ -302,3 +303,44 @@ def test_fences_and_oversize_blocks():
     assert chunks.units("```\na\n\n~~~\n# x\n```\n\nb") == [("", "```\na\n\n~~~\n# x\n```"), ("", "b")]
     assert chunks.units("# no markdown here", markdown=False) == [("", "# no markdown here")]
     assert chunks.code_chunks("x" * 2000) == [("", "x" * 2000)]  # one line stays whole
+
+
+def test_encoders(spark):
+    class Fake:  # a model of two entries: lengths of the text and its first word
+        def encode(self, texts):
+            return [[float(len(t)), float(len(t.split()[0]))] for t in texts]
+
+    rows = spark.createDataFrame([(1, "two words"), (2, "x")], "id long, text string")
+    model = encoders.register(encoders.ModelEncoder("my-e5-small", 2, Fake))
+    assert encoders.get("my-e5-small") is model and encoders.get() is encoders.get("hash")
+    got = {r.id: r.v for r in rows.select("id", model(F.col("text"), "query").alias("v")).collect()}
+    x = np.array([len("query: two words"), len("query:")], float)
+    assert np.allclose(got[1], x / np.linalg.norm(x))
+    broken = encoders.ModelEncoder("none", 2, lambda: 1 / 0)
+    assert rows.select(broken(F.col("text")).alias("v")).filter("v IS NOT NULL").count() == 0
+    assert abs(sum(v * v for v in encoders.encode_one(spark, "some query", encoders.get())) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        encoders.encode_one(spark, "  ", encoders.get())
+    with pytest.raises(Exception, match="a query is blank"):
+        encoders.queries(spark.createDataFrame([(" ",)], "text string"), encoders.get()).collect()
+    with pytest.raises(KeyError):
+        encoders.get("no such")
+
+
+def test_remote_table(spark, tmp_path):
+    assert remote.connect(spark, f"{tmp_path}/r", 2) is None
+    table = remote.RemoteTable.create(spark, f"{tmp_path}/r", 2)
+    table.insert_one("a", [1, 0])
+    table.insert(spark.createDataFrame([("b", [0.0, 2.0]), ("c", [1.0, 1.0])], "content string, embedding array<float>"))
+    assert remote.connect(spark, f"{tmp_path}/r", 2).count() == 3
+    assert [(r.content, r.similarity) for r in table.search([0.0, 1.0], 2).collect()] == [("b", 1.0), ("c", 0.707107)]
+    with pytest.raises(Exception, match="2 entries"):
+        table.insert_one("d", [1.0])
+    with pytest.raises(ValueError):
+        table.search([1.0])
+
+
+def test_benchmark_cases(spark):
+    cases = spark.createDataFrame([(1, "What is a quasar?", True), (2, "look\n```sql\nselect 1\n```", False)], "query_id long, text string, expect_refusal boolean")
+    told = metrics.summary(metrics.run_cases(cases, Engine().register(Verify()).process)).first()
+    assert (told.n, told.n_refused, told.refusal_rate) == (2, 1, 1.0)
