@@ -18,12 +18,19 @@ HUBS, LEAST_ENDS = 100_000, 512
 MAX_ROUNDS = 60
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row a key ``on`` and as ``size`` the key's number of rows; ``total`` is that of all rows.
+
+    Keys of so many rows that no more than ``HUBS`` can have as many are broadcast, so their rows stay where they lie.
+    """
+    hot = F.col(size) > max(LEAST_ENDS, total // HUBS)
+    hubs = F.broadcast(facts.filter(hot))
+    return rows.join(hubs, on).unionByName(rows.join(hubs, on, "left_anti").join(facts.filter(~hot), on))
+
+
 def _with_least(rows: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """``rows`` (a, b) with the ``m`` of ``least`` (u, m, ends) for a; ``ends`` is the sum of all ends."""
-    hub = F.col("ends") > max(LEAST_ENDS, ends // HUBS)
-    hubs = F.broadcast(least.filter(hub).select("u", "m"))
-    on = F.col("a") == F.col("u")
-    return rows.join(hubs, on).select("a", "b", "m").union(rows.join(hubs, on, "left_anti").join(least.filter(~hub), on).select("a", "b", "m"))
+    return with_facts(rows, least.withColumnRenamed("u", "a"), ["a"], "ends", ends).select("a", "b", "m")
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:
@@ -41,8 +48,9 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
 
 
 def members(found: DataFrame) -> DataFrame:
-    """``found`` by ``components`` with the roots as nodes of themselves: all nodes of groups of two or more."""
-    return found.select("node", "root").union(found.select(F.col("root").alias("node"), "root").distinct())
+    """(node, root, size) from ``found`` by ``components``: all nodes of groups of two or more, the roots too, and the group's number of nodes."""
+    sizes = found.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("size"))
+    return with_facts(found, sizes, ["root"], "size", found.count()).select("node", "root", "size").union(sizes.select(F.col("root").alias("node"), "root", "size"))
 
 
 def components(edges: DataFrame) -> DataFrame:

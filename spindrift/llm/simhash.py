@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, members, with_facts
 from .vptree import Shards, halves, link
 
 #: Points that the upper tree is fitted on at most, and points that a shard is meant to hold.
@@ -115,11 +115,14 @@ def links(points: DataFrame, bits: int) -> DataFrame:
 def _grouped(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, fp, root, component_id) of every row; ``root`` is the smallest fingerprint reachable."""
     prints = common.written(fingerprints(docs, words, id_col, text_col), "prints")
-    points = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    roots = components(links(points, bits))
-    grouped = points.join(roots, points.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(grouped.join(least, "root").select("fp", "root", "component_id"), "fp")
+    points = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "points")
+    groups = members(components(links(points, bits)))
+    of = points.join(groups, points.fp == groups.node).select("fp", "first", "n", "root", "size")
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.first("size").alias("size"))
+    linked = with_facts(of.select("fp", "n", "root"), least, ["root"], "size", points.count()).select("fp", "n", "root", "component_id")
+    alone = points.join(groups, points.fp == groups.node, "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("first").alias("component_id"))
+    found = common.written(linked.union(alone), "found")
+    return with_facts(prints, found, ["fp"], "n", prints.count()).drop("n")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,10 +138,14 @@ def first_of_each(docs: DataFrame, *, words: int = 5, bits: int = 4, id_col: str
     return first_rows(docs, _grouped(docs, words, bits, id_col, text_col), id_col, text_col)
 
 
+def order() -> Column:
+    """What the first row of a group comes first by; of (doc_id, key)."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+
+
 def first_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of ``docs`` of each root of ``found`` (doc_id, key, root)."""
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"))
+    first = found.groupBy("root").agg(F.min(order()).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("key"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), row_key(id_col, text_col).alias("key"), F.struct("*").alias("row"))
     same = (rows["key"] == first["key"]) & rows["_id"].eqNullSafe(first["_id"])
     return rows.join(first, same, "left_semi").dropDuplicates(["_id", "key"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
