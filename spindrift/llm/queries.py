@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, lines, packing, quality, rans, secrets, simhash, toxicity, urls
+from . import common, decontaminate, divergence, langid, lines, packing, phrases, quality, rans, secrets, simhash, substrings, toxicity, urls
 
 table = common.table
 
@@ -66,6 +66,18 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), window=50).drop("spans")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
 OP4_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
@@ -154,9 +166,74 @@ FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
 
+OP11_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM docs) ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM split GROUP BY lang),
+f AS (
+  SELECT lang, m, array_to_string(g, ' ') AS phrase, g, count(*) AS f
+  FROM (SELECT lang, m, w[i : i + m - 1] AS g FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM split, (VALUES (1), (2), (3), (4), (5)) AS t(m) WHERE len(w) >= m))
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, g, m, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, CAST(1000 * CAST(c.a AS HUGEINT) * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1 : c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[c.k + 1 : c.m], ' ')
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(g[i : i + s - 1], ' ') AS phrase, max(f) AS around
+  FROM (SELECT lang, g, f, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT lang, g, f, m, unnest(range(2, m)) AS s FROM f WHERE m > 2)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+terms AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(n) AS whole FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms JOIN (SELECT lang, term FROM kept) USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS t FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT) // (coalesce(t, 0) + 5 * v) AS BIGINT) AS p,
+         CAST(1 + 1000000000 * CAST(k.n + 5 AS HUGEINT) // (whole + 5 * v) AS BIGINT) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+items AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs p ON p.lang = x.lang AND p.source = x.source AND p.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM items QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_rans_token_file, op4_quality_rules, op5_packing, op6_toxicity, op7_decontamination, op8_line_dedup, op9_url_filters, op10_secret_scans)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_rans_token_file, op4_quality_rules, op5_packing, op6_toxicity, op7_decontamination, op8_line_dedup, op9_url_filters, op10_secret_scans, op11_substring_dedup, op12_phrase_mining, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filters": OP9_SQL}
+    return {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_substring_dedup": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_source_divergence": OP13_SQL}
