@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 #: Words counted together and distinct ones of them at most, rows that DuckDB takes at a time, rows of a partition and of a shard.
-TOGETHER, DISTINCT, AT_ONCE, PARTITION, SHARD = 3_000_000, 600_000, 500_000, 1_500_000, 400_000
+TOGETHER, DISTINCT, AT_ONCE, PARTITION, SHARD = 3_000_000, 600_000, 500_000, 1_500_000, 20_000
 #: Added to every count.
 SMOOTH = 5
 
