@@ -13,9 +13,11 @@ without the capitals of ASCII and without a last comma or full stop.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +42,17 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PL
 _coders: dict[tuple[str, bool], "Coder"] = {}
 
 
+@functools.cache
+def _ends_in_mark() -> str:
+    """Letters and digits that end in something else in lower case or composed form, as a class of RE2: the dotted capital I, and letters that composition takes apart."""
+    plain = lambda c: unicodedata.category(c)[0] in "LN"
+    last = lambda c: (unicodedata.normalize("NFC", c).lower()[-1], unicodedata.normalize("NFC", c.lower())[-1])
+    return "".join(f"\\x{{{i:x}}}" for i in range(128, 0x32000) if plain(c := chr(i)) and not all(map(plain, last(c))))
+
+
 def _apart(texts: pa.Array) -> pa.Array:
     """The texts with a blank before commas and full stops that end a word; such marks are tokens of their own unless other marks precede them."""
-    joined = pc.match_substring_regex(texts, r"[^\pL\pN][.,](?: |\z)")
+    joined = pc.match_substring_regex(texts, rf"(?:[^\pL\pN]|[{_ends_in_mark()}])[.,](?: |\z)")
     apart = pc.replace_substring(pc.replace_substring(texts, ", ", " , "), ". ", " . ")
     return pc.if_else(joined, texts, apart)
 

@@ -10,12 +10,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spindrift.llm import common, components, decontaminate, langid, lines, near, packing, quality, rans, secrets, simhash, toxicity, urls
+from spindrift.llm import common, components, decontaminate, langid, lines, near, packing, quality, rans, secrets, simhash, tokens, toxicity, urls
 
 SF = "/root/testdata/sf0.01"
 M64 = (1 << 64) - 1
@@ -370,3 +371,16 @@ def test_components_with_hubs(spark, monkeypatch):
     a, b = components.forest(*np.array(edges).T)
     assert set(zip(a.tolist(), b.tolist())) == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name,blanks", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_ids_of_odd_texts(name, blanks):
+    """Random texts of letters whose case or composition changes, marks and blanks, against the library."""
+    rng = random.Random(17)
+    odd = ["İ", "ı", "ß", "ẞ", "Ǆ", "ﬁ", "é", "e\u0301", "\u0958", "\u0301", "\u0307", "Ω", "\u2126", "K", "ά", "ͅ", "\u0344", "\u037e", "שּׁ", "ç", "Ç", "L", "a", "B", "7", "²", "½", "漢", "🙂", "'s", "’t", "'LL", "_"]
+    ends = [", ", ". ", ",", ".", " ", "  ", "\n", "!, ", "-", ",. ", " ,", "\t", "\u00a0"]
+    texts = ["İ, a", "ÇİLİ, x"] + ["".join(rng.choice(ends if rng.random() < 0.4 else odd) for _ in range(rng.randrange(12))) for _ in range(12_000)]
+    own, off = tokens.Coder(public_tokenizers.path(name), blanks).encode(pa.array(texts))
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    for text, a, b, e in zip(texts, off, off[1:], t.encode_batch(texts, add_special_tokens=False)):
+        assert own[a:b].tolist() == e.ids, text
