@@ -6,23 +6,23 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, answer, hybrid, intent
 from . import fixtures as fx
-from .base import query, table
+from .base import example, query, table
 from .engine import Engine, Memory, Retrieve, Symbolic, Verify
 from .graphs import small
 from .hybrids import gated, store
 
 
-@query(fx.golden("query_id structure", [(1, "explanation"), (2, "comparison"), (3, "explanation"), (4, "explanation"), (5, "explanation"), (6, "explanation"), (7, "explanation"), (8, "comparison"), (9, "analysis"), (10, "explanation"), (11, "explanation"), (12, "explanation")]))
+@example(fx.golden("query_id structure", [(1, "explanation"), (2, "comparison"), (3, "explanation"), (4, "explanation"), (5, "explanation"), (6, "explanation"), (7, "explanation"), (8, "comparison"), (9, "analysis"), (10, "explanation"), (11, "explanation"), (12, "explanation")]))
 def response_structure(spark, sf):
     return fx.questions(spark).select("query_id", annotate.structure(F.col("text")).alias("structure"))
 
 
-@query(fx.golden("query_id a b", [(2, "Danube", "Rhine"), (8, "cat", "dog")]))
+@example(fx.golden("query_id a b", [(2, "Danube", "Rhine"), (8, "cat", "dog")]))
 def comparison_pair(spark, sf):
     return fx.questions(spark).select("query_id", annotate.comparison_pair(F.col("text")).alias("p")).filter("p IS NOT NULL").select("query_id", "p.*")
 
 
-@query(fx.golden("query_id entity", [(1, "quasar"), (7, "Ada Lovelace"), (11, "entropy"), (12, "énergie")]))
+@example(fx.golden("query_id entity", [(1, "quasar"), (7, "Ada Lovelace"), (11, "entropy"), (12, "énergie")]))
 def definition_entity(spark, sf):
     return fx.questions(spark).select("query_id", annotate.definition_entity(F.col("text")).alias("entity")).filter("entity IS NOT NULL")
 
@@ -30,13 +30,13 @@ def definition_entity(spark, sf):
 _R, _C = "retrieve,symbolic,generate", "memory,generate"
 
 
-@query(fx.golden("query_id kind stages domain", [(1, "factual", _R, None), (2, "conversation", _C, None), (3, "reasoning", _R, "technology"), (4, "conversation", _C, None), (5, "creative", "intent,generate", "geography"), (6, "code", "verify,generate", "code"), (7, "factual", _R, None), (8, "factual", _R, None), (9, "conversation", _C, "language"), (10, "conversation", _C, None), (11, "conversation", _C, None), (12, "factual", _R, "science")]))
+@example(fx.golden("query_id kind stages domain", [(1, "factual", _R, None), (2, "conversation", _C, None), (3, "reasoning", _R, "technology"), (4, "conversation", _C, None), (5, "creative", "intent,generate", "geography"), (6, "code", "verify,generate", "code"), (7, "factual", _R, None), (8, "factual", _R, None), (9, "conversation", _C, "language"), (10, "conversation", _C, None), (11, "conversation", _C, None), (12, "factual", _R, "science")]))
 def routed_questions(spark, sf):
     r = annotate.routed(F.col("text"))
     return fx.questions(spark).select("query_id", r.alias("r")).select("query_id", "r.kind", F.array_join("r.stages", ",").alias("stages"), "r.domain")
 
 
-@query(fx.golden("query_id kind reason", [(1, "complex", "classifier"), (2, "conversation", "cues"), (3, "reasoning", "cues"), (4, "creative", "classifier"), (6, "code", "code fence")]))
+@example(fx.golden("query_id kind reason", [(1, "complex", "classifier"), (2, "conversation", "cues"), (3, "reasoning", "cues"), (4, "creative", "classifier"), (6, "code", "code fence")]))
 def classifier_routes(spark, sf):
     """A sure label wins over cues, an unsure or unknown one doesn't, and a code fence wins over all."""
     told = fx.frame(spark, [(1, "complex", 0.5), (2, "complex", 0.49), (3, "weather", 0.9), (4, "creative", 0.8), (6, "factual", 1.0)], "query_id long, label string, sure double")
@@ -53,7 +53,7 @@ def _symbolic(spark):
     return answer.symbolic(rows, nodes, triples)
 
 
-@query(fx.golden("query_id structure entity facts compared confidence", [(1, "explanation", "python", "python is a language.", None, 0.85), (2, "comparison", None, "", "in common: arrow, optimizer, spark; only the first: jvm", 0.85), (3, "explanation", None, "", None, 0.7), (4, "explanation", None, "", None, 0.4)]))
+@example(fx.golden("query_id structure entity facts compared confidence", [(1, "explanation", "python", "python is a language.", None, 0.85), (2, "comparison", None, "", "in common: arrow, optimizer, spark; only the first: jvm", 0.85), (3, "explanation", None, "", None, 0.7), (4, "explanation", None, "", None, 0.4)]))
 def symbolic_stage(spark, sf):
     return _symbolic(spark).select("query_id", "structure", "entity", F.array_join("facts", "|").alias("facts"), "compared", "confidence")
 
@@ -67,17 +67,17 @@ def _answered(spark, generator=None, strict=True):
     return answer.generated(out.withColumn("structure", structure).withColumn("n_memory", F.when(F.col("query_id") == 2, 3).otherwise(0).cast("long")), generator, strict)
 
 
-@query(fx.golden("query_id texts", [(1, "Danube The Danube flows. far . away|second|danube is a river."), (2, ""), (3, "x of y."), (4, "the and for"), (5, "DÉBIT du fleuve")]))
+@example(fx.golden("query_id texts", [(1, "Danube The Danube flows. far . away|second|danube is a river."), (2, ""), (3, "x of y."), (4, "the and for"), (5, "DÉBIT du fleuve")]))
 def answer_context(spark, sf):
     return _answered(spark).select("query_id", F.array_join(answer.context(F.col("chunks"), F.col("facts")), "|").alias("texts"))
 
 
-@query(fx.golden("query_id form generated_by answer", [(1, "comparison", "template", "1. Danube The Danube flows. far . away\n2. second"), (2, "conversation", "template", "Could you ask that in another way?"), (3, "not_found", "template", answer.NOT_FOUND), (4, "explanation", "template", "the and for"), (5, "explanation", "template", "DÉBIT du fleuve")]))
+@example(fx.golden("query_id form generated_by answer", [(1, "comparison", "template", "1. Danube The Danube flows. far . away\n2. second"), (2, "conversation", "template", "Could you ask that in another way?"), (3, "not_found", "template", answer.NOT_FOUND), (4, "explanation", "template", "the and for"), (5, "explanation", "template", "DÉBIT du fleuve")]))
 def answer_forms(spark, sf):
     return _answered(spark).select("query_id", "form", "generated_by", "answer")
 
 
-@query(fx.golden("query_id generated_by answer confidence", [(1, "extractive", "Danube The Danube flows. far . away", 0.7), (2, "template", "Could you ask that in another way?", 0.6), (3, "extractive", "x of y.", 0.7), (4, "extractive", "the and for", 0.7), (5, "extractive", "DÉBIT du fleuve", 0.7)]))
+@example(fx.golden("query_id generated_by answer confidence", [(1, "extractive", "Danube The Danube flows. far . away", 0.7), (2, "template", "Could you ask that in another way?", 0.6), (3, "extractive", "x of y.", 0.7), (4, "extractive", "the and for", 0.7), (5, "extractive", "DÉBIT du fleuve", 0.7)]))
 def generated_answers(spark, sf):
     """A generator is asked only where there is context."""
     return _answered(spark, answer.Extractive()).select("query_id", "generated_by", "answer", "confidence")
@@ -86,7 +86,7 @@ def generated_answers(spark, sf):
 _RULE = "Answer from these passages only; say so if they do not answer it.\n\n"
 
 
-@query(fx.golden("query_id prompt", [(1, _RULE + "[1] Danube The Danube flows. far . away\n[2] second\n[3] danube is a river.\n\nQuestion: Where does the Danube flow?"), (2, "Question: What is entropy?"), (3, _RULE + "[1] x of y.\n\nQuestion: too far away"), (4, _RULE + "[1] the and for\n\nQuestion: the and"), (5, _RULE + "[1] DÉBIT du fleuve\n\nQuestion: quel débit ?")]))
+@example(fx.golden("query_id prompt", [(1, _RULE + "[1] Danube The Danube flows. far . away\n[2] second\n[3] danube is a river.\n\nQuestion: Where does the Danube flow?"), (2, "Question: What is entropy?"), (3, _RULE + "[1] x of y.\n\nQuestion: too far away"), (4, _RULE + "[1] the and for\n\nQuestion: the and"), (5, _RULE + "[1] DÉBIT du fleuve\n\nQuestion: quel débit ?")]))
 def prompts(spark, sf):
     return _answered(spark).select("query_id", answer.prompt(F.col("text"), answer.context(F.col("chunks"), F.col("facts"))).alias("prompt"))
 
@@ -94,14 +94,14 @@ def prompts(spark, sf):
 _SHOWN = [(1, [(1, "a", 0.9), (2, "b", 0.82)]), (2, [(1, "a", 0.9), (2, "b", 0.80), (3, "c", 0.79)]), (3, [])]
 
 
-@query(fx.golden("query_id texts", [(1, "a|b"), (2, "a"), (3, "")]))
+@example(fx.golden("query_id texts", [(1, "a|b"), (2, "a"), (3, "")]))
 def shown_chunks(spark, sf):
     """Further chunks are shown only if the second is nearly as close as the first."""
     rows = fx.frame(spark, _SHOWN, f"query_id long, chunks {answer.CHUNKS}")
     return rows.select("query_id", F.array_join(F.transform(answer.shown(F.col("chunks")), lambda c: c["text"]), "|").alias("texts"))
 
 
-@query(fx.golden("id text", [(1, "late"), (2, "early"), (3, answer.FAILED)]))
+@example(fx.golden("id text", [(1, "late"), (2, "early"), (3, answer.FAILED)]))
 def assembled(spark, sf):
     rows = fx.frame(spark, [(1, "early", "late"), (2, "early", None), (3, None, None)], "id long, a string, b string")
     return rows.select("id", answer.assembled({"a": F.col("a"), "b": F.col("b")}).alias("text"))
@@ -129,6 +129,6 @@ def intent_classify(spark, sf):
     return model.classify(rows.select("doc_id", "text")).select("doc_id", "label", "confidence")
 
 
-@query(fx.golden("query_id label confidence", [(1, None, None), (2, None, None)]))
+@example(fx.golden("query_id label confidence", [(1, None, None), (2, None, None)]))
 def intent_without_model(spark, sf):
     return intent.stage(fx.questions(spark).filter("query_id < 3"), None).select("query_id", "label", "confidence")

@@ -10,6 +10,9 @@ from ..functions import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The same over small inputs of our own: for tests, not registered.
+EXAMPLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXAMPLE_SQL: dict[str, str] = {}
 K = 5
 
 
@@ -23,6 +26,16 @@ def query(sql: str | None = None):
     return add
 
 
+def example(sql: str):
+    """An operator over a fixed input, with its result worked out by hand."""
+
+    def add(f):
+        EXAMPLES[f.__name__], EXAMPLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

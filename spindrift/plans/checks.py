@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, memory, metrics, verify
 from . import fixtures as fx
-from .base import query, table
+from .base import example, query, table
 
 
 # --- chunkers
@@ -42,12 +42,12 @@ def message_parts(spark, sf):
 _SETEXT = "Intro line one\nTitle here\n==========\n\nFirst block of the section, long enough to stay as a chunk.\n\n    code = 1\n\n    more = 2\n\n## Heading\n\n~~~\na = 1\n\n# not a heading\n~~~\n\nlast block, which is long enough to stay as well, surely."
 
 
-@query(fx.golden("section chunk_index chunk", [("Title here", 0, "First block of the section, long enough to stay as a chunk.\n\n    code = 1\n\n    more = 2"), ("Heading", 1, "~~~\na = 1\n\n# not a heading\n~~~\n\nlast block, which is long enough to stay as well, surely.")]))
+@example(fx.golden("section chunk_index chunk", [("Title here", 0, "First block of the section, long enough to stay as a chunk.\n\n    code = 1\n\n    more = 2"), ("Heading", 1, "~~~\na = 1\n\n# not a heading\n~~~\n\nlast block, which is long enough to stay as well, surely.")]))
 def chunk_code_small(spark, sf):
     return chunks.chunked(fx.frame(spark, [(1, _SETEXT)], "doc_id long, text string"), chunks.code_chunks).select("section", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
 
 
-@query(fx.golden("section chunk_index chunk", [("", 0, "before"), ("A", 1, "one\n##### five"), ("C d", 2, "two")]))
+@example(fx.golden("section chunk_index chunk", [("", 0, "before"), ("A", 1, "one\n##### five"), ("C d", 2, "two")]))
 def chunk_sections_small(spark, sf):
     rows = fx.frame(spark, [(1, "before\n# A\none\n##### five\n## B\n\n#### C d\ntwo")], "doc_id long, text string")
     return chunks.chunked(rows, chunks.sections).select("section", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
@@ -59,7 +59,7 @@ def html_text(spark, sf):
     return verify.html_texts(table(spark, sf, "pages"), "page_id", "html").withColumnRenamed("id", "page_id")
 
 
-@query(fx.golden("id text", [(1, "# Body\n\ntext stays"), (2, "## T & U\n\n- one\n- two\n\n```\na  b\n<c>\n```\ntail"), (3, "a  b  \n\nx\ny\nkept"), (4, "")]))
+@example(fx.golden("id text", [(1, "# Body\n\ntext stays"), (2, "## T & U\n\n- one\n- two\n\n```\na  b\n<c>\n```\ntail"), (3, "a  b  \n\nx\ny\nkept"), (4, "")]))
 def html_text_small(spark, sf):
     """A skipped element ends with its own end tag, whatever is left open inside."""
     return verify.html_texts(fx.frame(spark, fx.PAGES, "id long, html string"), "id", "html")
@@ -84,13 +84,13 @@ _CHECKED = [
 ]
 
 
-@query(fx.golden("id language valid errors warnings structure", _CHECKED))
+@example(fx.golden("id language valid errors warnings structure", _CHECKED))
 def code_verify(spark, sf):
     done = verify.verified(fx.frame(spark, fx.SNIPPETS, "id long, language string, code string"), "id", "language", "code")
     return done.withColumns({c: F.array_join(c, "|") for c in ("errors", "warnings")})
 
 
-@query(fx.golden("query_id n_blocks n_checked n_valid n_skipped all_valid confidence", [(i, 0, 0, 0, 0, True, 0.0) if i != 6 else (6, 2, 2, 1, 0, False, 0.5) for i, _ in fx.QUESTIONS]))
+@example(fx.golden("query_id n_blocks n_checked n_valid n_skipped all_valid confidence", [(i, 0, 0, 0, 0, True, 0.0) if i != 6 else (6, 2, 2, 1, 0, False, 0.5) for i, _ in fx.QUESTIONS]))
 def verify_stage(spark, sf):
     return verify.verify_stage(fx.questions(spark)).drop("errors")
 
@@ -120,12 +120,12 @@ def nearest_rank(spark, sf):
     return metrics.nearest_rank(table(spark, sf, "events"), "value", [0.5, 0.95], "event_type")
 
 
-@query(fx.golden("n n_refused n_generated refusal_rate grounding_rate median mean max refusals_under_1s p95", [(5, 1, 3, 0.5, 2 / 3, 2.5, 3.1, 8.25, True, 8.25)]))
+@example(fx.golden("n n_refused n_generated refusal_rate grounding_rate median mean max refusals_under_1s p95", [(5, 1, 3, 0.5, 2 / 3, 2.5, 3.1, 8.25, True, 8.25)]))
 def benchmark_summary(spark, sf):
     return metrics.summary(_results(spark))
 
 
-@query(fx.golden("line", [("5 queries; refusal rate 50.0 %; grounding rate 66.7 %; median 2.5 s",)]))
+@example(fx.golden("line", [("5 queries; refusal rate 50.0 %; grounding rate 66.7 %; median 2.5 s",)]))
 def benchmark_report(spark, sf):
     return metrics.report(metrics.summary(_results(spark)))
 
@@ -143,7 +143,7 @@ def grounding(spark, sf):
 _RECORDED = fx.values(fx.RECORDED, "query_id kind generated_by latency_s")
 
 
-@query(f"SELECT kind, generated_by, CAST(grouping(kind, generated_by) AS INT) AS level, count(*) AS n, round(avg(latency_s), 6) AS mean_latency, max(query_id) AS last_id FROM {_RECORDED} GROUP BY ROLLUP (kind, generated_by)")
+@example(f"SELECT kind, generated_by, CAST(grouping(kind, generated_by) AS INT) AS level, count(*) AS n, round(avg(latency_s), 6) AS mean_latency, max(query_id) AS last_id FROM {_RECORDED} GROUP BY ROLLUP (kind, generated_by)")
 def usage_by_kind(spark, sf):
     return metrics.usage(fx.frame(spark, fx.RECORDED, "query_id long, kind string, generated_by string, latency_s double"))
 

@@ -8,7 +8,7 @@ from ..functions.text import STOP_SEARCH
 from ..operators import graph
 from ..sources import scratch
 from . import fixtures as fx
-from .base import query, slugged, table
+from .base import example, query, slugged, table
 
 _NOT = "(" + ", ".join(f"'{w}'" for w in (*STOP_SEARCH, "unknown")) + ")"
 _SENTENCES = f"st AS (SELECT doc_id, unnest(range(len(ss))) AS sentence, unnest(ss) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '{graph.SENTENCE}') AS ss FROM documents WHERE text IS NOT NULL))"
@@ -124,35 +124,35 @@ def small(spark):
     return graph.with_placeholders(graph.upserted(entities), triples), triples, entities, relations
 
 
-@query(fx.golden("id label type attributes", [("spark", "Apache Spark", "software", "kind=cluster engine,since=2010"), ("jvm", "JVM", "acronym", ""), ("arrow", "Arrow", "software", "kind=format"), ("python", "Python", "software", ""), ("duckdb", "DuckDB", "software", "kind=database")]))
+@example(fx.golden("id label type attributes", [("spark", "Apache Spark", "software", "kind=cluster engine,since=2010"), ("jvm", "JVM", "acronym", ""), ("arrow", "Arrow", "software", "kind=format"), ("python", "Python", "software", ""), ("duckdb", "DuckDB", "software", "kind=database")]))
 def kg_upsert(spark, sf):
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return graph.upserted(small(spark)[2]).select("id", "label", "type", pairs.alias("attributes"))
 
 
-@query(fx.golden("s p o count confidence sources", [("spark", "uses", "jvm", 3, 0.9, "a,b"), ("spark", "uses", "arrow", 1, 0.7, "a"), ("duckdb", "uses", "arrow", 1, 0.7, "b"), ("spark", "has", "optimizer", 1, 0.7, "b"), ("duckdb", "has", "optimizer", 1, 0.7, "c"), ("duckdb", "co_occurs_with", "spark", 1, 0.3, "c"), ("python", "is_a", "language", 2, 0.8, "c"), ("spark", "of", "spark", 1, 0.5, "a")]))
+@example(fx.golden("s p o count confidence sources", [("spark", "uses", "jvm", 3, 0.9, "a,b"), ("spark", "uses", "arrow", 1, 0.7, "a"), ("duckdb", "uses", "arrow", 1, 0.7, "b"), ("spark", "has", "optimizer", 1, 0.7, "b"), ("duckdb", "has", "optimizer", 1, 0.7, "c"), ("duckdb", "co_occurs_with", "spark", 1, 0.3, "c"), ("python", "is_a", "language", 2, 0.8, "c"), ("spark", "of", "spark", 1, 0.5, "a")]))
 def kg_aggregate(spark, sf):
     _, triples, _, relations = small(spark)
     return graph.sourced(triples, relations, "source").select("s", "p", "o", "count", "confidence", F.array_join("sources", ",").alias("sources"))
 
 
-@query(fx.golden("id label type", [("spark", "Apache Spark", "software"), ("jvm", "JVM", "acronym"), ("arrow", "Arrow", "software"), ("python", "Python", "software"), ("duckdb", "DuckDB", "software"), ("optimizer", "optimizer", "concept"), ("language", "language", "concept")]))
+@example(fx.golden("id label type", [("spark", "Apache Spark", "software"), ("jvm", "JVM", "acronym"), ("arrow", "Arrow", "software"), ("python", "Python", "software"), ("duckdb", "DuckDB", "software"), ("optimizer", "optimizer", "concept"), ("language", "language", "concept")]))
 def kg_placeholders(spark, sf):
     return small(spark)[0]
 
 
-@query(fx.golden("kind id predicates", [("common", "arrow", "uses"), ("common", "optimizer", "has"), ("common", "spark", "co_occurs_with,of"), ("a_only", "jvm", "uses"), ("b_to_a", "spark", "co_occurs_with")]))
+@example(fx.golden("kind id predicates", [("common", "arrow", "uses"), ("common", "optimizer", "has"), ("common", "spark", "co_occurs_with,of"), ("a_only", "jvm", "uses"), ("b_to_a", "spark", "co_occurs_with")]))
 def kg_compare_small(spark, sf):
     return graph.compare(small(spark)[1], "spark", "duckdb")
 
 
-@query(fx.golden("s p o n", [("spark", "of", "spark", 2), ("spark", "uses", "jvm", 1), ("spark", "uses", "arrow", 1), ("spark", "has", "optimizer", 1), ("duckdb", "co_occurs_with", "spark", 1)]))
+@example(fx.golden("s p o n", [("spark", "of", "spark", 2), ("spark", "uses", "jvm", 1), ("spark", "uses", "arrow", 1), ("spark", "has", "optimizer", 1), ("duckdb", "co_occurs_with", "spark", 1)]))
 def kg_facts_small(spark, sf):
     """A loop comes twice."""
     return graph.facts(small(spark)[1], "spark").groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(fx.golden("id facts", [(1, "python is a language."), (2, "duckdb has optimizer.|duckdb uses arrow.|duckdb co occurs with spark.")]))
+@example(fx.golden("id facts", [(1, "python is a language."), (2, "duckdb has optimizer.|duckdb uses arrow.|duckdb co occurs with spark.")]))
 def kg_fact_sentences(spark, sf):
     asked = fx.frame(spark, [(1, "the Python language"), (2, "DuckDB"), (3, "nobody")], "id long, label string")
     nodes, triples, _, _ = small(spark)
@@ -160,12 +160,12 @@ def kg_fact_sentences(spark, sf):
     return graph.sentences_of(graph.all_facts(triples, found, "key"), "key").select(F.col("key").alias("id"), F.array_join("facts", "|").alias("facts"))
 
 
-@query(fx.golden("s p o count", [("a", "uses", "b", 2), ("a", "has", "c", 3), ("b", "of", "c", 5), ("c", "of", "d", 1)]))
+@example(fx.golden("s p o count", [("a", "uses", "b", 2), ("a", "has", "c", 3), ("b", "of", "c", 5), ("c", "of", "d", 1)]))
 def kg_repaired(spark, sf):
     return graph.repaired(fx.frame(spark, fx.DAMAGED, "s string, p string, o string, count long, confidence double, sources array<string>")).select("s", "p", "o", "count")
 
 
-@query(fx.golden("kind n", [("node", 7), ("triple", 8)]))
+@example(fx.golden("kind n", [("node", 7), ("triple", 8)]))
 def kg_saved(spark, sf):
     """Saved, loaded and exported."""
     nodes, triples, _, _ = small(spark)

@@ -9,7 +9,7 @@ from ..operators import hybrid, metrics
 from ..operators import store as S
 from ..sources import scratch
 from . import fixtures as fx
-from .base import K, folded, query, table, token_list
+from .base import K, example, folded, query, table, token_list
 
 _AT = "list_transform(tk, lambda t: CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 64)"
 _UNIT = "list_transform(c, lambda v: v / CASE WHEN list_inner_product(c, c) > 0 THEN sqrt(list_inner_product(c, c)) ELSE 1 END)"
@@ -117,13 +117,13 @@ def gated(spark):
     return hybrid.gate(rows.drop("text"), queries, rows.select("id", "text")), queries
 
 
-@query(fx.golden("query_id id text", [(1, 10, "Danube The Danube flows. far . away"), (1, 11, "second"), (4, 15, "the and for"), (5, 16, "DÉBIT du fleuve")]))
+@example(fx.golden("query_id id text", [(1, 10, "Danube The Danube flows. far . away"), (1, 11, "second"), (4, 15, "the and for"), (5, 16, "DÉBIT du fleuve")]))
 def gate_rows(spark, sf):
     """Boosted but far rows go, and so do all of a question whose words the first kept row lacks."""
     return gated(spark)[0].select("query_id", "id", "text")
 
 
-@query(fx.golden("raw threshold", [("0.9", 0.9), ("x", 0.84), ("2", 0.84), ("", 0.84)]))
+@example(fx.golden("raw threshold", [("0.9", 0.9), ("x", 0.84), ("2", 0.84), ("", 0.84)]))
 def gate_threshold(spark, sf):
     from ..operators.answer import gate_threshold as read
 
@@ -133,12 +133,12 @@ def gate_threshold(spark, sf):
 _OPTIONS = [("plain", {}), ("all", {"reranker": "OFF", "ann": "ivf", "probes": "12", "shard_key": "none"}), ("odd", {"reranker": "maybe", "ann": "tree", "probes": "0", "shard_key": "domain"})]
 
 
-@query(fx.golden("name reranker ann probes shard_key", [("plain", True, "flat", None, "language"), ("all", False, "ivf", 12, None), ("odd", True, "flat", None, "domain")]))
+@example(fx.golden("name reranker ann probes shard_key", [("plain", True, "flat", None, "language"), ("all", False, "ivf", 12, None), ("odd", True, "flat", None, "domain")]))
 def store_options(spark, sf):
     found = [(n, S.Options.resolve(o)) for n, o in _OPTIONS]
     return fx.frame(spark, [(n, o.reranker, o.ann, o.probes, o.shard_key) for n, o in found], "name string, reranker boolean, ann string, probes long, shard_key string")
 
 
-@query(fx.golden("query_id hit", [(1, True), (2, False), (3, False)]))
+@example(fx.golden("query_id hit", [(1, True), (2, False), (3, False)]))
 def hit_at_k(spark, sf):
     return metrics.hit_at_k(fx.frame(spark, fx.FOUND, "query_id long, language string, origin string"), fx.frame(spark, fx.WANTED, "query_id long, language string, keywords array<string>"))

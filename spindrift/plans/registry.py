@@ -11,7 +11,7 @@ from ..operators import annotate, chunks, memory, metrics, search, shards
 from ..operators.store import Store
 from ..sources import readers, scratch
 from . import fixtures as fx
-from .base import QUERIES, SQL, K, folded, query, slugged, table, token_list
+from .base import QUERIES, SQL, K, example, folded, query, slugged, table, token_list
 
 __all__ = ["QUERIES", "SQL", "entry"]
 
@@ -207,7 +207,7 @@ def _trap(spark):
     return fx.frame(spark, fx.TRAP, "vec_id long, embedding array<double>, label string")
 
 
-@query(fx.golden("vec_id query_id rank", [(1, 1, 1), (2, 1, 2), (30, 1, 5), (3, 1, 3), (4, 1, 4)]))
+@example(fx.golden("vec_id query_id rank", [(1, 1, 1), (2, 1, 2), (30, 1, 5), (3, 1, 3), (4, 1, 4)]))
 def shard_trap(spark, sf):
     """The vector of the other shard that lies on the axis isn't found; the one without a key is."""
     rows = _trap(spark)
@@ -216,7 +216,7 @@ def shard_trap(spark, sf):
     return found.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(fx.golden("query_id vec_id rank", [(1, 20, 1)]))
+@example(fx.golden("query_id vec_id rank", [(1, 20, 1)]))
 def shard_trap_full(spark, sf):
     """A search of everything finds it first."""
     q = fx.frame(spark, [(1, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
@@ -253,7 +253,7 @@ def slug(spark, sf):
 _LABELS = [(1, "l'École  Normale"), (2, "  "), (3, "a-b c a-b"), (4, "Øre été")]
 
 
-@query(fx.golden("id candidates", [(1, "l_ecole_normale|l_ecole|normale"), (2, ""), (3, "a_b_c_a_b|a_b|c"), (4, "re_ete|re|ete")]))
+@example(fx.golden("id candidates", [(1, "l_ecole_normale|l_ecole|normale"), (2, ""), (3, "a_b_c_a_b|a_b|c"), (4, "re_ete|re|ete")]))
 def slug_candidates(spark, sf):
     return fx.frame(spark, _LABELS, "id long, t string").select("id", F.array_join(T.slug_candidates(F.col("t")), "|").alias("candidates"))
 
@@ -294,38 +294,38 @@ def code_blocks(spark, sf):
 _MARKED = [(1, "# Head\n\nText with [a link](http://x) and `code`.\n- item one\n```\nfence\n```\nend"), (2, "##  Two  ## inline ... dots.. x"), (3, None)]
 
 
-@query(fx.golden("id plain", [(1, "Head\n\nText with a link and code.\nitem one\n \nend"), (2, "Two  ## inline ... dots.. x"), (3, None)]))
+@example(fx.golden("id plain", [(1, "Head\n\nText with a link and code.\nitem one\n \nend"), (2, "Two  ## inline ... dots.. x"), (3, None)]))
 def plain_markdown(spark, sf):
     return fx.frame(spark, _MARKED, "id long, t string").select("id", T.plain_markdown(F.col("t")).alias("plain"))
 
 
-@query(fx.golden("id shown", [(1, "Head Text with [a link](http://x) and `code`. - item one ``` fence ``` end"), (2, "Two. inline . dots. x"), (3, None)]))
+@example(fx.golden("id shown", [(1, "Head Text with [a link](http://x) and `code`. - item one ``` fence ``` end"), (2, "Two. inline . dots. x"), (3, None)]))
 def clean_chunk(spark, sf):
     return fx.frame(spark, _MARKED, "id long, t string").select("id", T.clean_chunk(F.col("t")).alias("shown"))
 
 
-@query(fx.golden("id title body", [("web/css/x", "Grid & flow", "Use `grid` or `div` with care."), ("web/api/y", "", "no head\nbody"), ("learn/z", "", "text")]))
+@example(fx.golden("id title body", [("web/css/x", "Grid & flow", "Use `grid` or `div` with care."), ("web/api/y", "", "no head\nbody"), ("learn/z", "", "text")]))
 def web_page(spark, sf):
     return fx.frame(spark, fx.WEB, "id string, t string").select("id", T.web_page(F.col("t")).alias("p")).select("id", "p.*")
 
 
-@query(fx.golden("id title body", [("a", "Run it", "Keep calm.\nend"), ("b", "", "plain {{ kept }}")]))
+@example(fx.golden("id title body", [("a", "Run it", "Keep calm.\nend"), ("b", "", "plain {{ kept }}")]))
 def container_page(spark, sf):
     return fx.frame(spark, fx.CONTAINER, "id string, t string").select("id", T.container_page(F.col("t")).alias("p")).select("id", "p.*")
 
 
-@query(fx.golden("id clean", [(1, "NAME bold"), (2, "plain")]))
+@example(fx.golden("id clean", [(1, "NAME bold"), (2, "plain")]))
 def overstrike(spark, sf):
     return fx.frame(spark, [(1, "N\bNA\bAM\bME\bE _\bb_\bo_\bl_\bd"), (2, "plain")], "id long, t string").select("id", T.no_overstrike(F.col("t")).alias("clean"))
 
 
-@query(fx.golden("name area manual", [("git-log", "git-log", "git"), ("web/API", "javascript", "bash"), ("ls", "ls", "bash"), ("web/css", "css", "bash")]))
+@example(fx.golden("name area manual", [("git-log", "git-log", "git"), ("web/API", "javascript", "bash"), ("ls", "ls", "bash"), ("web/css", "css", "bash")]))
 def source_language(spark, sf):
     rows = fx.frame(spark, [("git-log",), ("web/API",), ("ls",), ("web/css",)], "name string")
     return rows.select("name", T.area_language(F.col("name"), readers.AREAS).alias("area"), T.manual_language(F.col("name"), readers.MANUALS).alias("manual"))
 
 
-@query(fx.golden("model canonical prefix", [("all-MiniLM", "sentence-transformers/all-MiniLM", ""), ("x/multilingual-e5-small", "x/multilingual-e5-small", "query: "), ("e5-base", "sentence-transformers/e5-base", "query: "), ("love5-base", "sentence-transformers/love5-base", "")]))
+@example(fx.golden("model canonical prefix", [("all-MiniLM", "sentence-transformers/all-MiniLM", ""), ("x/multilingual-e5-small", "x/multilingual-e5-small", "query: "), ("e5-base", "sentence-transformers/e5-base", "query: "), ("love5-base", "sentence-transformers/love5-base", "")]))
 def model_names(spark, sf):
     names = ["all-MiniLM", "x/multilingual-e5-small", "e5-base", "love5-base"]
     return fx.frame(spark, [(n, T.canonical_model(n), T.prompt_prefix(n, "query")) for n in names], "model string, canonical string, prefix string")
@@ -341,7 +341,7 @@ def significant_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.significant_words(F.col("text"))).alias("n"))
 
 
-@query(fx.golden("version", [("3.12",)]))
+@example(fx.golden("version", [("3.12",)]))
 def newest_version(spark, sf):
     return readers.newest_stable(fx.frame(spark, [("3.9",), ("3.12",), ("3.13rc1",), ("2.99",), ("x",)], "version string"))
 

@@ -3,7 +3,7 @@ import pytest
 
 import __spark_entry__ as entry
 from spindrift.operators import chunks, graph, verify
-from spindrift.plans import registry
+from spindrift.plans import answers, base, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,14 +18,15 @@ def duck():
 
 
 def plain(rows):
-    return sorted(tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows)
+    return [tuple(round(v, 5) if isinstance(v, float) else v for v in r) for r in rows]
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted({**registry.SQL, **base.EXAMPLE_SQL}))
 def test_against_sql(spark, duck, name):
-    got = registry.QUERIES[name](spark, SF)
+    """Registered queries over the tables, and examples over small inputs of our own."""
+    got = {**registry.QUERIES, **base.EXAMPLES}[name](spark, SF)
     names = sorted(got.columns)
-    want = duck.execute(f"SELECT {', '.join(names)} FROM ({registry.SQL[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(names)} FROM ({ {**registry.SQL, **base.EXAMPLE_SQL}[name]})").fetchall()
     assert sorted(map(repr, plain([tuple(r) for r in got.select(*names).collect()]))) == sorted(map(repr, plain(want)))
 
 
@@ -72,5 +73,5 @@ def test_all_pairs_of_a_sentence(spark):
 def test_intents_beyond_a_hundred(spark, tmp_path):
     rows = [(i, f"word{i % 104} text", f"l{i % 104:03}") for i in range(208)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.label for r in registry.intent_classify(spark, str(tmp_path)).collect()}
+    got = {r.label for r in answers.intent_classify(spark, str(tmp_path)).collect()}
     assert None not in got and got & {f"l{i}" for i in range(100, 104)}
