@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_GATE, accent_fold, clean_chunk, tokens
+from ..sources import scratch
 from . import search
 
 BOOST, CAP, RERANK_WINDOW, PASSAGE = 0.08, 0.30, 16, 1000
+#: Rows that the vector side finds for a query at least, and buckets of tokens by which postings are stored.
+NEAR, BUCKETS = 64, 16
 GATE, SECOND = 0.84, 0.90
 DIM = 64
 
@@ -33,49 +34,72 @@ def encoded(text: Column, dim: int = DIM) -> Column:
     return let(counts, lambda c: let(norm(c), lambda n: F.transform(c, lambda x: x / F.when(n > 0, n).otherwise(1.0))))
 
 
+#: Columns of a store that are no result.
+INTERNAL = ("id", "text", "embedding", "codes", "scale", "words", "tokens")
+
+
+def gain(hits: Column) -> Column:
+    """What shared tokens add to a cosine."""
+    return F.least(F.lit(CAP), F.lit(BOOST) * hits)
+
+
 def boosted(window: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``score`` = cosine + min(CAP, BOOST x shared tokens) over (query_id, id, score); the cosine stays as ``score_cosine``.  Only the window's texts are looked into."""
+    """``score`` = cosine + min(CAP, BOOST x shared tokens) over (query_id, id, score); the cosine stays as ``score_cosine``.  Only the window's rows are looked into; their tokens are read where the corpus keeps them."""
     q = queries.select("query_id", tokens(F.col("text")).alias("qt"))
-    c = corpus.select("id", F.col("text").alias("_ct"), *[c for c in corpus.columns if c not in ("id", "text", "embedding", "codes", "scale", "words")])
-    gain = F.least(F.lit(CAP), F.lit(BOOST) * F.size(F.array_intersect("qt", tokens(F.col("_ct")))))
+    own = F.col("tokens") if "tokens" in corpus.columns else tokens(F.col("text"))
+    c = corpus.select("id", own.alias("_ct"), *[c for c in corpus.columns if c not in INTERNAL])
     joined = window.select("query_id", "id", F.col("score").alias("score_cosine")).join(c, "id").join(q, "query_id")
-    return joined.withColumn("score", F.round(F.col("score_cosine") + gain, 6)).drop("qt", "_ct")
-
-
-def boosted_topk(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best of the whole corpus (id, text, embedding) by boosted score, for queries (query_id, text, embedding) in blocks."""
-    spark = corpus.sparkSession
-    rows = corpus.select("id", "embedding", tokens(F.col("text")).alias("tokens"))
-    out = None
-    parts = max(1, -(-queries.count() // search.BLOCK))
-    for part in range(parts):
-        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "embedding", tokens(F.col("text")).alias("qt")).orderBy("query_id").collect()
-        vocabulary = {t: i for i, t in enumerate(sorted({t for r in asked for t in r.qt}))}
-        holds = np.zeros((len(vocabulary), len(asked)), np.int32)
-        for j, r in enumerate(asked):
-            holds[[vocabulary[t] for t in r.qt], j] = 1
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in asked], np.int64), np.array([r.embedding for r in asked], np.float64), vocabulary, holds))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q, vocabulary, holds = shared.value
-            best = search.Best(len(names), k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, search.ROWS) if len(names) else ():
-                    own = batch.slice(at, search.ROWS)
-                    ids = own.column(0).to_numpy()
-                    s = search.scores(q, search.matrix(own.column(1), ids, q.shape[1]), "exact")
-                    coded = own.column(2).flatten().dictionary_encode()
-                    places = np.array([vocabulary.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
-                    met = places[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-                    of = np.repeat(np.arange(len(ids)), own.column(2).value_lengths().to_numpy())
-                    common = np.zeros((len(ids), len(names)), np.int32)
-                    np.add.at(common, of[met >= 0], holds[met[met >= 0]])
-                    best.add(np.round(s + np.minimum(CAP, BOOST * common.T), 6), ids)
-            yield best.batch(names)
-
-        found = rows.mapInArrow(run, search.FOUND)
-        out = found if out is None else out.union(found)
-    return search.rank(out, k)
+    return joined.withColumn("score", F.round(F.col("score_cosine") + gain(F.size(F.array_intersect("qt", "_ct"))), 6)).drop("qt", "_ct")
+
+
+def postings(chunks: DataFrame, id_col: str = "id") -> DataFrame:
+    """(bucket, token, id) of chunks with their ``tokens``: the inverted index."""
+    rows = chunks.select(F.explode("tokens").alias("token"), F.col(id_col).alias("id"))
+    return rows.select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"), "token", "id")
+
+
+def boosted_topk(corpus: DataFrame, index: DataFrame, terms: DataFrame, queries: DataFrame, k: int, near: int = NEAR) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k best of the whole corpus by boosted score, ``score`` being the cosine, for queries (query_id, text, embedding).
+
+    ``corpus`` has (id, embedding, tokens), ``index`` its ``postings``, ``terms``
+    (token, n) how many rows hold a token, in one row or several that add up.
+
+    1. The vector side finds the ``near`` best cosines of a query; their tokens
+       give a k-th best score t.  No other row has a cosine over the last one's, c.
+    2. A row that wasn't found scores c + min(CAP, BOOST x hits) at most.  So it
+       needs the least number of hits at which that reaches t; mostly there is
+       none, or more than the query has tokens, and the query is done.
+    3. For the others the lexical side joins postings.  A row with h of the m
+       tokens that occur holds one of the m - h + 1 rarest, so only these are joined.
+    """
+    near = max(near, 4 * k)
+    q = scratch.written(queries.select("query_id", "embedding", tokens(F.col("text")).alias("qt")), "asked")
+    rows = corpus.withColumnRenamed("id", "vec_id")
+    first = search.topk(rows, q.select(F.col("query_id").alias("vec_id"), "embedding"), near)
+    first = scratch.written(first.select("query_id", "vec_id", F.col("score").alias("cosine")), "near")
+    pairs = first.count()
+    light = F.broadcast(first) if pairs <= search.BROADCAST_PAIRS else first
+    known = rows.select("vec_id", "tokens").join(light, "vec_id").join(q.select("query_id", "qt"), "query_id")
+    scored = known.select("query_id", "vec_id", "cosine", F.round(F.col("cosine") + gain(F.size(F.array_intersect("qt", "tokens"))), 6).alias("score"))
+    scored = scratch.written(scored, "scored")
+    found = scored.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("t"), F.min("cosine").alias("c"), F.count(F.lit(1)).alias("n"))  # ``near`` rows a query
+    most = -int(-CAP // BOOST)
+    need = F.get(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda h: F.col("c") + gain(h) >= F.col("t") - 2e-6), F.lit(0))
+    left = found.filter(F.col("n") == near).join(q, "query_id").withColumn("need", need).filter(F.col("need") <= F.size("qt"))
+    sums = terms.groupBy("token").agg(F.sum("n").alias("df"))
+    asked = scratch.written(left.select("query_id", "need", F.explode("qt").alias("token")).join(sums, "token"), "lexical")
+    if asked.limit(1).count():
+        by = Window.partitionBy("query_id")
+        rare = asked.withColumns({"at": F.row_number().over(by.orderBy("df", "token")), "m": F.count(F.lit(1)).over(by)}).filter("at <= m - need + 1")
+        rare = rare.select("query_id", "token", F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+        more = index.join(rare, ["bucket", "token"]).select("query_id", F.col("id").alias("vec_id")).distinct()
+        more = more.join(first.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti")
+        pair = rows.select("vec_id", "tokens", F.col("embedding").alias("xv")).join(more, "vec_id").join(q, "query_id")
+        cosine = F.round(search.dot(F.col("embedding"), F.col("xv")), 6)
+        late = pair.select("query_id", "vec_id", cosine.alias("cosine"), F.size(F.array_intersect("qt", "tokens")).alias("hits"))
+        scored = scored.union(late.select("query_id", "vec_id", "cosine", F.round(F.col("cosine") + gain(F.col("hits")), 6)))
+    best = search.rank(scored, k)
+    return best.select("query_id", "vec_id", F.col("cosine").alias("score"), "rank")
 
 
 def best_effort(window: DataFrame, condition: Column) -> DataFrame:

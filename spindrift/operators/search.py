@@ -162,12 +162,13 @@ def _block(corpus: DataFrame, rows: list, k: int, kind: str, id_col: str, vector
     return corpus.select(F.col(id_col).cast("long").alias(id_col), *stored, *([within] if within else [])).mapInArrow(run, FOUND)
 
 
-def topk_where(corpus: DataFrame, asked: list[tuple[int, list, list | None]], k: int, key: str, *, kind: str = "exact", keyless: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def topk_where(corpus: DataFrame, asked: list[tuple[int, list, list | None]], k: int, key: str, *, kind: str = "exact", keyless: bool = True, id_col: str = "vec_id", vector_col: str = "embedding", within: DataFrame | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank) of queries (id, vector, key values; null values search everything) among vectors with one of their key values.
 
     Rows without a key are searched by all, with ``keyless``.  Where no query
     searches everything, the wanted values are a filter on the key, which prunes
-    the partitions of a corpus stored by key.  ``asked`` is a bounded block.
+    the partitions of a corpus stored by key; ``within`` has the rows that hold
+    these values, if the caller has chosen them.  ``asked`` is a bounded block.
     """
     if k <= 0 or not asked:
         return corpus.sparkSession.createDataFrame([], f"{FOUND}, rank int")
@@ -176,7 +177,9 @@ def topk_where(corpus: DataFrame, asked: list[tuple[int, list, list | None]], k:
         for v in values if values is not None else ():
             wanted.setdefault(v, []).append(i)
     everyone = [i for i, a in enumerate(asked) if a[2] is None]
-    if not everyone:
+    if within is not None:
+        corpus = within
+    elif not everyone:
         has = F.col(key).isin(*wanted)
         corpus = corpus.filter(has | F.col(key).isNull() if keyless else has)
     shared = corpus.sparkSession.sparkContext.broadcast((np.array([a[0] for a in asked], np.int64), np.array([a[1] for a in asked], np.float64), wanted, everyone))

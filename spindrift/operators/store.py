@@ -1,26 +1,32 @@
-"""Chunk stores: vectors with their texts, kept whole or as codes, saved with a manifest, and hybrid search over them.
-
-A store is a folder of a ``chunks`` table (id, text, other columns, and either
-``embedding`` or ``codes`` and ``scale``, with ``words`` of sign bits in binary
-mode) and a ``manifest`` of one row, written last.  Appending adds rows and
-raises the version; an IVF index remembers the version it was built from and is
-built anew when another one is searched.
+"""Chunk stores: vectors with their texts, kept whole or as codes, in immutable versions, and hybrid search over them.
+
+A store is a folder of parts and versions (``snapshots``).  A part is what one
+save or append wrote: its ``chunks`` (id, text, its ``tokens``, other columns, and
+either ``embedding`` or ``codes`` and ``scale``, with ``words`` of sign bits in
+binary mode), their ``postings`` by token with the number of rows that hold each
+one (``terms``), and for each shard key the sum of the vectors of every value
+(``sums``).  A version lists its parts, so readers keep theirs while others
+append; what is derived of all rows adds up over parts.  The IVF index of a store
+is a folder of versions too, and takes in the parts that it lacks when searched.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import vectors as V
-from . import hybrid, search, shards
+from ..functions.text import tokens
+from ..sources import scratch
+from . import hybrid, search, shards, snapshots
 
 MODES = ("none", "int8", "binary")
 DEFAULT_K = 5
-MANIFEST = "compression string, model string, dim int, scale string, n long, version long"
 
 
 @dataclass(frozen=True)
@@ -59,16 +65,53 @@ def coded(chunks: DataFrame, compression: str, dim: int) -> DataFrame:
     return rows.drop("embedding")
 
 
+class NoStore(ValueError):
+    """There is no store, or not that version of it."""
+
+
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", tokens(F.col("text"))) if "text" in rows.columns else rows.withColumn("tokens", F.array().cast("array<string>"))
+
+
+def _vectors(rows: DataFrame, compression: str) -> DataFrame:
+    return rows if compression == "none" else rows.withColumn("embedding", V.dequantised(F.col("codes"), F.col("scale")))
+
+
+def _put(rows: DataFrame, path: str, told: Mapping) -> dict:
+    """Writes one part, its chunks first and what is derived of these then; the part's name and number of rows."""
+    spark, name = rows.sparkSession, uuid.uuid4().hex
+    rows, at = _with_tokens(rows), lambda table: f"{path}/{table}/part={name}"
+    writer = rows.write
+    (writer.partitionBy(told["partition_by"]) if told.get("partition_by") else writer).parquet(at("chunks"))
+    back = spark.read.schema(rows.schema).parquet(at("chunks"))
+    found = hybrid.postings(back)
+    found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(at("postings"))
+    spark.read.schema(found.schema).parquet(at("postings")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).write.parquet(at("terms"))
+    for key in told["keys"]:
+        shards.sums(_vectors(back, told["compression"]), key).write.parquet(at(f"sums/{key}"))
+    return {"name": name, "n": back.count()}
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, manifest: Mapping, options: Options = Options()):
         self.spark, self.path, self.manifest, self.options = spark, path, dict(manifest), options
-        self.chunks = spark.read.parquet(f"{path}/chunks") if manifest["n"] else None
+        self.chunks = self._read("chunks", StructType.fromJson(manifest["schema"])) if manifest["n"] else None
         self._ivf: shards.Ivf | None = None
 
+    def _read(self, name: str, schema: StructType | str, parts: list[dict] | None = None) -> DataFrame:
+        schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        at = f"{self.path}/{name}"
+        own = [f"{at}/part={p['name']}" for p in (self.manifest["parts"] if parts is None else parts)]
+        return self.spark.read.schema(StructType([*schema, StructField("part", StringType())])).option("basePath", at).parquet(*own).select(*[f"`{c}`" for c in schema.names])
+
     # --- saving and loading
     @classmethod
-    def save(cls, chunks: DataFrame, path: str, *, compression: str = "int8", model: str = "hash", scale: str = "vector", options: Options = Options(), partition_by: str | None = None) -> "Store":
-        """Writes a new store; ``partition_by`` names a key to store by, which routed searches prune by."""
+    def save(cls, chunks: DataFrame, path: str, *, compression: str = "int8", model: str = "hash", scale: str = "vector", options: Options = Options(), partition_by: str | None = None, keys: tuple[str, ...] = (), batch: str | None = None) -> "Store":
+        """Writes a store, as the next version where there is one; ``partition_by`` names a key to store by, which routed searches prune by.
+
+        Sums are kept of ``keys``, of ``partition_by`` and of the options' shard key, where the chunks have them.
+        """
+        spark = chunks.sparkSession
         first = chunks.select(F.size("embedding").alias("d")).first()
         dim = first.d if first else 0
         if scale == "global" and compression == "int8" and first:
@@ -76,36 +119,55 @@ class Store:
             rows = chunks.withColumn("embedding", search.of_dimension(F.col("embedding"), dim)).withColumn("scale", F.lit(top / 127.0)).withColumn("codes", V.codes(F.col("embedding"), F.col("scale")).cast("array<tinyint>")).drop("embedding")
         else:
             rows = coded(chunks, compression, dim)
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/chunks")
-        n = chunks.sparkSession.read.parquet(f"{path}/chunks").count() if first else 0
-        return cls._told(chunks.sparkSession, path, {"compression": compression, "model": model, "dim": dim, "scale": scale, "n": n, "version": 1}, options)
+        told = {"compression": compression, "model": model, "dim": dim, "scale": scale, "partition_by": partition_by, "keys": sorted({k for k in (*keys, partition_by, options.shard_key) if k in chunks.columns})}
+        part = _put(rows, path, told) | ({"batch": batch} if batch is not None else {}) if first else None
+        schema = _with_tokens(rows).schema.jsonValue()
+        manifest = snapshots.advance(spark, path, lambda _: told | {"schema": schema, "parts": [part] if part else [], "n": part["n"] if part else 0})
+        return cls(spark, path, manifest, options)
 
     @classmethod
-    def _told(cls, spark: SparkSession, path: str, manifest: dict, options: Options) -> "Store":
-        names = [f.split()[0] for f in MANIFEST.split(", ")]
-        spark.createDataFrame([tuple(manifest[k] for k in names)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    def load(cls, spark: SparkSession, path: str, options: Options = Options(), model: str | None = None, version: int | None = None) -> "Store":
+        """The latest version, or one that was published before.  Nothing is encoded anew; another model than the store's is an error."""
+        manifest = snapshots.read(spark, path, version)
+        if manifest is None:
+            raise NoStore(f"no store at {path}" + (f" of version {version}" if version else ""))
+        if manifest["compression"] not in MODES:
+            raise ValueError(f"a store of unknown compression at {path}")
+        if model and manifest["model"] != model:
+            raise ValueError(f"the store holds vectors of {manifest['model']}, not of {model}")
         return cls(spark, path, manifest, options)
 
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, options: Options = Options(), model: str | None = None) -> "Store":
-        """Nothing is encoded anew; another model than the store's is an error."""
-        manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
-        if manifest is None or manifest.compression not in MODES:
-            raise ValueError(f"no store at {path}")
-        if model and manifest.model != model:
-            raise ValueError(f"the store holds vectors of {manifest.model}, not of {model}")
-        return cls(spark, path, manifest.asDict(), options)
-
-    def append(self, chunks: DataFrame, partition_by: str | None = None) -> "Store":
-        """Adds rows of the same dimension; a store with one scale for all can't grow."""
+    def append(self, chunks: DataFrame, batch: str | None = None) -> "Store":
+        """The next version, with more rows of the same dimension; a store with one scale for all can't grow.
+
+        Readers of other versions see nothing of it, nor does anyone if it fails
+        before it is published.  A ``batch`` that was appended under its name
+        before isn't appended again.
+        """
         if self.manifest["scale"] == "global":
             raise ValueError("codes of one global scale can't be appended to")
-        dim = self.manifest["dim"] or (chunks.select(F.size("embedding").alias("d")).first() or {"d": 0})["d"]
-        writer = coded(chunks, self.manifest["compression"], dim).write.mode("append")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.path}/chunks")
-        n = self.spark.read.parquet(f"{self.path}/chunks").count()
-        return self._told(self.spark, self.path, self.manifest | {"n": n, "dim": dim, "version": self.manifest["version"] + 1}, self.options)
+        if batch is not None and any(p.get("batch") == batch for p in (snapshots.read(self.spark, self.path) or self.manifest)["parts"]):
+            return Store.load(self.spark, self.path, self.options)
+        first = chunks.select(F.size("embedding").alias("d")).first()
+        dim = self.manifest["dim"] or (first.d if first else 0)
+        rows = coded(chunks, self.manifest["compression"], dim)
+        if self.manifest["n"]:
+            known = StructType.fromJson(self.manifest["schema"])
+            if extra := set(rows.columns) - set(known.names):
+                raise ValueError(f"the store has no column {', '.join(sorted(extra))}")
+            rows = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in known if f.name != "tokens"])
+        told = self.manifest | {"dim": dim}
+        if not told["n"]:
+            told |= {"schema": _with_tokens(rows).schema.jsonValue(), "keys": sorted({k for k in (*told["keys"], self.options.shard_key) if k in rows.columns})}
+        part = _put(rows, self.path, told) | ({"batch": batch} if batch is not None else {})
+
+        def change(last: dict | None) -> dict:
+            if last["model"] != told["model"] or last["n"] and last["dim"] != dim:
+                raise ValueError("the store was replaced by one of another kind")
+            kept = last if last["n"] else told
+            return kept | {"parts": [*last["parts"], part], "n": last["n"] + part["n"]}
+
+        return Store(self.spark, self.path, snapshots.advance(self.spark, self.path, change), self.options)
 
     # --- what is there
     def count(self) -> int:
@@ -119,23 +181,48 @@ class Store:
     def describe(self) -> dict:
         return {"stage": "retrieve", "healthy": True, "chunks": self.count(), **{k: self.manifest[k] for k in ("compression", "model", "version")}, "capabilities": ["exact", "int8", "binary", "ivf", "shards", "hybrid", "rerank"]}
 
-    def vectors(self) -> DataFrame:
+    def vectors(self, parts: list[dict] | None = None) -> DataFrame:
         """Chunks with ``vec_id`` and ``embedding``: floats, or those that the codes stand for."""
-        rows = self.chunks.withColumn("vec_id", F.col("id"))
-        return rows if self.manifest["compression"] == "none" else rows.withColumn("embedding", V.dequantised(F.col("codes"), F.col("scale")))
+        rows = self.chunks if parts is None else self._read("chunks", StructType.fromJson(self.manifest["schema"]), parts)
+        return _vectors(rows, self.manifest["compression"]).withColumn("vec_id", F.col("id"))
+
+    def centers(self, key: str) -> DataFrame:
+        """(key, n, centroid) of a shard key: from the sums kept with each part, else from the vectors."""
+        if key not in self.manifest["keys"]:
+            return shards.centroids(self.vectors(), key)
+        kind = StructType.fromJson(self.manifest["schema"])[key].dataType.simpleString()
+        return shards.centers_of(self._read(f"sums/{key}", f"key {kind}, n long, total array<double>"))
+
+    def postings(self) -> DataFrame:
+        return self._read("postings", f"token string, id {self.chunks.schema['id'].dataType.simpleString()}, bucket int")
 
-    def ivf(self) -> shards.Ivf:
-        """The index of this version of the store, built and saved where there is none."""
+    def terms(self) -> DataFrame:
+        """(token, n), a row a part."""
+        return self._read("terms", "token string, n long")
+
+    def ivf(self, most: int | None = None) -> shards.Ivf:
+        """The index over this version's rows.  Parts that it lacks are assigned to its cells; cells of more than ``most`` rows (eight times the mean, if not told) are split."""
         if self._ivf is None:
-            at = f"{self.path}/ivf-{self.manifest['version']}"
-            try:
-                self._ivf = shards.Ivf.load(self.spark, at)
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-                self._ivf = shards.Ivf.build(self.vectors().select("vec_id", "embedding")).save(at)
+            parts = {p["name"]: p for p in self.manifest["parts"]}
+            rows = lambda names: self._union([self.vectors([parts[n]]).select("vec_id", "embedding").withColumn("part", F.lit(n)) for n in names])
+            index = shards.Ivf.load(self.spark, f"{self.path}/ivf")
+            if index is None or not set(index.manifest["parts"]) & set(parts):
+                index = shards.Ivf.build(rows(parts)).save(f"{self.path}/ivf", parts=list(parts))
+            elif new := [n for n in parts if n not in index.manifest["parts"]]:
+                index = index.extend(rows(new), parts=[*index.manifest["parts"], *new])
+                index = index.split(most or max(64, 8 * sum(index.manifest["sizes"].values()) // max(1, index.open_cells)))
+            if set(index.manifest["parts"]) - set(parts):  # rows of other versions
+                index.assigned = index.assigned.filter(F.col("part").isin(*parts))
+            self._ivf = index
         return self._ivf
 
+    @staticmethod
+    def _union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
     # --- search
     def coarse(self, asked: DataFrame, k: int) -> DataFrame:
         """(query_id, vec_id, score) without shards or cells."""
@@ -145,18 +232,16 @@ class Store:
 
     def window(self, asked: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, bool]:
         """The best k by cosine, or in whole vectors without shards or cells by boosted score; and whether it is the latter."""
-        o, rows = self.options, None
+        o = self.options
         key = o.shard_key if o.shard_key in (self.chunks.columns if self.chunks is not None else ()) else None
         if key and self.manifest["compression"] != "none":
-            rows = self.vectors()
-            centers = shards.centroids(rows, key)
+            centers = self.centers(key)
             if centers.limit(2).count() == 2:
-                routed = shards.route(asked, centers, o.margin).select("query_id", "routed")
-                own = asked.join(routed, asked["vec_id"] == routed["query_id"]).select("vec_id", "embedding", "routed")
-                sure = own.filter("routed IS NOT NULL").orderBy("vec_id").collect()
-                found = search.topk_where(rows, [(r[0], r[1], [r[2]]) for r in sure], k, key).drop("rank") if sure else None
-                rest = own.filter("routed IS NULL").select("vec_id", "embedding")
-                if rest.limit(1).count():
+                routed = scratch.written(shards.route(asked, centers, o.margin), "routed")
+                found = shards.routed_topk(self.vectors(), asked, routed, k, key, margin=o.margin)
+                found = None if found is None else found.drop("rank")
+                rest = asked.join(routed.filter("routed IS NULL"), asked["vec_id"] == F.col("query_id")).select("vec_id", "embedding")
+                if found is None or rest.limit(1).count():
                     others = (self.ivf().search(rest, k, o.probes) if o.ann == "ivf" else self.coarse(rest, k)).drop("rank")
                     found = others if found is None else found.union(others)
                 return found, False
@@ -164,9 +249,8 @@ class Store:
             return self.ivf().search(asked, k, o.probes).drop("rank"), False
         if self.manifest["compression"] == "none":
             q = queries.join(asked.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-            best = hybrid.boosted_topk(self.chunks, q, k).select("query_id", "vec_id")
-            exact = search.rescored(best, self.chunks.withColumn("vec_id", F.col("id")), asked, k, n_pairs=queries.count() * k)
-            return exact.drop("rank"), True
+            best = hybrid.boosted_topk(self.chunks, self.postings(), self.terms(), q, k)
+            return best.drop("rank"), True
         return self.coarse(asked, k).drop("rank"), False
 
     def search(self, queries: DataFrame, k: int | None = None, *, domain: str | None = None, chunk_type: str | None = None, encoder: Callable[[Column], Column] = hybrid.encoded, scorer: Callable[[Column, Column], Column] | None = hybrid.overlap) -> DataFrame:
@@ -198,10 +282,10 @@ def retrieval_confidence(found: DataFrame, queries: DataFrame, by: str = "score"
 
 
 def open_store(spark: SparkSession, path: str, fallback: Callable[[], Store] | None = None, options: Options = Options()) -> Store | None:
-    """The store at ``path``, else what ``fallback`` ingests, else None; a store that can't be opened is no error."""
+    """The store at ``path``; where there is none, what ``fallback`` ingests, else None.  A store that is there but can't be read is an error, so nothing takes its place."""
     try:
         return Store.load(spark, path, options)
-    except Exception:
+    except NoStore:
         return fallback() if fallback else None
 
 

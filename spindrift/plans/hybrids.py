@@ -35,9 +35,14 @@ GATE = 0.4
 
 
 def store(spark, sf, mode="int8", **options):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain"), F.col("source").alias("type"))
-    rows = docs.withColumn("embedding", hybrid.encoded(F.col("text")))
-    return S.Store.save(rows, scratch.folder(spark, "chunks"), compression=mode, options=S.Options(shard_key=None, reranker=False)).with_options(**options)
+    """A store of the documents, saved once a session for each state of the table."""
+    own = table(spark, sf, "documents")
+
+    def save():
+        docs = own.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("domain"), F.col("source").alias("type"))
+        return S.Store.save(docs.withColumn("embedding", hybrid.encoded(F.col("text"))), scratch.folder(spark, "chunks"), compression=mode, keys=("domain",), options=S.Options(shard_key=None, reranker=False))
+
+    return scratch.once((spark.sparkContext.applicationId, "documents", mode, scratch.state(own)), save).with_options(**options)
 
 
 def asked(spark, sf):

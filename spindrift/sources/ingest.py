@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import annotate, chunks, hybrid
-from ..operators.store import Options, Store, coded, open_store
+from ..operators.store import Store, open_store
+from . import scratch
 
 Encoder = Callable[[Column], Column]
 
@@ -65,8 +66,9 @@ def ingest_code(rows: DataFrame, path: str, *, most_docs: int | None = None, enc
 def ingest_stream(articles: DataFrame, path: str, checkpoint: str, *, encoder: Encoder = hybrid.encoded, compression: str = "int8") -> StreamingQuery:
     """The encyclopedia job: a stream of source rows, each micro-batch chunked, encoded and appended.
 
-    A batch is written whole under its number and the manifest follows, so a
-    failure keeps the batches before it, and a batch run again replaces itself.
+    A batch is a part of the store that its next version lists, so a failure keeps
+    the batches before it and shows nothing of its own, and a batch that is run
+    again after it was published is not appended again.
     """
 
     def add(rows: DataFrame, batch: int) -> None:
@@ -75,12 +77,14 @@ def ingest_stream(articles: DataFrame, path: str, checkpoint: str, *, encoder: E
         parts = chunks.chunked(keyed, chunks.packed_sentences, id_col="key")
         own = parts.join(keyed.select("key", "origin", "source").dropDuplicates(["key"]), parts["doc_id"] == F.col("key")).select("origin", "source", "chunk_index", F.col("chunk").alias("text"), F.lit("encyclopedia").alias("domain"))
         own = encoded(with_ids(own, "source", "origin", "chunk_index"), encoder)
-        dim = own.select(F.size("embedding").alias("d")).first()
-        if dim is None:
+        own = scratch.written(own, "batch")
+        if not own.limit(1).count():
             return
-        coded(own, compression, dim.d).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch}")
-        n = spark.read.parquet(f"{path}/chunks").count()
-        Store._told(spark, path, {"compression": compression, "model": "hash", "dim": dim.d, "scale": "vector", "n": n, "version": batch + 1}, Options())
+        store = open_store(spark, path)
+        if store is None:
+            Store.save(own, path, compression=compression, batch=str(batch))
+        else:
+            store.append(own, batch=str(batch))
 
     return articles.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
