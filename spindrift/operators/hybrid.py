@@ -13,7 +13,7 @@ from . import search
 
 BOOST, CAP, RERANK_WINDOW, PASSAGE = 0.08, 0.30, 16, 1000
 #: Rows that the vector side finds for a query at least, and buckets of tokens by which postings are stored.
-NEAR, BUCKETS = 64, 16
+NEAR, BUCKETS = 256, 16
 GATE, SECOND = 0.84, 0.90
 DIM = 64
 

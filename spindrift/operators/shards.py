@@ -154,38 +154,52 @@ def _assigned(rows: DataFrame, centers: np.ndarray, vector_col: str, id_col: str
     return rows.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, cell_id int")
 
 
+def _blocked(sample: DataFrame, vector_col: str, id_col: str) -> DataFrame:
+    """(x): the unit vectors of a sample of bounded size, some thousand a row as little-endian 32-bit floats, written for many readings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                own = batch.slice(at, ROWS)
+                x = _unit(matrix(own.column(1), own.column(0).to_numpy())).astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    return scratch.written(sample.select(F.col(id_col).cast("long").alias("id"), vector_col).mapInArrow(run, "x binary"), "fit")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+
+
 def _fitted(sample: DataFrame, cells: int, iterations: int, seed: int, vector_col: str, id_col: str) -> np.ndarray:
-    """Unit centers by k-means with the cosine: a round sums each partition's rows by cell and adds these sums.  ``sample`` is written and of bounded size."""
+    """Unit centers by k-means with the cosine: a round sums each partition's rows by cell and adds these sums.  ``sample`` is of bounded size."""
     spark = sample.sparkSession
     first = sample.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(cells).collect()  # as many as cells
-    unit = lambda x: x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-    centers = unit(np.array([r[vector_col] for r in first], np.float64))
+    centers = _unit(np.array([r[vector_col] for r in first], np.float64))
+    rows = _blocked(sample, vector_col, id_col)
 
     def summed(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centers = shared.value
+            centers = shared.value.astype(np.float32)
             total, n = np.zeros(centers.shape), np.zeros(len(centers), np.int64)
             for batch in batches:
-                for at in range(0, batch.num_rows, ROWS):
-                    own = batch.slice(at, ROWS)
-                    x = unit(matrix(own.column(1), own.column(0).to_numpy(), centers.shape[1]))
+                for block in batch.column(0):
+                    x = np.frombuffer(block.as_buffer(), "<f4").reshape(-1, centers.shape[1])
                     cell = (x @ centers.T).argmax(axis=1)
                     order = np.argsort(cell, kind="stable")
                     heads = np.flatnonzero(np.diff(cell[order], prepend=-1))
-                    total[cell[order[heads]]] += np.add.reduceat(x[order], heads, axis=0)
+                    total[cell[order[heads]]] += np.add.reduceat(x[order], heads, axis=0, dtype=np.float64)
                     n += np.bincount(cell, minlength=len(n))
             met = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), pa.array([t.tobytes() for t in total[met]], pa.binary())], names=["cell", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array([t.tobytes() for t in total[met]], pa.binary())], names=["cell", "total"])
 
         return run
 
-    rows = sample.select(F.col(id_col).cast("long").alias("id"), vector_col)
     for _ in range(iterations):
         total = np.zeros(centers.shape)
-        for r in rows.mapInArrow(summed(spark.sparkContext.broadcast(centers)), "cell long, n long, total binary").toLocalIterator():  # a row a cell and partition of the sample
+        for r in rows.mapInArrow(summed(spark.sparkContext.broadcast(centers)), "cell long, total binary").collect():  # a row a cell and partition of the sample
             total[r.cell] += np.frombuffer(r.total)
-        held = (total != 0).any(axis=1)
-        moved = np.where(held[:, None], unit(total), centers)
+        moved = np.where((total != 0).any(axis=1)[:, None], _unit(total), centers)
         settled = np.abs(moved - centers).max(initial=0) < 1e-6
         centers = moved
         if settled:
@@ -214,7 +228,7 @@ class Ivf:
             return cls(corpus.withColumn("cell_id", F.lit(0)), np.zeros((1, len(first[0]) if first else 0)), id_col=id_col, vector_col=vector_col)
         sample = corpus.select(id_col, vector_col)
         sample = sample if n <= FIT_ROWS else sample.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(n)) < FIT_ROWS)
-        centers = _fitted(scratch.written(sample, "fit"), cells, iterations, seed, vector_col, id_col)
+        centers = _fitted(sample, cells, iterations, seed, vector_col, id_col)
         return cls(_assigned(corpus, centers, vector_col, id_col), centers, id_col=id_col, vector_col=vector_col)
 
     # --- stored indexes
@@ -271,7 +285,7 @@ class Ivf:
                 n = index.manifest["sizes"][str(cell)]
                 sample = rows.select(index.id_col, index.vector_col)
                 sample = sample if n <= FIT_ROWS else sample.filter(F.pmod(F.xxhash64(index.id_col, F.lit(seed)), F.lit(n)) < FIT_ROWS)
-                two = _fitted(scratch.written(sample, "fit"), 2, iterations, seed, index.vector_col, index.id_col)
+                two = _fitted(sample, 2, iterations, seed, index.vector_col, index.id_col)
                 at = len(index.centers)
                 folder, sizes = index._put(_assigned(rows, two, index.vector_col, index.id_col).withColumn("cell_id", (F.col("cell_id") + at).cast("int")))
                 if len(sizes) < 2:
