@@ -6,16 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import significant_words
+from ..sources import scratch
+from . import selection
 
 
 def stratified_split(rows: DataFrame, label: str, id_col: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``: of each class max(1, rint(n x ratio)) rows, the smallest hashes of their id, validate."""
     if not 0 < ratio < 1:
         raise ValueError("ratio must lie between 0 and 1")
-    by = Window.partitionBy(label)
-    rank = F.row_number().over(by.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col))
-    n = F.count(F.lit(1)).over(by)
-    return rows.withColumn("split", F.when(rank <= F.greatest(F.lit(1.0), F.rint(n * ratio)), "val").otherwise("train"))
+    spread = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    code = F.conv(F.substring(spread, 1, 15), 16, 10).cast("long")  # in the order of the hashes, 60 bits of them
+    most = lambda n: F.greatest(F.lit(1.0), F.rint(n * ratio))
+    last = selection.selected(rows.withColumn("_code", code), "_code", {"last": lambda n: most(n) - 1}, label)
+    last = scratch.written(last.select(F.col("k").alias("_k"), F.col("value").alias("_last"), most(F.col("n")).alias("_most")), "classes")
+    with_last = rows.withColumns({"_code": code, "_md5": spread}).join(F.broadcast(last) if last.count() <= selection.KEYS else last, F.col(label).eqNullSafe(F.col("_k")))
+    below = F.when(F.col("_code") < F.col("_last"), 1)
+    under = with_last.groupBy(label).agg(F.count(below).alias("_under")).withColumnRenamed(label, "_c")
+    ties = with_last.filter("_code = _last").join(under, F.col(label).eqNullSafe(F.col("_c")))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_md5", id_col))  # rows of one hash
+    tied = ties.withColumn("split", F.when(F.col("_under") + rank <= F.col("_most"), "val").otherwise("train"))
+    rest = with_last.filter("_code <> _last").withColumn("split", F.when(F.col("_code") < F.col("_last"), "val").otherwise("train"))
+    names = [*rows.columns, "split"]
+    return rest.select(names).union(tied.select(names))
 
 
 def class_balance(rows: DataFrame, label: str) -> DataFrame:
@@ -29,17 +41,15 @@ def accuracy(rows: DataFrame, label: str, predicted: str) -> DataFrame:
 
 
 def latency_summary(rows: DataFrame, value: str, key: str, limit: float = 1000.0) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.expr(f"percentile({value}, 0.5)"), 6).alias("median"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.bool_and(F.col(value) < limit).alias("all_under"))
+    told = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max"), F.bool_and(F.col(value) < limit).alias("all_under"))
+    middle = selection.median(rows, value, key).select("k", F.round("median", 6).alias("median"))
+    return told.join(middle, F.col(key).eqNullSafe(F.col("k")), "left").select(key, "n", "median", "mean", "max", "all_under")
 
 
 def nearest_rank(rows: DataFrame, value: str, shares: list[float], key: str | None = None) -> DataFrame:
-    """(key, share, value): the value at place rint(share x (n - 1)), halves to even, of the sorted values; by counts of distinct values, so no group is collected."""
-    by = [F.col(key)] if key else []
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    placed = counts.withColumns({"upto": F.sum("c").over(group.orderBy("v")), "n": F.sum("c").over(group)})
-    asked = placed.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).filter(F.col("upto") > F.rint(F.col("share") * (F.col("n") - 1)))
-    return asked.groupBy(*by, "share").agg(F.min("v").alias("value"))
+    """(key, share, value): the value at place rint(share x (n - 1)), halves to even, of the sorted values."""
+    found = selection.selected(rows, value, {str(s): lambda n, s=s: F.rint(F.lit(s) * (n - 1)) for s in shares}, key)
+    return found.select(*([F.col("k").alias(key)] if key else []), F.col("place").cast("double").alias("share"), "value")
 
 
 def grounded(response: Column, context: Column) -> Column:
@@ -60,11 +70,12 @@ def summary(results: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), n(F.col("refused")).alias("n_refused"), written.alias("n_generated"),
         F.when(refusals > 0, n(F.col("expect_refusal") & F.col("refused")) / refusals).otherwise(1.0).alias("refusal_rate"),
         F.when(written > 0, n(model & F.col("grounded")) / written).otherwise(0.0).alias("grounding_rate"),
-        F.round(F.expr("percentile(latency_s, 0.5)"), 6).alias("median"), F.round(F.avg("latency_s"), 6).alias("mean"), F.max("latency_s").alias("max"),
+        F.round(F.avg("latency_s"), 6).alias("mean"), F.max("latency_s").alias("max"),
         F.coalesce(F.bool_and(F.when(F.col("refused"), F.col("latency_s") < 1)), F.lit(True)).alias("refusals_under_1s"),
     )
     p95 = nearest_rank(results, "latency_s", [0.95]).select(F.col("value").alias("p95"))  # one row
-    return told.join(p95, how="left")
+    middle = selection.median(results, "latency_s").select(F.round("median", 6).alias("median"))  # one row
+    return told.join(middle, how="left").join(p95, how="left")
 
 
 def run_cases(cases: DataFrame, process) -> DataFrame:
