@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_SEARCH, slug, slug_candidates
+from ..sources import scratch
 
 #: A run of capitalised words, or any other word; what ``IS_ENTITY`` takes of these are capitalised words and acronyms.
 TOKEN = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*|[\p{L}\p{N}_]+"
@@ -24,53 +25,72 @@ def typed_pattern(words: str) -> str:
     return rf"({END}) (?:{words}) (?:(?:{ARTICLE}) )?({END})"
 
 
-def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sentence, pos, label, id): entities in order of place, stop words and slugs under two characters left out."""
-    sentences = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, SENTENCE)).alias("sentence", "s"))
-    found = sentences.select("doc_id", "sentence", F.posexplode(F.regexp_extract_all("s", F.lit(TOKEN), F.lit(0))).alias("pos", "label")).filter(F.col("label").rlike(IS_ENTITY))
-    named = found.withColumn("id", slug(F.col("label")))
-    return named.filter((F.length("id") >= 2) & ~F.col("id").isin(*STOP_SEARCH, "unknown"))
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sentence, ents, rels): what each sentence says, read once: entities (pos, label, id) in order of place, without stop words and slugs under two characters, and typed relations (s, p, o, confidence) without loops and stop words."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, SENTENCE)).alias("sentence", "t"))
+    met = F.transform(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), lambda x, i: F.struct(i.alias("pos"), x.alias("label")))
+    named = F.transform(F.filter(met, lambda e: e["label"].rlike(IS_ENTITY)), lambda e: F.struct(e["pos"].alias("pos"), e["label"].alias("label"), slug(e["label"]).alias("id")))
+    ents = F.filter(named, lambda e: (F.length(e["id"]) >= 2) & ~e["id"].isin(*STOP_SEARCH, "unknown"))
+    found = []
+    for name, sure, words in TYPED:
+        found.append(F.transform(F.regexp_extract_all("t", F.lit(typed_pattern(words)), F.lit(0)), _triple(name, sure, typed_pattern(words))))
+    rels = F.filter(F.concat(*found), lambda r: (r["s"] != r["o"]) & ~r["s"].isin(*STOP_SEARCH, "unknown") & ~r["o"].isin(*STOP_SEARCH, "unknown"))
+    return rows.select("doc_id", "sentence", ents.alias("ents"), rels.alias("rels"))
 
 
-def entities(docs: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, id, label, type): the first mention of each id in a document."""
-    first = mentions(docs, **columns).groupBy("doc_id", "id").agg(F.min(F.struct("sentence", "pos", "label")).alias("f"))
+def _triple(name: str, sure: float, pattern: str):
+    return lambda m: F.struct(slug(F.regexp_extract(m, pattern, 1)).alias("s"), F.lit(name).alias("p"), slug(F.regexp_extract(m, pattern, 2)).alias("o"), F.lit(sure).alias("confidence"))
+
+
+def entities_of(said: DataFrame) -> DataFrame:
+    """(doc_id, id, label, type) of ``sentences``: the first mention of each id in a document."""
+    first = said.select("doc_id", "sentence", F.inline("ents")).groupBy("doc_id", "id").agg(F.min(F.struct("sentence", "pos", "label")).alias("f"))
     label = F.col("f.label")
     return first.select("doc_id", "id", label.alias("label"), F.when(label.rlike(ACRONYM), "acronym").otherwise("concept").alias("type"))
 
 
-def _triple(name: str, sure: float):
-    return lambda x: F.struct(slug(x["a"]).alias("s"), F.lit(name).alias("p"), slug(x["b"]).alias("o"), F.lit(sure).alias("confidence"))
+def relations_of(said: DataFrame) -> DataFrame:
+    """(doc_id, s, p, o, confidence) of ``sentences``: each typed triple once a document."""
+    return said.select("doc_id", F.inline("rels")).distinct()
 
 
-def relations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, s, p, o, confidence): typed relations, each triple once a document; loops and stop words are left out."""
-    sentences = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.split(text_col, SENTENCE)).alias("t"))
-    found = []
-    for name, sure, words in TYPED:
-        p = F.lit(typed_pattern(words))
-        pairs = F.arrays_zip(F.regexp_extract_all("t", p, F.lit(1)).alias("a"), F.regexp_extract_all("t", p, F.lit(2)).alias("b"))
-        found.append(F.transform(pairs, _triple(name, sure)))
-    out = sentences.select("doc_id", F.inline(F.concat(*found)))  # one scan for all patterns
-    return out.filter((F.col("s") != F.col("o")) & ~F.col("s").isin(*STOP_SEARCH, "unknown") & ~F.col("o").isin(*STOP_SEARCH, "unknown")).distinct()
+def cooccurrences_of(said: DataFrame) -> DataFrame:
+    """(doc_id, s, p, o, confidence) of ``sentences``: every ordered pair of distinct entities of a sentence; the direction seen first counts.
 
-
-def cooccurrences(docs: DataFrame, **columns: str) -> DataFrame:
-    """(doc_id, s, p, o, confidence): every ordered pair of distinct entities of a sentence; the direction seen first counts.  Entities are joined ``BLOCK`` by ``BLOCK``, so no row holds a long sentence's pairs."""
-    first = mentions(docs, **columns).groupBy("doc_id", "sentence", "id").agg(F.min("pos").alias("pos"))
+    Up to ``BLOCK`` entities are paired where they lie; longer sentences are joined ``BLOCK`` by ``BLOCK``, so no row holds a long sentence's pairs.
+    """
+    few = said.filter((F.size("ents") > 1) & (F.size("ents") <= BLOCK)).withColumn("ids", F.transform("ents", lambda e: e["id"]))
+    few = few.select("doc_id", "sentence", F.filter("ents", lambda e, i: F.array_position("ids", e["id"]) == i + 1).alias("own"))
+    pair = lambda x, y: F.struct(x["pos"].alias("i"), y["pos"].alias("j"), x["id"].alias("s"), y["id"].alias("o"))
+    near = F.flatten(F.transform("own", lambda x, i: F.transform(F.slice("own", i + 2, F.size("own")), lambda y: pair(x, y))))
+    first = said.filter(F.size("ents") > BLOCK).select("doc_id", "sentence", F.inline("ents")).groupBy("doc_id", "sentence", "id").agg(F.min("pos").alias("pos"))
     ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("pos")))
     blocks = ranked.groupBy("doc_id", "sentence", F.floor(F.col("r") / BLOCK).alias("block")).agg(F.collect_list(F.struct("r", "id")).alias("own"))
     later = blocks.select(F.col("doc_id").alias("d"), F.col("sentence").alias("n"), F.col("block").alias("b"), F.col("own").alias("others"))
     both = blocks.join(later, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sentence") == F.col("n")) & (F.col("block") <= F.col("b")))
     pairs = both.select("doc_id", "sentence", F.explode("own").alias("x"), "others").select("doc_id", "sentence", "x", F.explode("others").alias("y")).filter("x.r < y.r")
     pairs = pairs.select("doc_id", "sentence", F.col("x.r").alias("i"), F.col("y.r").alias("j"), F.col("x.id").alias("s"), F.col("y.id").alias("o"))
+    pairs = few.select("doc_id", "sentence", F.inline(near)).union(pairs)
     seen = pairs.groupBy("doc_id", F.least("s", "o").alias("x"), F.greatest("s", "o").alias("y")).agg(F.min(F.struct("sentence", "i", "j", "s", "o")).alias("f"))
     return seen.select("doc_id", F.col("f.s").alias("s"), F.lit("co_occurs_with").alias("p"), F.col("f.o").alias("o"), F.lit(0.3).alias("confidence"))
 
 
+def entities(docs: DataFrame, **columns: str) -> DataFrame:
+    return entities_of(sentences(docs, **columns))
+
+
+def relations(docs: DataFrame, **columns: str) -> DataFrame:
+    return relations_of(sentences(docs, **columns))
+
+
+def cooccurrences(docs: DataFrame, **columns: str) -> DataFrame:
+    return cooccurrences_of(sentences(docs, **columns))
+
+
 def extracted(docs: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
-    """Entities and relations of each document."""
-    return entities(docs, **columns), relations(docs, **columns).union(cooccurrences(docs, **columns))
+    """Entities and relations of each document, from sentences that are read once and written."""
+    said = scratch.written(sentences(docs, **columns).filter("size(ents) > 0 OR size(rels) > 0"), "sentences")
+    return entities_of(said), relations_of(said).union(cooccurrences_of(said))
 
 
 def extracted_counts(docs: DataFrame, **columns: str) -> DataFrame:
@@ -154,7 +174,7 @@ def repaired(graph: DataFrame) -> DataFrame:
 def build(docs: DataFrame, path: str, *, least_entities: int = 50, least_relations: int = 100, **columns: str) -> dict:
     """The build job: extract, aggregate, save; fails under the floors, after the graph is saved.  Returns the counts and the top entities."""
     own, found = extracted(docs, **columns)
-    graph = triples(found)
+    graph = scratch.written(triples(found), "triples")
     save(with_placeholders(latest(own), graph), graph, path)
     nodes, graph = load(docs.sparkSession, path)
     told = {"entities": nodes.count(), "relations": graph.count(), "top": [(r.id, r.degree) for r in degrees(graph).collect()]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_SEARCH
-from ..operators import graph
+from ..operators import graph, graphstore
 from ..sources import scratch
 from . import fixtures as fx
 from .base import example, query, slugged, table
@@ -26,17 +26,26 @@ def _documents(spark, sf):
     return table(spark, sf, "documents")
 
 
-_built: dict[tuple[str, str], str] = {}
+def _stored(spark, sf, batches=1):
+    """The graph of the documents, extracted and saved once a session for each state of the table, in so many batches."""
+    docs = _documents(spark, sf)
+
+    def build():
+        own, path = docs.select("doc_id", "text"), scratch.folder(spark, "graph")
+        if own.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a few large row groups would be as many tasks
+            own = own.repartition(spark.sparkContext.defaultParallelism)
+        g = graphstore.Graph(spark, path)
+        for i in range(batches):
+            g = g.append(own.filter(F.pmod("doc_id", F.lit(batches)) == i), f"batch-{i}")
+        return path if batches > 1 else g.compact().path
+
+    return graphstore.Graph(spark, scratch.once((spark.sparkContext.applicationId, "graph", batches, scratch.state(docs)), build))
 
 
 def built(spark, sf):
-    """(nodes, triples) of the documents, extracted and saved once a session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _built:
-        path = scratch.folder(spark, "graph")
-        graph.build(_documents(spark, sf), path, least_entities=0, least_relations=0)
-        _built[key] = path
-    return graph.load(spark, _built[key])
+    """(nodes, triples) of the documents."""
+    g = _stored(spark, sf)
+    return g.nodes(), g.triples()
 
 
 @query(f"WITH {_ENTITIES} SELECT * FROM ent")
@@ -64,6 +73,17 @@ def kg_triples(spark, sf):
     return built(spark, sf)[1]
 
 
+@query(f"{_GRAPH} SELECT * FROM g")
+def kg_triples_batches(spark, sf):
+    """Three batches give what one does."""
+    return _stored(spark, sf, 3).triples()
+
+
+@query(f"{_GRAPH} SELECT * FROM g WHERE s = '{_A}' UNION ALL SELECT * FROM g WHERE o = '{_A}'")
+def kg_facts_batches(spark, sf):
+    return _stored(spark, sf, 3).facts(_A)
+
+
 @query(f"{_GRAPH} SELECT * FROM nodes")
 def kg_nodes(spark, sf):
     return built(spark, sf)[0]
@@ -92,28 +112,28 @@ def kg_known(spark, sf):
 
 @query(f"{_GRAPH} SELECT * FROM g WHERE p = 'of' AND s = '{_A}'")
 def kg_pattern(spark, sf):
-    return graph.pattern(built(spark, sf)[1], s=_A, p="of")
+    return graph.pattern(_stored(spark, sf).out_of(_A), p="of")
 
 
 @query(f"{_GRAPH} SELECT id, label, type, p FROM g JOIN nodes ON o = id WHERE s = '{_A}'")
 def kg_neighbors(spark, sf):
-    nodes, triples = built(spark, sf)
-    return graph.neighbours(triples, nodes, _A)
+    g = _stored(spark, sf)
+    return graph.neighbours(g.out_of(_A), g.nodes(), _A)
 
 
 @query(f"{_GRAPH} SELECT * FROM g WHERE s = '{_A}' UNION ALL SELECT * FROM g WHERE o = '{_A}'")
 def kg_facts(spark, sf):
-    return graph.facts(built(spark, sf)[1], _A)
+    return _stored(spark, sf).facts(_A)
 
 
 @query(f"{_GRAPH} SELECT CASE WHEN bool_or(s = '{_A}') AND bool_or(s = '{_B}') THEN 'common' WHEN bool_or(s = '{_A}') THEN 'a_only' ELSE 'b_only' END AS kind, o AS id, string_agg(DISTINCT p, ',' ORDER BY p) AS predicates FROM g WHERE s IN ('{_A}', '{_B}') GROUP BY o UNION ALL SELECT 'a_to_b', o, string_agg(p, ',' ORDER BY p) FROM g WHERE s = '{_A}' AND o = '{_B}' GROUP BY o UNION ALL SELECT 'b_to_a', o, string_agg(p, ',' ORDER BY p) FROM g WHERE s = '{_B}' AND o = '{_A}' GROUP BY o")
 def kg_compare(spark, sf):
-    return graph.compare(built(spark, sf)[1], _A, _B)
+    return graph.compare(_stored(spark, sf).out_of(_A, _B), _A, _B)
 
 
 @query(f"{_GRAPH} SELECT id, count(*) AS degree FROM (SELECT s AS id FROM g UNION ALL SELECT o FROM g) GROUP BY id ORDER BY degree DESC, id LIMIT 10")
 def kg_top_degree(spark, sf):
-    return graph.degrees(built(spark, sf)[1])
+    return _stored(spark, sf).degrees()
 
 
 # --- a small graph
