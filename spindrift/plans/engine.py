@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import annotate, answer, graph, hybrid, intent, memory, metrics, verify
 from ..operators.store import Store, retrieval_confidence
+from ..sources import scratch
+from ..streaming.counters import Counters, counters
 
 
 class Module(Protocol):
@@ -42,18 +46,31 @@ class Retrieve:
 
 class Symbolic:
     name = "symbolic"
+    #: Paths whose graph couldn't be read, and why.
+    failed: dict[str, str] = {}
 
     def __init__(self, nodes: DataFrame, triples: DataFrame):
         self.nodes, self.triples = nodes, triples
 
     @classmethod
     def lazy(cls, spark: SparkSession, path: str) -> "Symbolic | None":
-        """The saved graph's stage, or None without a graph; the stage is then skipped."""
+        """The saved graph's stage, or None where there is no usable graph; the stage is then skipped.
+
+        A failed load is remembered with its reason (``failed``) and not tried
+        again until ``forget``; other errors than those of reading are raised.
+        """
+        if path in cls.failed:
+            return None
         try:
             return cls(*graph.load(spark, path))
-        except Exception:
+        except (AnalysisException, ValueError) as e:  # no such folder; another schema version
+            cls.failed[path] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
             return None
 
+    @classmethod
+    def forget(cls, path: str) -> None:
+        cls.failed.pop(path, None)
+
     def run(self, queries: DataFrame, so_far: dict[str, DataFrame]) -> DataFrame:
         chunks = so_far.get("retrieve")
         rows = queries.select("query_id", "text")
@@ -137,15 +154,24 @@ class Engine:
         failed = F.filter(F.array(*[F.when(F.array_contains("stages", n), F.lit(t)) for n, t in errors.items()]).cast("array<string>"), lambda x: x.isNotNull())
         return out.select("query_id", "text", "kind", "domain", answer.assembled([F.col("answer")]).alias("answer"), "form", "generated_by", "confidence", failed.alias("errors"))
 
-    def process_stream(self, queries: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, stats: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-        """The same for a stream of questions; each micro-batch goes to ``sink``, and its counters to ``stats`` even if the sink fails."""
+    def process_stream(self, queries: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, stats: Callable[[DataFrame], None] | None = None, kept: Counters | None = None) -> StreamingQuery:
+        """The same for a stream of questions; each micro-batch goes to ``sink``, and its counters to ``stats`` even if the sink fails.
+
+        ``kept`` adds the batches' counters up, each batch once.  A question's
+        latency is its share of its batch's time.
+        """
 
         def answer_batch(rows: DataFrame, batch: int) -> None:
-            done = self.process(rows)
+            began = time.time()
+            done = scratch.written(self.process(rows), "answers")  # computed once for the sink and the counters
+            each = F.lit((time.time() - began) / max(1, done.count()))
             try:
                 sink(done, batch)
             finally:
+                told = done.select("query_id", "kind", "generated_by", each.alias("latency_s"), F.current_timestamp().alias("at"))
                 if stats:
-                    stats(metrics.usage(done.select("query_id", "kind", "generated_by", F.lit(0.0).alias("latency_s"))))
+                    stats(metrics.usage(told))
+                if kept:
+                    kept.add(counters(told, "kind", "at", "query_id", "latency_s", "generated_by"), batch)
 
         return queries.writeStream.foreachBatch(answer_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
