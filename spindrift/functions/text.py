@@ -101,15 +101,15 @@ def container_page(text: Column) -> Column:
 
 
 def area_language(area: Column, languages: dict[str, str]) -> Column:
-    """The language of a documentation area; unknown areas are named after themselves."""
-    return F.coalesce(*[F.when(F.lower(area) == k, v) for k, v in languages.items()], F.lower(area))
+    """The language of a documentation area, the last part of its path; areas without one are named after themselves."""
+    name = F.lower(F.substring_index(area, "/", -1))
+    return F.coalesce(*[F.when(name == k, v) for k, v in languages.items()], name)
 
 
-def manual_language(page: Column, languages: dict[str, str]) -> Column:
-    """The language of a manual page: that of its name or of the name before its first dash, else bash."""
-    name = F.lower(page)
-    first = F.split(name, "-")[0]
-    return F.coalesce(*[F.when((name == k) | (first == k), v) for k, v in languages.items()], F.lit("bash"))
+def manual_language(page: Column, languages: dict[str, tuple[str, bool]]) -> Column:
+    """The language of a manual page: that of the command of its name, or, where it has subcommands, of the name before a dash; else shell."""
+    fits = lambda k, more: (page == k) | F.startswith(page, F.lit(f"{k}-")) if more else page == k
+    return F.coalesce(*[F.when(fits(k, more), v) for k, (v, more) in languages.items()], F.lit("shell"))
 
 
 def canonical_model(name: str, owner: str = "sentence-transformers") -> str:

@@ -1,4 +1,4 @@
-"""Chunkers: greedy packing is sequential within a text, so texts go through Arrow batches; texts stay where they are."""
+"""Chunkers.  Sections and sentences are split and packed by expressions; the code-aware packing is sequential over lines and goes through Arrow batches.  Texts stay where they are."""
 
 from __future__ import annotations
 
@@ -6,45 +6,57 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-HEAD = re.compile(r"^(#{1,4})\s+(.*)$")
+#: The characters of white space, as ranges; BLANK is those within a line.
+_WIDE = r"\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE, BLANK = rf"\t-\r{_WIDE}", rf"\t\x0B-\r{_WIDE}"
 ANY_HEAD = re.compile(r"^#{1,6}\s+(.*)$")
 UNDERLINE = re.compile(r"=+|-+|~+|\^+")
 
 
-def sections(text: str) -> list[tuple[str, str]]:
-    """(title, body) by headings of levels 1 to 4; empty bodies go; without any the whole text is one."""
-    out: list[tuple[str, list[str]]] = [("", [])]
-    for line in text.split("\n"):
-        if m := HEAD.match(line):
-            out.append((m[2].strip(), []))
-        else:
-            out[-1][1].append(line)
-    rows = [(t, "\n".join(b).strip()) for t, b in out]
-    return [r for r in rows if r[1]] or [("", text)]
-
-
-def packed_sentences(text: str, size: int = 400, overlap: int = 50, least: int = 20) -> list[str]:
-    """Sentences packed into chunks of ``size`` characters; longer ones are cut into overlapping windows."""
-    out, held = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", re.sub(r"\s+", " ", text).strip()):
-        if len(s) > size:
-            out += [held, *(s[i : i + size] for i in range(0, len(s), size - overlap))]
-            held = ""
-        elif len(held) + 1 + len(s) <= size:
-            held = f"{held} {s}".strip()
-        else:
-            out.append(held)
-            held = s
-    return [c for c in [*out, held] if len(c.strip()) > least]
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+
+
+def sections(text: Column) -> Column:
+    """array<struct<section, body>> by headings of levels 1 to 4; empty bodies go; without any the whole text is one."""
+    mark = rf"#{{1,4}}[{BLANK}]"
+
+    def section(part: Column) -> Column:
+        headed = F.rlike(part, F.lit(rf"\A{mark}"))
+        title = F.when(headed, _strip(F.regexp_extract(part, r"\A#{1,4}([^\n]*)", 1))).otherwise("")
+        return F.struct(title.alias("section"), _strip(F.when(headed, F.regexp_replace(part, r"\A[^\n]*\n?", "")).otherwise(part)).alias("body"))
+
+    found = F.filter(F.transform(F.split(text, rf"(?dm)(?=^{mark})"), section), lambda x: x["body"] != "")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("").alias("section"), text.alias("body"))))
 
 
-def prose(text: str) -> list[tuple[str, str]]:
-    """(section, chunk): the sections' sentences, packed."""
-    return [(title, c) for title, body in sections(text) for c in packed_sentences(body)]
+def packed_sentences(text: Column, size: int = 400, overlap: int = 50, least: int = 20) -> Column:
+    """array<string>: sentences packed into chunks of ``size`` characters; longer ones are cut into overlapping windows; chunks of ``least`` or fewer go.
+
+    One fold over the sentences that holds the open chunk and the closed ones.
+    """
+    flat = F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
+
+    def step(acc: Column, s: Column) -> Column:
+        out, held, n = acc["out"], acc["held"], F.length(s)
+        state = lambda closed, kept: F.struct(closed.alias("out"), kept.alias("held"))
+        windows = F.transform(F.sequence(F.lit(0), n - 1, F.lit(size - overlap)), lambda i: F.substring(s, i + 1, F.lit(size)))
+        fits = F.length(held) + 1 + n <= size
+        return F.when(n > size, state(F.concat(out, F.array(held), windows), F.lit(""))).when(fits, state(out, F.trim(F.concat(held, F.lit(" "), s)))).otherwise(state(F.concat(out, F.array(held)), s))
+
+    closed = F.aggregate(F.split(flat, "(?<=[.!?]) "), none, step, lambda acc: F.concat(acc["out"], F.array(acc["held"])))
+    return F.filter(closed, lambda c: F.length(F.trim(c)) > least)
+
+
+def prose(text: Column) -> Column:
+    """array<struct<section, chunk>>: the sections' sentences, packed."""
+    own = lambda x: F.transform(packed_sentences(x["body"]), lambda c: F.struct(x["section"].alias("section"), c.alias("chunk")))
+    return F.flatten(F.transform(sections(text), own))
 
 
 def units(text: str, markdown: bool = True) -> list[tuple[str, str]]:
@@ -128,3 +140,11 @@ def chunked(docs: DataFrame, split: Callable[[str], list], id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["doc_id", "chunk_index", "section", "chunk"])
 
     return docs.select(F.col(id_col).cast("long"), text_col).filter(F.col(text_col).isNotNull()).mapInArrow(run, "doc_id long, chunk_index int, section string, chunk string")
+
+
+def exploded(docs: DataFrame, parts: Column, *keep: str) -> DataFrame:
+    """(*keep, chunk_index, section, chunk) by an expression that gives chunks, (section, chunk) or (section, body) pairs; null gives none."""
+    pair = docs.select(parts.alias("p")).schema["p"].dataType.elementType
+    rows = docs.select(*keep, F.posexplode(parts).alias("chunk_index", "_part"))
+    named = pair.typeName() == "struct"
+    return rows.select(*keep, "chunk_index", *([F.col("_part.section"), F.col(f"_part.{pair.names[1]}").alias("chunk")] if named else [F.lit("").alias("section"), F.col("_part").alias("chunk")]))

@@ -5,21 +5,68 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunks, memory, metrics, verify
+from ..sources import scratch
+from ..streaming.counters import Counters
 from . import fixtures as fx
 from .base import example, query, table
 
 
 # --- chunkers
-@query()
+_WIDE = r"\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE, _BLANK = rf"\t-\r{_WIDE}", rf"\t\x0b-\r{_WIDE}"
+_STRIPPED = lambda x: f"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
+_HEADED = rf"#{{1,4}}[{_BLANK}]"
+
+
+def _sections_sql(texts: str) -> str:
+    """CTEs up to ``src`` (id, sec, section, body) of ``texts`` (id, text): cut before each heading."""
+    mark = "chr(57344)"
+    return (
+        f"u AS (SELECT id, text, string_split(regexp_replace(text, '(?m)^({_HEADED})', {mark} || '\\1', 'g'), {mark}) AS p FROM ({texts})), "
+        "v AS (SELECT id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS sec FROM u), "
+        f"b AS (SELECT id, sec, CASE WHEN regexp_matches(x, '^{_HEADED}') THEN {_STRIPPED(r"regexp_extract(x, '^#{1,4}([^\n]*)', 1)")} ELSE '' END AS section, "
+        f"{_STRIPPED(f"CASE WHEN regexp_matches(x, '^{_HEADED}') THEN regexp_replace(x, '^[^\\n]*\\n?', '') ELSE x END")} AS body FROM v), "
+        "src AS (SELECT * FROM b WHERE body <> '' UNION ALL SELECT id, 0, '', text FROM u WHERE id NOT IN (SELECT id FROM b WHERE body <> ''))"
+    )
+
+
+#: From ``src``: sentences numbered, where a chunk that begins at each would end (by running lengths), and the chunks that follow one another from the first.
+_PACKED_SQL = (
+    f"l AS (SELECT id, sec, section, string_split(regexp_replace(trim(regexp_replace(body, '[{_SPACE}]+', ' ', 'g')), '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)) AS p FROM src), "
+    "s AS (SELECT id, sec, section, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM l), "
+    "c AS (SELECT *, length(s) AS n, CAST(sum(length(s) + 1) OVER (PARTITION BY id, sec ORDER BY i) AS BIGINT) AS c FROM s), "
+    "j AS (SELECT *, i + count(*) OVER (PARTITION BY id, sec ORDER BY c RANGE BETWEEN CURRENT ROW AND greatest(0, 400 - n) FOLLOWING) AS nxt FROM c), "
+    "h AS (SELECT id, sec, i, nxt FROM j WHERE i = 1 UNION ALL SELECT j.id, j.sec, j.i, j.nxt FROM h JOIN j ON j.id = h.id AND j.sec = h.sec AND j.i = h.nxt), "
+    "g AS (SELECT h.id, h.sec, h.i, any_value(j.section) AS section, string_agg(j.s, ' ' ORDER BY j.i) AS t FROM h JOIN j ON j.id = h.id AND j.sec = h.sec AND j.i >= h.i AND j.i < h.nxt GROUP BY ALL), "
+    "w AS (SELECT id, sec, i, section, unnest(CASE WHEN length(t) > 400 THEN list_transform(range(0, length(t), 350), lambda o: substring(t, o + 1, 400)) ELSE [t] END) AS chunk, unnest(range(0, greatest(1, length(t)), CASE WHEN length(t) > 400 THEN 350 ELSE greatest(1, length(t)) END)) AS k FROM g) "
+    "SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec, i, k) - 1 AS INT) AS chunk_index, section, chunk FROM w WHERE length(trim(chunk)) > 20"
+)
+_TEXTS = "SELECT doc_id AS id, text FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"WITH RECURSIVE src AS (SELECT id, 0 AS sec, '' AS section, text AS body FROM ({_TEXTS})), {_PACKED_SQL}")
 def chunk_sentences(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.packed_sentences)
+    return chunks.exploded(table(spark, sf, "documents"), chunks.packed_sentences(F.col("text")), "doc_id")
 
 
-@query("SELECT doc_id, CAST(0 AS INT) AS chunk_index, '' AS section, text AS chunk FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?m)^#{1,4}\\s')")
+@query(f"WITH {_sections_sql(_TEXTS)} SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec) - 1 AS INT) AS chunk_index, section, body AS chunk FROM src")
 def chunk_sections(spark, sf):
-    """Documents without headings are one section."""
-    return chunks.chunked(table(spark, sf, "documents").filter("text NOT RLIKE '(?m)^#{1,4}\\\\s'"), chunks.sections)
+    return chunks.exploded(table(spark, sf, "documents"), chunks.sections(F.col("text")), "doc_id")
+
+
+_TURNS = "SELECT conv_id * 1000000 + turn AS id, conv_id || chr(10) || '## ' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '. ', '.' || chr(10) || '### then' || chr(10)) AS text FROM conversations"
+
+
+def _turns(spark, sf):
+    """A turn as a small page: its session, a heading by its role, and one before each further sentence."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\. ", ".\n### then\n")
+    page = F.concat(F.col("conv_id").cast("string"), F.lit("\n## "), F.coalesce("role", F.lit("")), F.lit("\n"), text)
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), page.alias("text"))
+
 
+@query(f"WITH {_sections_sql(_TURNS)} SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY sec) - 1 AS INT) AS chunk_index, section, body AS chunk FROM src")
+def chunk_headed(spark, sf):
+    return chunks.exploded(_turns(spark, sf), chunks.sections(F.col("text")), "doc_id")
 
 
 @query()
@@ -27,9 +74,14 @@ def chunk_code(spark, sf):
     return chunks.chunked(table(spark, sf, "documents"), chunks.code_chunks)
 
 
-@query()
+@query(f"WITH RECURSIVE {_sections_sql(_TEXTS)}, {_PACKED_SQL}")
 def chunk_prose(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.prose)
+    return chunks.exploded(table(spark, sf, "documents"), chunks.prose(F.col("text")), "doc_id")
+
+
+@query(f"WITH RECURSIVE {_sections_sql(_TURNS)}, {_PACKED_SQL}")
+def chunk_headed_prose(spark, sf):
+    return chunks.exploded(_turns(spark, sf), chunks.prose(F.col("text")), "doc_id")
 
 
 @query("SELECT doc_id, CAST(unnest(range(0, greatest(1, CAST(ceil(length(t) / 500) AS BIGINT)))) AS INT) AS part, CAST(least(500, length(t) - 500 * unnest(range(0, greatest(1, CAST(ceil(length(t) / 500) AS BIGINT))))) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '\\s+', 'x', 'g') AS t FROM documents WHERE text IS NOT NULL)")
@@ -50,7 +102,7 @@ def chunk_code_small(spark, sf):
 @example(fx.golden("section chunk_index chunk", [("", 0, "before"), ("A", 1, "one\n##### five"), ("C d", 2, "two")]))
 def chunk_sections_small(spark, sf):
     rows = fx.frame(spark, [(1, "before\n# A\none\n##### five\n## B\n\n#### C d\ntwo")], "doc_id long, text string")
-    return chunks.chunked(rows, chunks.sections).select("section", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
+    return chunks.exploded(rows, chunks.sections(F.col("text")), "doc_id").select("section", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk")
 
 
 # --- pages and code
@@ -79,7 +131,7 @@ _CHECKED = [
     (1, "python", True, "", "", '{"classes": ["K"], "functions": ["async f"], "imports": ["os", "a.b"], "lines": 9, "main_guard": true}'), (2, "python", False, "line 1: invalid syntax", "", "{}"),
     (3, "python", True, "", "no function or class", '{"classes": [], "functions": [], "imports": [], "lines": 7, "main_guard": false}'), (4, "sql", True, "", "only statement types are checked", '{"statements": {"INSERT": 1, "SELECT": 1}}'),
     (5, "sql", False, "no statement", "only statement types are checked", '{"statements": {}}'), (6, "html", True, "", "", '{"has_body": true, "has_head": false, "has_html": true, "tags": {"body": 1, "br": 1, "html": 1, "p": 1}}'),
-    (7, "html", False, "leaves b open|closes unopened i", "", '{"has_body": false, "has_head": false, "has_html": false, "tags": {"b": 1, "p": 1}}'), (8, "css", True, "", "", '{"at_rules": ["media", "import"], "rules": 1}'),
+    (7, "html", False, "closes unopened p|closes unopened i|leaves p open|leaves b open", "", '{"has_body": false, "has_head": false, "has_html": false, "tags": {"b": 1, "p": 1}}'), (8, "css", True, "", "", '{"at_rules": ["media", "import"], "rules": 1}'),
     (9, "css", False, "no declaration: b", "", '{"at_rules": [], "rules": 1}'), (10, "css", False, "leaves a block open", "", '{"at_rules": [], "rules": 1}'), (11, None, None, "", "skipped", "{}"), (12, "python", False, "empty", "", "{}"), (13, "bash", None, "", "skipped", "{}"),
 ]
 
@@ -148,6 +200,17 @@ def usage_by_kind(spark, sf):
     return metrics.usage(fx.frame(spark, fx.RECORDED, "query_id long, kind string, generated_by string, latency_s double"))
 
 
+@query(
+    "SELECT event_type AS kind, n, mean_value, ts AS last_at, event_id AS last_id FROM (SELECT event_type, ts, event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean_value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC NULLS LAST, event_id DESC) AS r FROM events WINDOW w AS (PARTITION BY event_type)) WHERE r = 1"
+)
+def usage_stream(spark, sf):
+    """Counters and the last event of each kind, from a stream of all events."""
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")  # a pattern: a stream takes no single file by its name
+    kept = Counters(spark, scratch.folder(spark, "counters"))
+    kept.follow(events, scratch.folder(spark, "checkpoint"), "event_type", "ts", "event_id", "value").awaitTermination()
+    return kept.totals().select("kind", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean_value"), "last_at", "last_id")
+
+
 @query("SELECT lang AS domain, source AS type, count(*) AS n FROM documents GROUP BY ALL")
 def file_counts(spark, sf):
     from ..sources.ingest import file_counts as counts

@@ -319,9 +319,9 @@ def overstrike(spark, sf):
     return fx.frame(spark, [(1, "N\bNA\bAM\bME\bE _\bb_\bo_\bl_\bd"), (2, "plain")], "id long, t string").select("id", T.no_overstrike(F.col("t")).alias("clean"))
 
 
-@example(fx.golden("name area manual", [("git-log", "git-log", "git"), ("web/API", "javascript", "bash"), ("ls", "ls", "bash"), ("web/css", "css", "bash")]))
+@example(fx.golden("name area manual", [("git-log", "git-log", "git"), ("web/API", "javascript", "shell"), ("bash", "bash", "bash"), ("bash-x", "bash-x", "shell"), ("web/css", "css", "shell")]))
 def source_language(spark, sf):
-    rows = fx.frame(spark, [("git-log",), ("web/API",), ("ls",), ("web/css",)], "name string")
+    rows = fx.frame(spark, [("git-log",), ("web/API",), ("bash",), ("bash-x",), ("web/css",)], "name string")
     return rows.select("name", T.area_language(F.col("name"), readers.AREAS).alias("area"), T.manual_language(F.col("name"), readers.MANUALS).alias("manual"))
 
 
@@ -377,21 +377,6 @@ def source_confidence(spark, sf):
     return table(spark, sf, "documents").select("doc_id", annotate.confidence(F.col("text")).alias("confidence"))
 
 
-@query()
-def chunk_sentences(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.packed_sentences)
-
-
-@query()
-def chunk_sections(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.sections)
-
-
-@query()
-def chunk_code(spark, sf):
-    return chunks.chunked(table(spark, sf, "documents"), chunks.code_chunks)
-
-
 # --- sessions, routing, labels, events
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
 def session_last_n(spark, sf):

@@ -17,10 +17,8 @@ Encoder = Callable[[Column], Column]
 
 def prose_chunks(files: DataFrame) -> DataFrame:
     """(path, name, size, section, chunk_index, text, domain, type, confidence, version) of files (path, name, text): sections, then packed sentences."""
-    rows = files.withColumn("key", F.xxhash64("path"))
-    parts = chunks.chunked(rows, chunks.prose, id_col="key")
-    told = rows.select("key", "path", "name", F.length("text").alias("size"), annotate.confidence(F.col("text")).alias("confidence"))
-    out = parts.join(told, parts["doc_id"] == told["key"])
+    told = files.select("path", "name", "text", F.length("text").alias("size"), annotate.confidence(F.col("text")).alias("confidence"))
+    out = chunks.exploded(told, chunks.prose(F.col("text")), "path", "name", "size", "confidence")
     return out.select("path", "name", "size", "section", "chunk_index", F.col("chunk").alias("text"), annotate.domain(F.col("name"), F.col("chunk")).alias("domain"), annotate.chunk_type(F.col("chunk")).alias("type"), "confidence", F.lit("2.0").alias("version"))
 
 
@@ -73,9 +71,8 @@ def ingest_stream(articles: DataFrame, path: str, checkpoint: str, *, encoder: E
 
     def add(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        keyed = rows.withColumn("key", F.xxhash64("source", "origin"))
-        parts = chunks.chunked(keyed, chunks.packed_sentences, id_col="key")
-        own = parts.join(keyed.select("key", "origin", "source").dropDuplicates(["key"]), parts["doc_id"] == F.col("key")).select("origin", "source", "chunk_index", F.col("chunk").alias("text"), F.lit("encyclopedia").alias("domain"))
+        parts = chunks.exploded(rows, chunks.packed_sentences(F.col("text")), "origin", "source")
+        own = parts.select("origin", "source", "chunk_index", F.col("chunk").alias("text"), F.lit("encyclopedia").alias("domain"))
         own = encoded(with_ids(own, "source", "origin", "chunk_index"), encoder)
         own = scratch.written(own, "batch")
         if not own.limit(1).count():

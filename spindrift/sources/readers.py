@@ -19,9 +19,9 @@ ROW = ("origin", "text", "source", "language")
 #: Labels of queries, in their fixed order.
 LABELS = ("factual", "reasoning", "creative", "conversation", "complex", "code")
 #: Languages of the web documentation's areas; other areas are named after themselves.
-AREAS = {"web/html": "html", "web/css": "css", "web/javascript": "javascript", "web/api": "javascript", "web/http": "http"}
-#: Manual pages that aren't about the shell.
-MANUALS = {"git": "git", "gcc": "c", "make": "make", "sqlite3": "sql", "psql": "sql", "python3": "python", "node": "javascript"}
+AREAS = {"api": "javascript"}
+#: Commands whose manual pages have a language of their own, and whether their subcommands' pages share it; all others are about the shell.
+MANUALS = {"bash": ("bash", False), "git": ("git", True)}
 
 
 def text_files(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:

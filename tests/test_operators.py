@@ -42,10 +42,6 @@ def test_entry_has_rows(spark):
 
 
 def test_chunkers():
-    assert chunks.sections("# A\nx\n## B\n\n# C\ny") == [("A", "x"), ("C", "y")]
-    assert chunks.sections("plain") == [("", "plain")]
-    parts = chunks.packed_sentences("A short one here, yes indeed. " * 40)
-    assert all(20 < len(p) <= 400 for p in parts)
     code = chunks.code_chunks("# T\n\n```\na = 1\n\n# no heading\nb = 2\n```\n\nlonger text that makes the chunk long enough to stay")
     assert code[0][0] == "T" and "# no heading" in code[0][1]
     assert all(len(p) <= 10 for p in chunks.message_parts("abc def\nghi jklm nop", 10))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spindrift.functions import encoders
+from tests import plain
 from spindrift.operators import chunks, graph, hybrid, intent, metrics, search, shards
 from spindrift.operators.store import Options, Store, build_compressed, open_store
 from spindrift.plans import fixtures as fx
@@ -293,7 +294,7 @@ def test_packed_sentences_against_a_second_way():
                 want.append(" ".join(held))
                 held = [s]
         want.append(" ".join(held))
-        assert chunks.packed_sentences(text) == [c for c in want if len(c.strip()) > 20]
+        assert plain.packed_sentences(text) == [c for c in want if len(c.strip()) > 20]
 
 
 def test_fences_and_oversize_blocks():
