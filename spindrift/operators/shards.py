@@ -231,6 +231,18 @@ class Ivf:
         centers = _fitted(sample, cells, iterations, seed, vector_col, id_col)
         return cls(_assigned(corpus, centers, vector_col, id_col), centers, id_col=id_col, vector_col=vector_col)
 
+    @classmethod
+    def by_key(cls, corpus: DataFrame, key: str, id_col: str = "vec_id", vector_col: str = "embedding") -> "Ivf":
+        """Cells that are there already: the values of ``key`` in order, with their normalised means as centers.  Rows without a key are in no cell."""
+        told = scratch.written(centroids(corpus, key, vector_col), "centers")
+        n = told.count()
+        if n > FIT_ROWS:
+            raise ValueError(f"{n} values of {key} are no cells")
+        held = told.orderBy("key").collect()  # as many as keys, FIT_ROWS at most
+        cells = corpus.sparkSession.createDataFrame([(r.key, i) for i, r in enumerate(held)], f"_key {told.schema['key'].dataType.simpleString()}, cell_id int")
+        rows = corpus.join(F.broadcast(cells), F.col(key) == F.col("_key")).drop("_key")
+        return cls(rows, np.array([r.centroid for r in held], np.float64).reshape(n, -1), id_col=id_col, vector_col=vector_col)
+
     # --- stored indexes
     def _put(self, rows: DataFrame) -> tuple[dict, dict[int, int]]:
         """Writes assigned rows as one folder, and returns it with the number of rows of each cell."""
@@ -334,6 +346,45 @@ class Ivf:
             out = found if out is None else out.union(found)
         return out if out is not None else self.assigned.sparkSession.createDataFrame([], f"{FOUND}, rank int")
 
+    def curve(self, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        """(probes, recall, read): for every number of probes the share of the exact ``k`` best that it finds, and the share of rows that it reads, over all ``queries``.
+
+        From one exact search: the place of each neighbour's cell in its query's
+        order of cells says from how many probes on it is found.  Queries may be
+        many; what is gathered is a row a number of probes.  No queries or an
+        empty index give no rows.
+        """
+        spark = self.assigned.sparkSession
+        sizes = np.zeros(self.cells, np.int64)
+        for r in self.sizes().collect():  # as many as cells
+            sizes[r.cell_id] = r.n
+        asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+        exact = topk(self.assigned.drop("cell_id"), queries, k, id_col=id_col, vector_col=vector_col).select("query_id", "vec_id")
+        near = exact.join(self.assigned.select(F.col(self.id_col).alias("vec_id"), "cell_id"), "vec_id").select("query_id", "cell_id")
+        # a query once for what it reads (cell -1), and once for each neighbour
+        rows = asked.join(near, "query_id").select("query_id", "cell_id", "_q").union(asked.select("query_id", F.lit(-1).alias("cell_id"), "_q"))
+        held = spark.sparkContext.broadcast((self.centers, self.manifest["retired"] if self.manifest else [], sizes))  # the square root of the rows at most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers, retired, sizes = held.value
+            n = len(centers)
+            found, read, gone = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+            gone[retired] = np.inf
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):
+                    own = batch.slice(at, ROWS)
+                    x = matrix(own.column(2), own.column(0).to_numpy(), centers.shape[1])
+                    order = np.argsort(gone - x @ centers.T, axis=1, kind="stable")
+                    cell = own.column(1).to_numpy()
+                    found += np.bincount((order[cell >= 0] == cell[cell >= 0, None]).argmax(axis=1), minlength=n)
+                    read += sizes[order[cell < 0]].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, n + 1)), pa.array(found), pa.array(read)], names=["probes", "found", "rows"])
+
+        told = rows.mapInArrow(run, "probes long, found long, rows long").groupBy("probes").agg(F.sum("found").alias("found"), F.sum("rows").alias("rows"))
+        so_far, all_ = Window.orderBy("probes"), Window.partitionBy()  # over as many rows as cells
+        shares = told.select("probes", *[F.round(F.sum(c).over(so_far) / F.sum(c).over(all_), 6).alias(name) for c, name in (("found", "recall"), ("rows", "read"))])
+        return shares.filter((F.col("probes") <= self.open_cells) & F.col("recall").isNotNull())
+
     def tuned(self, sample: DataFrame, k: int, target: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> int:
         """The fewest probes with which ``sample`` queries (a bounded set) find ``target`` of their exact results."""
         asked = {r[0]: np.array(r[1], np.float64) for r in sample.select(id_col, vector_col).limit(BLOCK).collect()}

@@ -158,6 +158,21 @@ def probe_sweep(spark, sf):
     return metrics.sweep(search.topk(all_, q, K), lambda n: index.search(q, K, n), [index.cells])
 
 
+_CURVE = (
+    "p AS (SELECT query_id, key, n, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(qv, centroid) DESC, key) AS probes FROM q, centers), "
+    f"s AS (SELECT query_id, vec_id, label, round(list_inner_product(qv, xv), 6) AS score FROM q, x), t AS (SELECT *, {_RANK} FROM s WHERE label IS NOT NULL), "
+    f"h AS (SELECT probes, count(vec_id) AS found, sum(n) AS n FROM (SELECT p.probes, p.query_id, any_value(p.n) AS n, NULL AS vec_id FROM p GROUP BY ALL UNION ALL SELECT p.probes, t.query_id, 0, t.vec_id FROM t JOIN p ON p.query_id = t.query_id AND p.key = t.label WHERE t.rank <= {K}) GROUP BY probes) "
+    "SELECT probes, round(sum(found) OVER w / sum(found) OVER (), 6) AS recall, round(sum(n) OVER w / sum(n) OVER (), 6) AS read FROM h WINDOW w AS (ORDER BY probes)"
+)
+
+
+@query(f"WITH {_Q}, {_CENTER}, {_CURVE}")
+def probe_curve(spark, sf):
+    """Recall and rows read for every number of probed cells, the labels being the cells."""
+    all_, q = vectors(spark, sf)
+    return shards.Ivf.by_key(all_, "label").curve(q, K)
+
+
 # --- stores
 def _vector_store(spark, sf, mode, rows=None):
     rows = table(spark, sf, "embeddings") if rows is None else rows
