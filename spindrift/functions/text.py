@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,22 +12,56 @@ from pyspark.sql import functions as F
 STOP_SEARCH = ("the", "and", "for", "that", "with", "les", "des", "une", "que", "qui", "est", "der", "die", "das", "und", "ist", "los", "las", "por", "con")
 STOP_GATE = (*STOP_SEARCH, "what", "which", "quel", "quelle", "comment", "how", "wie", "was", "como", "cual")
 
-_PLAIN = {"a": "àáâãäåāăą", "c": "çćĉċč", "d": "ďḍ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥ", "i": "ìíîïĩīĭį", "j": "ĵ", "k": "ķ", "l": "ĺļľ", "n": "ñńņň", "o": "òóôõöōŏő", "r": "ŕŗř", "s": "śŝşš", "t": "ţť", "u": "ùúûüũūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źżž"}
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def accent_fold(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(text), "".join(_PLAIN.values()), "".join(k * len(v) for k, v in _PLAIN.items()))
+
+#: Private characters that stand for letters whose fold is longer than one character.
+_MARKS = 0xF0000
 
 
-def accent_fold_all(text: Column) -> Column:
-    """Lower case, compatibility forms and no combining marks, for every script; goes through Arrow batches."""
+@cache
+def _folds() -> tuple[str, str, str]:
+    """(letters, one character for each of the first of them, lines): compatibility forms without combining marks, of all letters that differ from theirs.
+
+    Letters beyond the characters have none.  The n-th letter whose fold is
+    longer has the n-th private character, and its fold is the n-th line.
+    """
     import unicodedata
 
-    def fold(value: str | None) -> str | None:
-        return None if value is None else "".join(c for c in unicodedata.normalize("NFKD", value.lower()) if not unicodedata.combining(c))
+    kept, gone, lines = {}, [], []
+    for code in range(0x80, 0x110000):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or (fold := "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))) == c:
+            continue
+        if not fold:
+            gone.append(c)
+        elif len(fold) == 1:
+            kept[c] = fold
+        else:
+            kept[c] = chr(_MARKS + len(lines))
+            lines.append(fold)
+    return "".join([*kept, *gone]), "".join(kept.values()), "\n".join(lines)
+
 
-    return F.udf(fold, "string", useArrow=True)(text)
+def accent_fold(text: Column) -> Column:
+    """Lower case, compatibility forms and no combining marks, for every script.
+
+    One pass maps letter to letter; letters with a longer fold become private
+    characters there, and only texts with such are taken apart.
+    """
+    letters, folds, lines = _folds()
+    longer, n = F.split(F.lit(lines), "\n"), lines.count("\n")
+    private = rf"[\x{{{_MARKS:X}}}-\x{{{_MARKS + n:X}}}]"
+    mapped = lambda c: F.translate(c, letters, folds)
+    marked = lambda c: (c >= chr(_MARKS)) & (c <= chr(_MARKS + n))
+    told = lambda c: F.when(marked(c), F.element_at(longer, F.ascii(c) - _MARKS + 1)).otherwise(c)
+    each = lambda t, f: F.array_join(F.transform(F.split(t, ""), f), "")
+    whole = lambda m: F.when(F.rlike(m, F.lit(private)), each(m, told)).otherwise(m)
+    own = lambda c: F.when(marked(c), c).otherwise(let(mapped(c), told))
+    return let(F.lower(text), lambda low: F.when(~F.rlike(low, F.lit(r"[^\x00-\x7F]")), low).when(F.rlike(low, F.lit(private)), each(low, own)).otherwise(let(mapped(low), whole)))
 
 
 def tokens(text: Column, stop: tuple[str, ...] = STOP_SEARCH) -> Column:

@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-#: The characters of white space, as ranges; BLANK is those within a line.
-_WIDE = r"\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-SPACE, BLANK = rf"\t-\r{_WIDE}", rf"\t\x0B-\r{_WIDE}"
+from ..functions.text import let
+
+#: The characters of white space; BLANK is a pattern of those within a line.
+_WIDE = ((0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+_class = lambda ranges: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+BLANK = _class(((9, 9), (11, 13), *_WIDE))
+SPACE = "".join(chr(c) for a, b in ((9, 13), *_WIDE) for c in range(a, b + 1))
 ANY_HEAD = re.compile(r"^#{1,6}\s+(.*)$")
 UNDERLINE = re.compile(r"=+|-+|~+|\^+")
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def sections(text: Column) -> Column:
@@ -30,8 +34,9 @@ def sections(text: Column) -> Column:
         title = F.when(headed, _strip(F.regexp_extract(part, r"\A#{1,4}([^\n]*)", 1))).otherwise("")
         return F.struct(title.alias("section"), _strip(F.when(headed, F.regexp_replace(part, r"\A[^\n]*\n?", "")).otherwise(part)).alias("body"))
 
+    whole = lambda body: F.array(F.struct(F.lit("").alias("section"), F.when(body != "", body).otherwise(text).alias("body")))
     found = F.filter(F.transform(F.split(text, rf"(?dm)(?=^{mark})"), section), lambda x: x["body"] != "")
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("").alias("section"), text.alias("body"))))
+    return F.when(~F.contains(text, F.lit("#")), let(_strip(text), whole)).otherwise(let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(whole(F.lit("")))))
 
 
 def packed_sentences(text: Column, size: int = 400, overlap: int = 50, least: int = 20) -> Column:
@@ -39,7 +44,7 @@ def packed_sentences(text: Column, size: int = 400, overlap: int = 50, least: in
 
     One fold over the sentences that holds the open chunk and the closed ones.
     """
-    flat = F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    flat = F.trim(F.regexp_replace(text, r"(?U)(?! [^\s\x1C-\x1F])[\s\x1C-\x1F]+", " "))  # the same characters as SPACE; single blanks stay as they are
     none = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("held"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_GATE, accent_fold, clean_chunk, tokens
+from ..functions.text import STOP_GATE, accent_fold, clean_chunk, let, tokens
 from ..sources import scratch
 from . import search
 
@@ -18,11 +18,6 @@ GATE, SECOND = 0.84, 0.90
 DIM = 64
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def encoded(text: Column, dim: int = DIM) -> Column:
     """The offline encoder: token hashes in ``dim`` buckets, of unit length.  A bucket is a character, so counting one is a string operation."""
     if not 0 < dim <= 72:

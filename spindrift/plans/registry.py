@@ -245,9 +245,9 @@ def accent_fold(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold(F.coalesce("text", F.lit("")))).alias("folded"))
 
 
-@query(f"SELECT doc_id, md5({folded('text')}) AS folded FROM documents")
+@query(f"SELECT page_id, md5({folded('html')}) AS folded FROM pages")
 def accent_fold_all(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.accent_fold_all(F.coalesce("text", F.lit("")))).alias("folded"))
+    return table(spark, sf, "pages").select("page_id", F.md5(T.accent_fold(F.coalesce("html", F.lit("")))).alias("folded"))
 
 
 @query(f"SELECT doc_id, array_to_string({token_list('text')}, ' ') AS tokens FROM documents")
