@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import accent_fold
+from ..functions.text import accent_fold, let
 
 DOMAINS = {
     "science": ("physi", "chemi", "biolog", "energ", "molec", "planet", "cellul"), "technology": ("software", "comput", "network", "reseau", "algorithm", "program", "server"),
@@ -24,25 +26,36 @@ def _hits(text: Column, cues: tuple[str, ...]) -> Column:
     return sum((text.contains(c).cast("int") for c in cues), F.lit(0))
 
 
-def _counts(text: Column, domains: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    folded = accent_fold(F.coalesce(text, F.lit("")))
-    return {d: _hits(folded, cues) for d, cues in domains.items()}
+def _counted(text: Column, domains: dict[str, tuple[str, ...]], told: Callable[[dict[str, Column]], Column]) -> Column:
+    """What ``told`` makes of the domains' numbers of cues; the text is folded and searched once."""
+    counts = lambda t: F.array(*[_hits(t, cues) for cues in domains.values()])
+    return let(let(accent_fold(F.coalesce(text, F.lit(""))), counts), lambda n: told({d: n[i] for i, d in enumerate(domains)}))
+
+
+def _first(counts: dict[str, Column], top: Column) -> Column:
+    return F.coalesce(*[F.when(c == top, d) for d, c in counts.items()])
 
 
 def domain(filename: Column, text: Column, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
     """A domain named by the file, else the one with most keywords if two at least (the first on ties), else ``general``."""
-    counts = _counts(text, domains)
     named = F.coalesce(*[F.when(F.lower(filename).contains(d), d) for d in domains])
-    top = F.greatest(*counts.values())
-    return F.coalesce(named, F.when(top >= 2, F.coalesce(*[F.when(c == top, d) for d, c in counts.items()])), F.lit("general"))
+
+    def most(counts: dict[str, Column]) -> Column:
+        top = F.greatest(*counts.values())
+        return F.when(top >= 2, _first(counts, top))
+
+    return F.coalesce(named, _counted(text, domains, most), F.lit("general"))
 
 
 def domain_hint(query: Column, domains: dict[str, tuple[str, ...]] = DOMAINS) -> Column:
     """The domain with strictly most keywords, else null."""
-    counts = _counts(query, domains)
-    top = F.greatest(*counts.values())
-    ties = sum(((c == top).cast("int") for c in counts.values()), F.lit(0))
-    return F.when((top > 0) & (ties == 1), F.coalesce(*[F.when(c == top, d) for d, c in counts.items()]))
+
+    def only(counts: dict[str, Column]) -> Column:
+        top = F.greatest(*counts.values())
+        ties = sum(((c == top).cast("int") for c in counts.values()), F.lit(0))
+        return F.when((top > 0) & (ties == 1), _first(counts, top))
+
+    return _counted(query, domains, only)
 
 
 def chunk_type(text: Column) -> Column:

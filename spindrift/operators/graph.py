@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_SEARCH, slug, slug_candidates
+from ..functions.text import STOP_SEARCH, plain_markdown, slug, slug_candidates
 from ..sources import scratch
 
 #: A run of capitalised words, or any other word; what ``IS_ENTITY`` takes of these are capitalised words and acronyms.
@@ -171,8 +171,14 @@ def repaired(graph: DataFrame) -> DataFrame:
     return graph.withColumn("count", F.greatest(F.coalesce("count", F.lit(1)), n, F.lit(1)).cast("long"))
 
 
-def build(docs: DataFrame, path: str, *, least_entities: int = 50, least_relations: int = 100, **columns: str) -> dict:
-    """The build job: extract, aggregate, save; fails under the floors, after the graph is saved.  Returns the counts and the top entities."""
+def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with their text as extraction reads it, without the marks of markdown."""
+    return docs.withColumn(text_col, plain_markdown(F.col(text_col)))
+
+
+def build(docs: DataFrame, path: str, *, least_entities: int = 50, least_relations: int = 100, markdown: bool = True, **columns: str) -> dict:
+    """The build job: clean (``markdown``), extract, aggregate, save; fails under the floors, after the graph is saved.  Returns the counts and the top entities."""
+    docs = cleaned(docs, columns.get("text_col", "text")) if markdown else docs
     own, found = extracted(docs, **columns)
     graph = scratch.written(triples(found), "triples")
     save(with_placeholders(latest(own), graph), graph, path)

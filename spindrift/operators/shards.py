@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from ..sources import scratch
 from . import snapshots
 from .hybrid import let
-from .search import BLOCK, FOUND, ROWS, dot, matrix, topk, topk_where
+from .search import BLOCK, FOUND, ROWS, dot, matrix, recall, topk, topk_where
 
 MARGIN = 0.003
 #: Rows that k-means is fitted on at most, chosen by a hash of their id; every row is indexed.
@@ -109,15 +109,37 @@ def sharded_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "labe
             found = topk(corpus, rest, k, kind=kind)
             out = found if out is None else out.union(found)
         return out
-    routed = route(queries, centers, margin, top=top).select("query_id", "routed")
+    routed = scratch.written(route(queries, centers, margin, top=top).select("query_id", "routed"), "routed")
+    wanted = routed.select(F.explode("routed").alias("key")).distinct()
     rows = queries.join(routed, queries.vec_id == F.col("query_id")).select("vec_id", "embedding", "routed").orderBy("vec_id")
     out = None
     for block in _blocks(rows):
-        found = topk_where(corpus, [(r[0], r[1], list(r[2])) for r in block], k, key, kind=kind)
+        found = topk_where(corpus, [(r[0], r[1], list(r[2])) for r in block], k, key, kind=kind, within=keyed(corpus, key, wanted))
         out = found if out is None else out.union(found)
     return out if out is not None else corpus.sparkSession.createDataFrame([], f"{FOUND}, rank int")
 
 
+def compared(corpus: DataFrame, queries: DataFrame, k: int, tops: tuple[int, ...] = (1, 2, 3), key: str = "label", kind: str = "int8", margin: float = MARGIN) -> DataFrame:
+    """(top, recall, first, share): for each number of shards searched, the mean recall and share of equal first results against the search of everything, and the share of rows scanned."""
+    whole = scratch.written(topk(corpus, queries, k, kind=kind), "whole")
+    centers, sizes = scratch.written(centroids(corpus, key), "centers"), corpus.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = scratch.written(sizes, "sizes")
+    q, out = queries.select(F.col("vec_id").alias("query_id")), None
+    all_ = sizes.agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("keyless"))  # one row
+    for top in tops:
+        found = scratch.written(sharded_topk(corpus, queries, k, key, kind, top, margin, centers), "found")
+        hits = recall(found, whole)
+        firsts = whole.filter("rank = 1").select("query_id", F.col("vec_id").alias("best")).join(found.filter("rank = 1").select("query_id", "vec_id"), "query_id", "left")
+        routed = route(queries, centers, margin, top=top)
+        routed = routed.select("query_id", F.explode("routed").alias("key")) if top > 1 else routed.filter("routed IS NOT NULL").select("query_id", F.col("routed").alias("key"))
+        read = routed.join(sizes, "key").groupBy("query_id").agg(F.sum("n").alias("n"))
+        share = q.join(read, "query_id", "left").join(all_, how="left").select("query_id", (F.coalesce(F.col("n") + F.col("keyless"), F.col("all")) / F.col("all")).alias("share"))
+        told = q.join(hits, "query_id").join(firsts, "query_id").join(share, "query_id").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg((F.col("vec_id").eqNullSafe(F.col("best"))).cast("double")), 6).alias("first"), F.round(F.avg("share"), 6).alias("share"))
+        told = told.select(F.lit(top).cast("long").alias("top"), "recall", "first", "share")
+        out = told if out is None else out.union(told)
+    return out
+
+
 def _blocks(rows: DataFrame):
     """Rows in lists of bounded length."""
     held = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunks, memory, metrics, verify
@@ -91,6 +92,19 @@ def message_parts(spark, sf):
     return rows.lateralJoin(chunks.MessageParts(F.col("t").outer(), F.lit(500))).select("doc_id", "part", F.length("text").cast("long").alias("n"))
 
 
+_LINES = "SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS t FROM documents WHERE text IS NOT NULL"
+_CUT = "SELECT *, CASE WHEN 500 - back > 250 THEN CAST(500 - back AS BIGINT) ELSE 500 END AS cut FROM (SELECT *, instr(reverse(substr(rest, 1, 500)), chr(10)) AS back FROM r WHERE rest IS NOT NULL)"
+
+
+@query(
+    f"WITH RECURSIVE r AS (SELECT doc_id, -1 AS part, '' AS text, t AS rest FROM ({_LINES}) UNION ALL SELECT doc_id, part + 1, CASE WHEN length(rest) <= 500 THEN rest ELSE substr(rest, 1, cut) END, CASE WHEN length(rest) <= 500 THEN NULL ELSE regexp_replace(substr(rest, cut + 1), '^[{_SPACE}]+', '') END FROM ({_CUT})) SELECT doc_id, part, CAST(length(text) AS BIGINT) AS n, md5(text) AS digest FROM r WHERE part >= 0"
+)
+def message_lines(spark, sf):
+    """Texts with a line a sentence, cut at line ends past the half where there are any."""
+    rows = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"\. ", ".\n").alias("t"))
+    return rows.lateralJoin(chunks.MessageParts(F.col("t").outer(), F.lit(500))).select("doc_id", "part", F.length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
+
+
 _SETEXT = "Intro line one\nTitle here\n==========\n\nFirst block of the section, long enough to stay as a chunk.\n\n    code = 1\n\n    more = 2\n\n## Heading\n\n~~~\na = 1\n\n# not a heading\n~~~\n\nlast block, which is long enough to stay as well, surely."
 
 
@@ -192,6 +206,17 @@ def grounding(spark, sf):
     return rows.select("item_id", "doc_id", metrics.grounded(F.col("asked"), F.col("text")).alias("grounded"))
 
 
+_SIGNIFICANT = lambda x: f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '\\p{{L}}+'), lambda w: length(w) > 4)"
+
+
+@query(f"SELECT conv_id, turn, len(list_intersect({_SIGNIFICANT('text')}, {_SIGNIFICANT('asked')})) > 0 AS grounded FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations) WHERE role = 'assistant'")
+def grounding_turns(spark, sf):
+    """Whether an answer of a session is grounded in the turn before it."""
+    before = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf, "conversations").withColumn("asked", F.lag("text").over(before)).filter("role = 'assistant'")
+    return rows.select("conv_id", "turn", metrics.grounded(F.col("text"), F.col("asked")).alias("grounded"))
+
+
 _RECORDED = fx.values(fx.RECORDED, "query_id kind generated_by latency_s")
 
 

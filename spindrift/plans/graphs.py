@@ -73,6 +73,34 @@ def kg_triples(spark, sf):
     return built(spark, sf)[1]
 
 
+#: A turn as a page with a heading, a fenced block, bullets, links and inline code.
+_PAGE = "'# ' || coalesce(role, '') || chr(10) || '```' || chr(10) || 'Fenced Name uses Other' || chr(10) || '```' || chr(10) || '- ' || regexp_replace(replace(text, '. ', '.' || chr(10) || '* '), '(\\p{Lu}\\p{Ll}+) (\\p{Ll}+)', '[\\1](https://Host.example/Page) `\\2`', 'g')"
+_PAGES = f"SELECT conv_id * 1000000 + turn AS doc_id, {_PAGE} AS page FROM conversations WHERE text IS NOT NULL"
+_PLAIN = "page"
+for _find, _put in (("(?s)```.*?```", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), ("`([^`]*)`", r"\1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""), (r"(?m)^\s*[-*+]\s+", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_find}', '{_put}', 'g')"
+
+
+def _pages(spark, sf):
+    text = F.regexp_replace(F.regexp_replace("text", r"\. ", ".\n* "), r"(\p{Lu}\p{Ll}+) (\p{Ll}+)", "[$1](https://Host.example/Page) `$2`")
+    page = F.concat(F.lit("# "), F.coalesce("role", F.lit("")), F.lit("\n```\nFenced Name uses Other\n```\n- "), text)
+    turns = table(spark, sf, "conversations").filter("text IS NOT NULL")
+    return turns.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("doc_id"), page.alias("text"))
+
+
+@query(f"SELECT doc_id, {_PLAIN} AS text FROM ({_PAGES})")
+def markdown_plain(spark, sf):
+    return graph.cleaned(_pages(spark, sf))
+
+
+@query(f"WITH documents AS (SELECT doc_id, {_PLAIN} AS text FROM ({_PAGES})), {_GRAPH.removeprefix('WITH ')} SELECT * FROM g")
+def kg_build(spark, sf):
+    """The triples that the build job saves of markdown pages."""
+    path = scratch.folder(spark, "built")
+    graph.build(_pages(spark, sf), path, least_entities=0, least_relations=0)
+    return graph.load(spark, path)[1]
+
+
 @query(f"{_GRAPH} SELECT * FROM g")
 def kg_triples_batches(spark, sf):
     """Three batches give what one does."""

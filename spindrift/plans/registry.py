@@ -218,6 +218,18 @@ def sharded_top2(spark, sf):
     return shards.sharded_topk(*vectors(spark, sf), K, top=2)
 
 
+_KEYS = f"{_CENTER}, p AS (SELECT query_id, key, round(list_inner_product(qv, centroid), 6) AS score FROM q, centers), o AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS second FROM p WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, key))"
+_ROUTED = f"t AS (SELECT 1 AS top, query_id, key FROM o WHERE r = 1 AND score - second >= {shards.MARGIN} UNION ALL SELECT top, query_id, key FROM o, (VALUES (2), (3)) AS n(top) WHERE r <= top), b AS (SELECT top, query_id FROM q, (VALUES (1), (2), (3)) AS n(top))"
+_SCANS = "al AS (SELECT query_id, vec_id, label, round(list_inner_product(qv, code) * sc, 6) AS score FROM q, d), fs AS (SELECT b.top, al.* FROM b JOIN al USING (query_id) WHERE al.label IS NULL OR NOT EXISTS (SELECT 1 FROM t WHERE t.top = b.top AND t.query_id = b.query_id) OR EXISTS (SELECT 1 FROM t WHERE t.top = b.top AND t.query_id = b.query_id AND t.key = al.label))"
+_AGAINST = f"fr AS (SELECT *, row_number() OVER (PARTITION BY top, query_id ORDER BY score DESC, vec_id) AS rank FROM fs), er AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM al), mt AS (SELECT f.top, f.query_id, count(*) FILTER (f.rank <= {K} AND e.rank <= {K}) / CAST(least({K}, max(e.n)) AS DOUBLE) AS recall, CAST(bool_or(f.rank = 1 AND e.rank = 1) AS INT) AS first, count(*) / CAST(max(e.n) AS DOUBLE) AS share FROM fr f JOIN (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM er) e USING (query_id, vec_id) GROUP BY ALL)"
+
+
+@query(f"WITH {_Q}, {_KEYS}, {_ROUTED}, {_CODES}, {_SCANS}, {_AGAINST} SELECT CAST(top AS BIGINT) AS top, round(avg(recall), 6) AS recall, round(avg(first), 6) AS first, round(avg(share), 6) AS share FROM mt GROUP BY top")
+def sharded_compared(spark, sf):
+    """Searches of one, two and three shards against that of everything."""
+    return shards.compared(*vectors(spark, sf), K)
+
+
 def _trap(spark):
     return fx.frame(spark, fx.TRAP, "vec_id long, embedding array<double>, label string")
 
@@ -379,6 +391,15 @@ def domain_hint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", annotate.domain_hint(F.col("text"), _DEMO).alias("hint"))
 
 
+@query(f"SELECT source AS name, CASE WHEN contains(lower(source), 'science') OR s >= 2 AND s >= l AND s >= p THEN 'science' WHEN contains(lower(source), 'language') OR l >= 2 AND l >= p THEN 'language' WHEN contains(lower(source), 'place') OR p >= 2 THEN 'place' ELSE 'general' END AS domain, count(*) AS n FROM (SELECT source, {_COUNT(_DEMO['science'])} AS s, {_COUNT(_DEMO['language'])} AS l, {_COUNT(_DEMO['place'])} AS p FROM documents) GROUP BY ALL")
+def file_domains(spark, sf):
+    """Chunks of each file and domain, as the ingest job counts them."""
+    from ..sources.ingest import file_counts as counts
+
+    rows = table(spark, sf, "documents").select(F.col("source").alias("name"), annotate.domain(F.col("source"), F.col("text"), _DEMO).alias("domain"), F.lit("").alias("type"))
+    return counts(rows).drop("type")
+
+
 _LOW = lambda cues, by=" + ": by.join(f"CAST(contains(lower(coalesce(text, '')), '{c}') AS INT)" for c in cues)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -91,16 +91,25 @@ def encyclopedia(rows: DataFrame, *, most: int | None = None, least_chars: int =
     return own.select(F.col("title").alias("origin"), "text", F.lit("encyclopedia").alias("source"), F.lit(None).cast("string").alias("language"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, line): the lines of text files with their numbers from 1.  Files are read by splits, whose numbers of lines are counted first and added up over each file."""
+    own = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    splits = own.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    file = Window.partitionBy("path").orderBy("split")  # as many rows as the file has splits
+    before = splits.select("path", "split", "first", (F.sum("n").over(file) - F.col("n")).alias("before"))
+    return own.join(before, ["path", "split"]).select("path", (F.col("before") + F.col("row") - F.col("first") + 1).alias("at"), "line")
+
+
 def labelled(spark: SparkSession, path: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """JSON lines of (query, label).  Blank lines are skipped; bad JSON, a missing key, a blank query or an unknown label fails the load and names the line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).filter("trim(line) <> ''")
+    lines = numbered_lines(spark, path).filter("trim(line) <> ''")
     parsed = lines.withColumn("r", F.from_json("line", "query string, label string"))
     wrong = (
         F.when(F.get_json_object("line", "$").isNull() | ~F.trim("line").startswith("{"), "bad JSON")
         .when(F.col("r.query").isNull(), "no query").when(F.col("r.label").isNull(), "no label")
         .when(F.trim("r.query") == "", "a blank query").when(~F.col("r.label").isin(*labels), F.concat(F.lit("unknown label "), F.col("r.label")))
     )
-    failed = F.raise_error(F.concat(F.lit("line "), (F.col("at") + 1).cast("string"), F.lit(": "), F.col("wrong"))).cast("string")
+    failed = F.raise_error(F.concat(F.lit("line "), F.col("at").cast("string"), F.lit(": "), F.col("wrong"))).cast("string")
     told = parsed.withColumn("wrong", wrong)
     return told.select(F.when(F.col("wrong").isNotNull(), failed).otherwise(F.col("r.query")).alias("query"), F.col("r.label").alias("label"))
 
@@ -134,6 +143,26 @@ def read_env(lines: list[str], real: Mapping[str, str] | None = None) -> dict[st
     return {k: real.get(k, v) for k, v in out.items()}
 
 
+def read_yaml(path: str, defaults: Mapping | None = None) -> dict:
+    """The mapping of a YAML file (configuration, rule templates) laid over ``defaults``, level by level; a missing or empty file gives the defaults, anything but a mapping fails."""
+    import yaml
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            told = yaml.safe_load(f)
+    except FileNotFoundError:
+        told = None
+    told = {} if told is None else told
+    if not isinstance(told, Mapping):
+        raise ValueError(f"{path} holds no mapping")
+    return _over(defaults or {}, told)
+
+
+def _over(under: Mapping, over: Mapping) -> dict:
+    both = {k: _over(under[k], v) if isinstance(v, Mapping) and isinstance(under.get(k), Mapping) else v for k, v in over.items()}
+    return {**under, **both}
+
+
 def source(name: str, *args, **kw) -> DataFrame:
     """The rows of a named source, in the order of ``ROW``."""
     if name not in SOURCES:

@@ -134,6 +134,36 @@ def test_labelled_data(spark, tmp_path):
             load(good, bad)
 
 
+def test_numbered_lines(spark, tmp_path):
+    """Numbers go on over the splits of a file, blank lines and files that end without a line end."""
+    texts = {"a": "".join(f"line {i}\n" if i % 3 else "\n" for i in range(500)), "b": "x\r\ny", "c": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path))
+        rows = {(r.path[-1], r.at, r.line) for r in got.collect()}
+        assert got.select("path", "at").distinct().count() == got.count() and got.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert rows == {(n, i + 1, line) for n, t in texts.items() for i, line in enumerate(t.removesuffix("\n").split("\n") if t else [])}
+
+
+def test_yaml(tmp_path):
+    path = str(tmp_path / "c.yaml")
+    assert readers.read_yaml(path, {"a": {"b": 1}}) == {"a": {"b": 1}}
+    (tmp_path / "c.yaml").write_text("a: {c: 2}\nd: [1]\n")
+    assert readers.read_yaml(path, {"a": {"b": 1, "c": 0}, "d": {"e": 1}}) == {"a": {"b": 1, "c": 2}, "d": [1]}
+    for text, want in (("", {"x": 1}), ("- 1", None)):
+        (tmp_path / "c.yaml").write_text(text)
+        if want is None:
+            with pytest.raises(ValueError, match="no mapping"):
+                readers.read_yaml(path)
+        else:
+            assert readers.read_yaml(path, {"x": 1}) == want
+
+
 def test_sources(spark, tmp_path):
     files = {
         "docs/a.md": "# A\ntext", "docs/b.txt": "plain", "docs/sub/c.md": "deep", "web/css/grid/index.md": "---\ntitle: Grid\n---\nUse it.", "web/html/p/index.md": "bare", "bundles/lists/x.txt": "list", "bundles/other/y.txt": "no",
