@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import string
 import struct
 import zlib
 
@@ -384,3 +385,62 @@ def test_ids_of_odd_texts(name, blanks):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     for text, a, b, e in zip(texts, off, off[1:], t.encode_batch(texts, add_special_tokens=False)):
         assert own[a:b].tolist() == e.ids, text
+
+
+def test_battery_by_hand(spark):
+    """Candidates' p-values, and the strings that are reported, computed afresh from the tests' definitions."""
+    rng = random.Random(31)
+    names = (string.ascii_letters + string.digits + "+/", string.digits + "abcdef", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase)
+    texts = ["".join(rng.choice(a) for _ in range(rng.choice((20, 24, 31, 48, 90)))) for a in names for _ in range(60)]
+    texts += ["ab12" * rng.choice((5, 9, 20)) for _ in range(20)] + ["a1" + "b" * 30, "A" * 25 + "1", "1a" * 12, "x" + "19" * 15]
+    texts += ["user-name_" + "-".join(rng.choice(("alpha", "beta2", "gamma", "delta")) for _ in range(5)) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def upper(z):
+        return math.erfc(z / math.sqrt(2)) / 2
+
+    def p_value(m):
+        w = m.rstrip("=").replace("-", "+").replace("_", "/")
+        alphabet = next(a for _, pattern, a in secrets.ALPHABETS if re.fullmatch(pattern, w))
+        v = [alphabet.index(c) for c in (w if alphabet == secrets.ALPHABETS[-1][2] else w.lower())]
+        n, size = len(v), len(alphabet)
+        met = collections.Counter(v)
+        chi = sum((met[i] - n / size) ** 2 / (n / size) for i in range(size))
+        df = size - 1
+        z_chi = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        high = [2 * x >= size for x in v]
+        k, runs = sum(high), 1 + sum(a != b for a, b in itertools.pairwise(high))
+        mu = 2 * k * (n - k) / n + 1
+        z_runs = 40 if mu <= 2 else (runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1))
+        mean = sum(v) / n
+        var = sum((x - mean) ** 2 for x in v)
+        z_serial = 40 if not var else math.sqrt(n) * sum((a - mean) * (b - mean) for a, b in itertools.pairwise(v)) / var
+        p = min(1, upper(z_chi), 2 * upper(abs(z_runs)), 2 * upper(abs(z_serial)))
+        return 1 - (1 - p) ** 3 if p >= 1e-6 else 3 * p
+
+    want, edge = {}, 0
+    base = re.compile(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}")
+    for i, t in enumerate(texts):
+        bases = [m.span() for m in base.finditer(t)]
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(a < m.end() and m.start() < b for a, b in bases):
+                want[i, m.start(), m.end()] = -10 * math.log10(max(p_value(m[0]), 1e-300))
+    tested = secrets.candidates(rows).select("doc_id", F.inline("tested")).collect()
+    got = {(r.doc_id, r.s, r.e): r.bin for r in tested}
+    assert got.keys() == want.keys() and len(want) > 250
+    for k, x in want.items():
+        assert got[k] == min(secrets.BINS, math.floor(x)) or abs(x - round(x)) < 0.01, (texts[k[0]], got[k], x)
+    assert all(r.len == math.floor(math.log2(r.e - r.s)) for r in tested)
+
+    upto = {}
+    for size in {r.len for r in tested}:
+        bins = [r.bin for r in tested if r.len == size]
+        sure = sum(b < secrets.SURE for b in bins)
+        for b in sorted(set(bins)):
+            reported = sum(x <= b for x in bins)
+            drawn = sure * (1 - 10 ** (-(b + 1) / 10)) / (1 - 10 ** (-secrets.SURE / 10))
+            if b >= secrets.SURE and reported - drawn <= secrets.RATE * reported:
+                upto[size] = b
+    most = {(r.doc_id, r.s, r.e) for r in tested if r.bin <= upto.get(r.len, secrets.SURE - 1)}
+    spans = {(r.doc_id, *map(int, x.split(":")[1:])) for r in secrets.scan(rows).collect() for x in r.spans.split(",") if x.startswith("random:")}
+    assert spans == most and 100 < len(spans) < len(tested)
