@@ -2,9 +2,11 @@
 
 Two bigram models, of toxic and of ordinary labelled texts, with modified
 Kneser-Ney discounts.  Both back off to one distribution of continuation counts
-over all labelled texts.  Words and bigrams met fewer than ``RARE`` times over
-both classes are discounted wholly, so a rare expression, which says little
-about either class, gets nearly the same probability from both.  A text's evidence is the
+over all labelled texts.  A word or bigram met so seldom that one as common in
+either class would likely be missing from one of them (see ``enough``) is
+discounted wholly, so a rare expression, which says little about either class,
+gets nearly the same probability from both; the bound follows from the classes'
+shares and not from the size of the input.  A text's evidence is the
 difference of its two log-likelihoods per word, over the whole text and over
 its best window of ``WINDOW`` words; a logistic curve fitted on labelled rows
 kept out of the counts turns it into a score.
@@ -12,10 +14,10 @@ kept out of the counts turns it into a score.
 All labelled training rows are counted, each expression once a text, so that a
 text that repeats itself weighs no more than another.  Counts are keyed by
 64-bit hashes of words, in tables that grow with the input.  The model takes
-from them what isn't wholly discounted: words and bigrams met ``RARE`` times or
-more, the latter after contexts met ``CONTEXT`` times in both classes.  For all
-other words the classes differ by a constant (and the context), so they need
-no entry.  The curve is fitted on at most
+from them what isn't wholly discounted: words and bigrams met often enough, the
+latter after contexts met in both classes.  For all other words the classes
+differ by a constant, and after contexts without such a bigram by nothing more,
+so they need no entry.  The curve is fitted on at most
 ``CURVE_ROWS`` rows, chosen by a hash of their id.
 
 Defined results: null or wordless text scores as a text of no evidence; without
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 from .decontaminate import normal
 
-WINDOW, RARE, CONTEXT = 2, 8, 50
+WINDOW, BOTH = 2, 0.6
 #: What a text's first word follows.
 START = 0
 #: Labelled rows that the curve is fitted on at most, and label rows that may be broadcast.
@@ -48,6 +50,16 @@ FOLDS, HELD, CURVE = 5, 0, 4
 _codes: dict[bytes, int] = {}
 
 
+def enough(share: float) -> int:
+    """How often an expression must be met so that, were it as common in either class, it would be met in both with probability ``BOTH``; ``share`` is one class's."""
+    if not 0 < share < 1:
+        return 1
+    n = max(1, int(np.log(1 - BOTH) / np.log1p(-min(share, 1 - share))))
+    while 1 - share**n - (1 - share) ** n < BOTH:
+        n += 1
+    return n
+
+
 def coded(text: str | None) -> np.ndarray:
     """64-bit hashes of a text's words, as signed longs."""
     from xxhash import xxh64_intdigest
@@ -172,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     counted = labelled.filter(common.fold("_id", FOLDS) != CURVE).select("_text", "_y").mapInArrow(count, "context long, word long, n0 long, n1 long")
     bigrams = common.written(counted.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "bigrams")
-    model = Model(*_tables(bigrams))
+    model = Model(*_tables(bigrams, enough((n_toxic or 0) / max(1, n_labels))))
 
     shared = spark.sparkContext.broadcast(model)
 
@@ -192,8 +204,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return model
 
 
-def _tables(bigrams: DataFrame):
-    """The model's counts."""
+def _tables(bigrams: DataFrame, least: int):
+    """The model's counts; what was met fewer than ``least`` times is rare."""
 
     def sorted_(rows: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = rows.toArrow()
@@ -201,7 +213,7 @@ def _tables(bigrams: DataFrame):
         order = np.argsort(k)
         return k[order], np.array([got.column(n).to_numpy()[order] for n in names], float)
 
-    often = F.col("n0") + F.col("n1") >= RARE
+    often = F.col("n0") + F.col("n1") >= least
     times = lambda: [F.count(F.when(F.col(f"n{c}") == k, 1)) for c in (0, 1) for k in (1, 2, 3, 4)]
     words = common.written(bigrams.groupBy(F.col("word").alias("k")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("f")), "words")
     sums = [F.sum(x) for x in (F.lit(1), "f", "n0", "n1", F.when(~often, F.col("n0")), F.when(~often, F.col("n1")))]
@@ -215,7 +227,7 @@ def _tables(bigrams: DataFrame):
         kind = [(F.col(c) == 1), (F.col(c) == 2), (F.col(c) >= 3)]
         kinds += [F.sum(c).alias(c), F.sum(F.when(~often, F.col(c)).otherwise(0)).alias(f"{c}_rare"), *[F.count(F.when(often & x, 1)).alias(f"{c}_{k}") for k, x in enumerate(kind)]]
     names = [f"{c}{x}" for c in ("n0", "n1") for x in ("", "_rare", "_0", "_1", "_2")]
-    told = common.written(inner.groupBy(F.col("context").alias("k")).agg(*kinds).filter(f"n0 >= {CONTEXT} AND n1 >= {CONTEXT}"), "contexts")  # say enough about both classes
+    told = common.written(inner.groupBy(F.col("context").alias("k")).agg(*kinds, F.max(often).alias("told")).filter("n0 > 0 AND n1 > 0 AND told"), "contexts")
     contexts, spread = sorted_(told, names)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,7 +105,11 @@ def test_toxicity_against_a_plain_model(spark):
         d = [1 - 2 * y * seen[1] / seen[0], 2 - 3 * y * seen[2] / seen[1], 3 - 4 * y * seen[3] / seen[2]]
         return [0.0, *(min(max(x, a), b) for x, a, b in zip(d, (0.1, 0.2, 0.3), (0.99, 1.9, 2.9)))]
 
-    often = lambda c: sum(c) >= toxicity.RARE
+    kept = [y for i, y in labels if zlib.crc32(str(i).encode()) % 5 != toxicity.HELD]
+    share = sum(kept) / len(kept)
+    least = next(n for n in itertools.count(1) if 1 - share**n - (1 - share) ** n >= toxicity.BOTH)
+    assert least > 1
+    often = lambda c: sum(c) >= least
     d1, d2 = ([off(t.values(), k) for k in (0, 1)] for t in (one, inner))
     met = collections.defaultdict(lambda: [0, 0])
     for (v, _), c in inner.items():
@@ -117,7 +121,7 @@ def test_toxicity_against_a_plain_model(spark):
         gone = sum(d1[k][min(c[k], 3)] if often(c) else c[k] for c in one.values())
         base = ((follows[w] if w in one and often(one[w]) else 0) + 0.5) / (sum(follows.values()) + 0.5 * (len(one) + 1))
         p = gone / total * base + ((one[w][k] - d1[k][min(one[w][k], 3)]) / total if w in one and often(one[w]) else 0)
-        if v is None or v not in met or min(met[v]) < toxicity.CONTEXT:
+        if v is None or v not in met or not min(met[v]):
             return p
         rest = sum(d2[k][min(c[k], 3)] if often(c) else c[k] for (x, _), c in inner.items() if x == v) / met[v][k]
         c = inner.get((v, w), [0, 0])
@@ -131,6 +135,14 @@ def test_toxicity_against_a_plain_model(spark):
         assert np.allclose(model.evidence(text), want, atol=1e-9), text
 
 
+def test_rare_expressions():
+    """The bound is the least count of its definition, whatever the classes' shares."""
+    for share in (0.0001, 0.01, 0.0863, 0.1128, 0.3, 0.5, 0.7, 0.999):
+        n, both = toxicity.enough(share), lambda n, s=share: 1 - s**n - (1 - s) ** n
+        assert both(n) >= toxicity.BOTH > both(n - 1) and n == toxicity.enough(1 - share)
+    assert toxicity.enough(0.0) == toxicity.enough(1.0) == 1
+
+
 # --- lines
 def edit_distance(a, b):
     row = np.arange(len(b) + 1)
