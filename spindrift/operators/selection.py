@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..sources import scratch
 
@@ -37,14 +38,17 @@ def selected(rows: DataFrame, value: str, places: dict[str, Callable[[Column], C
     totals = base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     asked = F.array(*[F.struct(F.lit(name).alias("place"), f(F.col("n")).cast("long").alias("at")) for name, f in places.items()])
     now = scratch.written(totals.select("k", "n", "lo", "hi", F.inline(asked)), "brackets")
-    done = []
+    done, kind = [], base.schema["v"].dataType
     while True:
         done.append(now.filter("lo = hi").select("k", "n", "place", F.col("lo").alias("value")))
         left = now.filter("lo <> hi")
         if not left.limit(1).count():
             break
         grid = F.array(*[F.lit(i / SPLITS) for i in range(SPLITS + 1)])
-        splits = _with(base, left).groupBy("k", "n", "place", "at", "lo", "hi").agg(F.array_distinct(F.percentile_approx("v", grid, 1000)).alias("s"))
+        splits = _with(base, left).groupBy("k", "n", "place", "at", "lo", "hi").agg(F.percentile_approx("v", grid, 1000).alias("s"))
+        # the sketch counts in doubles, so long integers come back near their values only; the ends and the middle narrow every bracket
+        sure = F.array("lo", F.expr("lo DIV 2 + hi DIV 2 + (lo % 2 + hi % 2) DIV 2").cast(kind), "hi") if isinstance(kind, IntegralType) else F.array("lo", "hi")
+        splits = splits.withColumn("s", F.array_distinct(F.concat("s", sure)))
         own = _with(base, scratch.written(splits, "splits"))
         cell = 2 * F.size(F.filter("s", lambda x: x < F.col("v"))) + F.array_contains("s", F.col("v")).cast("int")
         cells = own.groupBy("k", "n", "place", "at", cell.alias("cell")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
