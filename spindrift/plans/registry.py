@@ -75,8 +75,8 @@ def recall_two_stage(spark, sf):
 
 @query(f"WITH {_Q}, {_CODES} SELECT vec_id, round(sc, 9) AS scale, array_to_string(list_transform(code, lambda v: CAST(v AS INT)), ',') AS codes FROM d")
 def int8_codes(spark, sf):
-    rows = table(spark, sf, "embeddings").withColumn("scale", V.scale(F.col("embedding")))
-    return rows.select("vec_id", F.round("scale", 9).alias("scale"), F.array_join(V.codes(F.col("embedding"), F.col("scale")).cast("array<string>"), ",").alias("codes"))
+    rows = table(spark, sf, "embeddings").withColumn("by", V.scale(F.col("embedding")))  # not ``scale``: a lambda would take the rounded one below
+    return rows.select("vec_id", F.round("by", 9).alias("scale"), F.array_join(V.codes(F.col("embedding"), F.col("by")).cast("array<string>"), ",").alias("codes"))
 
 
 @query("WITH m AS (SELECT max(list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v)))) / 127 AS sc FROM embeddings) SELECT vec_id, array_to_string(list_transform(CAST(embedding AS DOUBLE[]), lambda v: CAST(round_even(v / sc, 0) AS INT)), ',') AS codes FROM embeddings, m")
