@@ -20,7 +20,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from . import common
 from .tokens import coder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
+#: Bytes of texts that are encoded and given out together; a longer text is one by itself.
+TOGETHER = 1_000_000
 #: Bits of a sequence id: 5 of the bucket, 24 of the partition, 34 of the count.
 PARTITION_BITS, COUNT_BITS = 24, 34
 
@@ -41,6 +45,16 @@ def cuts(n: int, seq_len: int) -> list[int]:
     return out
 
 
+def portions(batch: pa.RecordBatch, text: str = "_text", most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, so many that their texts have ``most`` bytes at most, or one row."""
+    upto = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(upto, (int(upto[at - 1]) if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pack(docs: DataFrame, vocabulary: str, *, keeps_blanks: bool = True, end_id: int = 0, seq_len: int = 1024, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece; ``ids`` holds its ids as little-endian unsigned 32-bit integers (null without ``with_ids``)."""
     if seq_len < 1 or seq_len & (seq_len - 1):
@@ -52,7 +66,7 @@ def pack(docs: DataFrame, vocabulary: str, *, keeps_blanks: bool = True, end_id:
         c = coder(vocabulary, keeps_blanks)
         at = TaskContext.get().partitionId() << COUNT_BITS
         count = 0
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):  # a whole batch's ids and pieces would be held at once
             names = batch.column("_id").to_pylist()
             flat, off = c.encode(batch.column("_text"))
             off = off.tolist()
