@@ -78,12 +78,17 @@ class Graph:
         return Graph(self.spark, self.path)
 
     def compact(self) -> "Graph":
-        """The next version, of the same content in one part, with degrees."""
+        """The next version, of the same content in one part, with degrees.  A single part stays as it is."""
+        if len(self.parts) == 1:
+            return self._degrees(self.parts[0], self.parts)
         nodes = self._table("nodes").groupBy("id").agg(F.max("at").alias("at"), F.max_by(F.struct("label", "type"), "at").alias("e")).select("id", "at", "e.label", "e.type")
-        part, parts = self._put(self.triples(), nodes), self.parts
+        return self._degrees(self._put(self.triples(), nodes), self.parts)
+
+    def _degrees(self, part: str, parts: list[str]) -> "Graph":
+        """Counts the ends of a part's triples and publishes it instead of ``parts``."""
         ends = self.spark.read.parquet(f"{self.path}/triples/part={part}")
         ends = ends.select(F.col("s").alias("id")).union(ends.select("o")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-        ends.write.parquet(f"{self.path}/degrees/part={part}")
+        ends.write.mode("overwrite").parquet(f"{self.path}/degrees/part={part}")
 
         def change(last: dict) -> dict:
             late = [p for p in last["parts"] if p not in parts]  # of writers meanwhile
@@ -115,6 +120,15 @@ class Graph:
         rows = rows.filter(F.col("bucket").isin(*[_bucket_of(self.spark, n) for n in nodes]) & F.col(end).isin(*nodes)).select(_TRIPLE)
         return rows if len(self.parts) == 1 else merged(rows)
 
+    def known(self, asked: DataFrame, id_col: str = "id") -> DataFrame:
+        """Adds ``known`` to a few rows of ids: a node's own row or an end of a triple, of which only the asked are looked for where they lie."""
+        few = F.broadcast(asked.select(F.col(id_col).alias("id")).distinct())  # as many rows as are asked
+        found = self._table("nodes").select("id").join(few, "id", "left_semi")
+        buckets = [r.b for r in asked.select(_bucket(F.col(id_col)).alias("b")).distinct().collect()]  # BUCKETS at most
+        for table, end in (("triples", "s"), ("inverse", "o")):
+            found = found.union(self._table(table).filter(F.col("bucket").isin(*buckets)).select(F.col(end).alias("id")).join(few, "id", "left_semi"))
+        return graph.known(asked, found.distinct(), id_col)
+
     def facts(self, node: str) -> DataFrame:
         """Triples that begin or end at the node; a loop comes twice."""
         return self.out_of(node).union(self.into(node))
