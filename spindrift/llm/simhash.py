@@ -56,13 +56,17 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray) -> int:
+    """The 64-bit SimHash of hashes: bits that are set in over half of them."""
     bits = (2 * _votes(h) > len(h)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, words))
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
 
