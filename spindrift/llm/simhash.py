@@ -16,7 +16,7 @@ is reachable; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from .vptree import Shards, halves, link
 
 #: Points that the upper tree is fitted on at most, and points that a shard is meant to hold.
 SAMPLE, SHARD_POINTS = 16_384, 16_384
+#: Bytes of texts whose shingles are hashed together, and shingles of a size that are hashed one by one.
+TEXTS, FEW = 1_000_000, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -56,6 +58,84 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends)), np.uint64, len(ends))
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+
+def _rotated(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def _xxh64(octets: bytes, starts: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """XXH64 of the pieces of ``size`` bytes at ``starts``, side by side; eight bytes more follow the last piece."""
+    eights = np.ndarray((len(octets) - 7,), "<u8", octets, strides=(1,))
+    mixed = lambda lane: _rotated(lane * _P2, 31) * _P1
+    at = 0
+    if size >= 32:
+        v = [np.full(len(starts), x % (1 << 64), np.uint64) for x in (seed + int(_P1) + int(_P2), seed + int(_P2), seed, seed - int(_P1))]
+        while size - at >= 32:
+            v = [_rotated(x + eights[starts + (at + 8 * k)] * _P2, 31) * _P1 for k, x in enumerate(v)]
+            at += 32
+        h = sum((_rotated(x, by) for x, by in zip(v, (1, 7, 12, 18))), np.zeros(len(starts), np.uint64))
+        for x in v:
+            h = (h ^ mixed(x)) * _P1 + _P4
+    else:
+        h = np.full(len(starts), (seed + int(_P5)) % (1 << 64), np.uint64)
+    h += np.uint64(size)
+    while size - at >= 8:
+        h = _rotated(h ^ mixed(eights[starts + at]), 27) * _P1 + _P4
+        at += 8
+    if size - at >= 4:
+        h = _rotated(h ^ (eights[starts + at] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3
+        at += 4
+    while at < size:
+        h = _rotated(h ^ (eights[starts + at] & np.uint64(0xFF)) * _P5, 11) * _P1
+        at += 1
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def all_shingle_hashes(texts: Iterable[str | None], words: int) -> Iterator[np.ndarray]:
+    """``shingle_hashes`` of every text; those of ``TEXTS`` bytes of text are hashed together."""
+    held, size = [], 0
+    for text in texts:
+        held.append(b" ".join((text or "").encode().translate(common.ASCII_LOWER).split()))
+        size += len(held[-1])
+        if size >= TEXTS:
+            yield from _together(held, words)
+            held, size = [], 0
+    yield from _together(held, words)
+
+
+def _together(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each of ``texts``, words joined by one space."""
+    from xxhash import xxh64_intdigest
+
+    filled = [t for t in texts if t]
+    octets = b"\n".join(filled) + b"\n" + bytes(8)
+    codes = np.frombuffer(octets, np.uint8)[:-8]
+    ends = np.flatnonzero((codes == 32) | (codes == 10)) if filled else np.zeros(0, np.int64)
+    starts = np.append(0, ends[:-1] + 1) if filled else ends
+    last = np.flatnonzero(codes[ends] == 10)
+    n_words = np.diff(last, prepend=-1)
+    counts = np.maximum(1, n_words - words + 1)
+    begin = np.repeat(last - n_words + 1 - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    begin, end = starts[begin], ends[np.minimum(begin + words - 1, np.repeat(last, counts))]
+    size = end - begin
+    order = np.argsort(size, kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(size[order])) + 1, [len(order)]]) if filled else [0]
+    h = np.zeros(len(order), np.uint64)
+    for a, b in zip(cut[:-1], cut[1:]):
+        own = order[a:b]
+        if len(own) < FEW:
+            h[own] = [xxh64_intdigest(octets[x:y], 42) for x, y in zip(begin[own].tolist(), end[own].tolist())]
+        else:
+            h[own] = _xxh64(octets, begin[own], int(size[own[0]]), 42)
+    parts = iter(np.split(h, np.cumsum(counts)[:-1]) if filled else ())
+    for t in texts:
+        yield next(parts) if t else np.zeros(0, np.uint64)
+
+
 def majority(h: np.ndarray) -> int:
     """The 64-bit SimHash of hashes: bits that are set in over half of them."""
     bits = (2 * _votes(h) > len(h)).astype(np.uint8)
@@ -76,7 +156,7 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column("_text")], np.uint64)
+            fp = np.array([majority(h) for h in all_shingle_hashes((t.as_py() for t in batch.column("_text")), words)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("_text")).mapInArrow(run, "doc_id long, key long, fp long")
